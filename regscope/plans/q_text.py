@@ -1 +1,108 @@
-"""Registered queries (topic module)."""
+"""Step 3 queries: tokens, stop words, lexicon filter, frequencies, top words."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..operators import text_features as TF
+from ..sources.tables import table
+from . import image as IMG
+from . import twins as TW
+from .catalog import register
+
+TOKEN_RE = r"[\p{L}_]+"
+_STOP = ", ".join("'" + w.replace("'", "''") + "'" for w in TF.stop_words())
+
+_TOK = f"""
+tk as (select package_id, cast(pos - 1 as bigint) as pos, token from (
+  select package_id, unnest(regexp_extract_all(lower(text), '{TOKEN_RE}')) as token,
+         unnest(generate_series(1, len(regexp_extract_all(lower(text), '{TOKEN_RE}')))) as pos from cand)),
+ct as (select * from tk where length(token) > 1 and token not in ({_STOP}))
+"""
+_LEX = f"""
+lex as (select distinct token as word, substring('NVJR', 1 + length(token) % 4, 1) as tag from (
+  select unnest(regexp_extract_all(lower(text), '{TOKEN_RE}')) as token from documents)),
+nv as (select * from ct where token not in (
+  select word from lex where not (starts_with(tag, 'N') or starts_with(tag, 'V'))))
+"""
+
+# Word lists are arguments in the original (its files are not shipped); these
+# are the lists the registered query passes.
+LISTS = {"download": ["download", "free", "crack"], "drug": ["pill", "pharmacy"],
+         "gambling": ["casino", "bet", "poker"]}
+
+
+def _cand_tokens(spark, sf):
+    return TF.token_rows(IMG.candidates(spark, sf), "package_id", F.col("text"))
+
+
+def _lexicon(spark, sf):
+    docs = table(spark, sf, "documents").select("doc_id", "text")
+    return TF.lexicon_from_corpus(TF.token_rows(docs, "doc_id", F.col("text")))
+
+
+@register("tokens", TW.with_ctes(TW.PACKAGES, TW.GATED, _TOK, body="select package_id, pos, token from tk"))
+def q_tokens(spark, sf):
+    """F6 (split path): every lower-cased letter run of each scored package text."""
+    return _cand_tokens(spark, sf)
+
+
+@register("clean_tokens", TW.with_ctes(TW.PACKAGES, TW.GATED, _TOK, body="select package_id, pos, token from ct"))
+def q_clean_tokens(spark, sf):
+    """stop words and one-character tokens removed."""
+    return TF.clean_tokens(_cand_tokens(spark, sf))
+
+
+@register("noun_verb_tokens", TW.with_ctes(TW.PACKAGES, TW.GATED, _TOK, _LEX, body="select package_id, pos, token from nv"))
+def q_noun_verb_tokens(spark, sf):
+    """F8: keep nouns and verbs by a lexicon table (unknown words kept)."""
+    return TF.noun_verb_tokens(TF.clean_tokens(_cand_tokens(spark, sf)), _lexicon(spark, sf)).select(
+        "package_id", "pos", "token")
+
+
+@register("word_freq", TW.with_ctes(TW.PACKAGES, TW.GATED, _TOK, body="""
+select package_id, token as word, count(*) as n, min(pos) as first_pos from ct group by 1, 2"""))
+def q_word_freq(spark, sf):
+    """Per package word counts and first positions."""
+    return TF.word_freq(TF.clean_tokens(_cand_tokens(spark, sf)), "package_id")
+
+
+@register("top_words", TW.with_ctes(TW.PACKAGES, TW.GATED, _TOK, _LEX, """
+tw as (select package_id, token as word, count(*) as n, min(pos) as first_pos from nv group by 1, 2)
+""", body="""
+select package_id, rank, word, n from (
+  select package_id, word, n, row_number() over (partition by package_id order by n desc, first_pos) as rank from tw)
+where rank <= 10"""))
+def q_top_words(spark, sf):
+    """The ten keywords of each scored image package."""
+    rows = TF.noun_verb_tokens(TF.clean_tokens(_cand_tokens(spark, sf)), _lexicon(spark, sf))
+    return TF.top_words(TF.word_freq(rows, "package_id"), "package_id", 10)
+
+
+@register("platform_words", TW.with_ctes(f"""
+pt as (select source, doc_id, unnest(regexp_extract_all(lower(text), '{TOKEN_RE}')) as token,
+  unnest(generate_series(1, len(regexp_extract_all(lower(text), '{TOKEN_RE}')))) as pos from documents),
+pf as (select source, token as word, count(*) as n, min(doc_id * 1000000000 + pos) as first from pt
+  where regexp_matches(token, '^\\p{{L}}+$') and length(token) > 1 and token not in ({_STOP}) group by 1, 2)
+""", body="""
+select source, rank, word, n from (
+  select source, word, n, row_number() over (partition by source order by n desc, first) as rank from pf)
+where rank <= 20"""))
+def q_platform_words(spark, sf):
+    """Top-20 words per corpus (one corpus per document source)."""
+    docs = table(spark, sf, "documents").select("doc_id", "source", "text")
+    return TF.platform_words(docs, "source", F.col("text"), 20)
+
+
+def _hits_sql():
+    parts = []
+    for name, words in LISTS.items():
+        terms = " + ".join(f"(length(text) - length(replace(text, '{w}', ''))) // {len(w)}" for w in words)
+        parts.append(f"cast({terms} as bigint) as {name}_hits")
+    return ", ".join(parts)
+
+
+@register("lexicon_hits", TW.with_ctes(TW.PACKAGES, TW.GATED, body=f"select package_id, {_hits_sql()} from cand"))
+def q_lexicon_hits(spark, sf):
+    """Dictionary substring counts per list over the scored package texts."""
+    return TF.lexicon_hits(IMG.candidates(spark, sf), "package_id", F.col("text"), LISTS)
