@@ -1 +1,96 @@
-"""Registered queries (topic module)."""
+"""Step 4 queries: vector distances over ``embeddings`` as the vocabulary."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..operators import semantics as S
+from ..sources import fixtures as FX
+from ..sources.tables import table
+from . import twins as TW
+from .catalog import r6, register
+
+_VEC = """
+n_vec as (select count(*) as n from embeddings),
+kw as (select d.doc_id as package_id, cast(k.pos as bigint) as pos,
+  (d.doc_id * (k.pos + 3)) % (select n from n_vec) as vec_id
+  from documents d cross join (select unnest(generate_series(0, 10)) as pos) k where k.pos < d.doc_id % 12),
+voc as (select vec_id, embedding::double[] as vec from embeddings),
+plat as (select * from voc where vec_id < 20),
+wl as (select * from voc where vec_id >= 20 and vec_id < 40)
+"""
+# n_vec + 20 : ids at or above the vocabulary size are out of vocabulary.
+_VEC = _VEC.replace("% (select n from n_vec)", "% ((select n from n_vec) + 20)")
+
+_PD = """
+pd as (select k.package_id, k.pos, k.vec_id, avg(1 - list_cosine_similarity(v.vec, p.vec)) as distance
+  from kw k join voc v on v.vec_id = k.vec_id cross join plat p group by 1, 2, 3)
+"""
+
+
+def _kw(spark, sf):
+    return FX.keywords(spark, sf)
+
+
+@register("vector_distance", TW.with_ctes(_VEC, body="""
+select a.vec_id, b.vec_id as plat_id, round(1 - list_cosine_similarity(a.vec, b.vec), 6) as distance
+from voc a join voc b on b.vec_id = a.vec_id % 20"""))
+def q_vector_distance(spark, sf):
+    """cosine distance of every vocabulary vector to platform word ``id % 20``."""
+    v = FX.vectors(spark, sf)
+    p = FX.platform_vec(spark, sf).select(F.col("vec_id").alias("plat_id"), F.col("vec").alias("pvec"))
+    return (v.join(p, (v["vec_id"] % 20) == p["plat_id"])
+            .select("vec_id", "plat_id", r6(S.cosine_distance(F.col("vec"), F.col("pvec")), "distance")))
+
+
+@register("in_vocab", TW.with_ctes(_VEC, body="select k.package_id, k.pos, k.vec_id from kw k join voc v on v.vec_id = k.vec_id"))
+def q_in_vocab(spark, sf):
+    """Keywords that have a vector."""
+    return S.in_vocab(_kw(spark, sf), FX.vectors(spark, sf)).select("package_id", "pos", "vec_id")
+
+
+@register("platform_distance", TW.with_ctes(_VEC, _PD, body="select package_id, pos, vec_id, round(distance, 6) as distance from pd"))
+def q_platform_distance(spark, sf):
+    """A15 (R1): mean distance of each in-vocabulary keyword to the platform words."""
+    d = S.platform_distance(_kw(spark, sf), FX.vectors(spark, sf), FX.platform_vec(spark, sf))
+    return d.select("package_id", "pos", "vec_id", r6("distance"))
+
+
+@register("list_distance", TW.with_ctes(_VEC, """
+ld as (select k.package_id, k.pos, min(1 - list_cosine_similarity(v.vec, w.vec)) as distance
+  from kw k join voc v on v.vec_id = k.vec_id cross join wl w group by 1, 2),
+docs as (select doc_id as package_id from documents)
+""", body="""
+select d.package_id, round(coalesce(min(distance), 1), 6) as d_min, round(coalesce(max(distance), 1), 6) as d_max,
+  round(coalesce(avg(distance), 1), 6) as d_mean
+from docs d left join ld on ld.package_id = d.package_id group by d.package_id"""))
+def q_list_distance(spark, sf):
+    """Per package [min, max, mean] of each keyword's minimum distance to a
+    20-word list (vectors 20..39 stand in for the list)."""
+    voc = FX.vectors(spark, sf)
+    wl = voc.where((F.col("vec_id") >= 20) & (F.col("vec_id") < 40))
+    dist = S.list_distance(_kw(spark, sf), voc, wl)
+    pk = table(spark, sf, "documents").select(F.col("doc_id").alias("package_id"))
+    s = S.list_distance_summary(dist, pk)
+    return s.select("package_id", r6("d_min"), r6("d_max"), r6("d_mean"))
+
+
+@register("semantic_vector", TW.with_ctes(_VEC, _PD, """
+docs as (select doc_id as package_id from documents),
+top as (select package_id, pos, distance from pd where pos < 10),
+lst as (select package_id, list(distance order by pos) as d from top group by 1),
+pad as (select d.package_id, case when l.d is null then [1.0, 1.0, 1.0, 1.0, 1.0, 1.0, 1.0, 1.0, 1.0, 1.0]
+  else list_transform(range(0, 10), lambda i: l.d[(i % len(l.d)) + 1]) end as v
+  from docs d left join lst l on l.package_id = d.package_id)
+""", body="""
+select package_id, cast(i - 1 as bigint) as i, round(v[i], 6) as value from (
+  select package_id, v, unnest(generate_series(1, 10)) as i from pad)"""))
+def q_semantic_vector(spark, sf):
+    """Ten platform distances per package, cyclically padded (rows of
+    ``(package_id, i, value)``)."""
+    kw = _kw(spark, sf).where(F.col("pos") < 10)
+    d = S.platform_distance(kw, FX.vectors(spark, sf), FX.platform_vec(spark, sf))
+    pk = table(spark, sf, "documents").select(F.col("doc_id").alias("package_id"))
+    sv = S.semantic_vector(d, pk)
+    return sv.select("package_id", F.posexplode("semantic").alias("i", "value")).select(
+        "package_id", F.col("i").cast("long").alias("i"), r6("value"))
