@@ -52,3 +52,30 @@ def with_context(feats: DataFrame, block: list[str], chunked: bool = True) -> Da
         return CTX.author_context_chunked(arr, "namespace", ["release_ts", "package_id"], "own_block",
                                           CTX.day_chunk("release_ts"))
     return CTX.author_context(arr, "namespace", ["release_ts", "package_id"], "own_block")
+
+
+SEM = [f"sem_{i}" for i in range(10)]
+CODE = ["code_md", "code_blocks"]
+OWN_ORDER = [*CODE, *SEM, *URL_FEATURES]            # the package's own 17 values
+CTX_ORDER = [*URL_FEATURES, *CODE, *SEM]            # the block the author context blends
+FEATURE_NAMES = [*OWN_ORDER, *[f"ctx_{c}" for c in CTX_ORDER], "popularity"]   # 35
+
+
+def semantic_block(spark: SparkSession, sf_dir: str, ids: DataFrame) -> DataFrame:
+    """Ten platform distances per package (first ten keywords, in-vocabulary)."""
+    from ..operators import semantics as S
+    kw = FX.keywords(spark, sf_dir).where(F.col("pos") < IMAGE.top_k_words).join(ids, "package_id", "left_semi")
+    d = S.platform_distance(kw, FX.vectors(spark, sf_dir), FX.platform_vec(spark, sf_dir))
+    sv = S.semantic_vector(d, ids)
+    return sv.select("package_id", *[F.col("semantic")[i].alias(c) for i, c in enumerate(SEM)])
+
+
+def feature_table(spark: SparkSession, sf_dir: str, chunked: bool = True) -> DataFrame:
+    """M1: one row per scored package with the 35-wide ``features`` array."""
+    cand = candidates(spark, sf_dir)
+    ids = cand.select("package_id")
+    feats = own_features(cand, FX.rank_domain(spark), semantic_block(spark, sf_dir, ids))
+    ctx = with_context(feats, CTX_ORDER, chunked=chunked)
+    own = F.array(*[F.col(c).cast("double") for c in OWN_ORDER])
+    return ctx.select("package_id", "namespace", "release_ts",
+                      F.concat(own, F.col("ctx"), F.array(F.col("popularity").cast("double"))).alias("features"))
