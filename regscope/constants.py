@@ -84,3 +84,8 @@ HREF = r"href=['\"]?([^'\" >]+)"
 CODE_BLOCK = r"(?s)```.*?```|~~~.*?~~~"
 # Network location of a URL (what urllib's netloc returns for these URLs).
 NETLOC = r"^https?://([^/?#]*)"
+
+# Network location for any scheme (homepage / project URLs).
+NETLOC_ANY = r"^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)"
+# Catalog record status values.
+STATUS_UNLISTED, STATUS_NORMAL = 0, 1

@@ -83,3 +83,23 @@ def author_context_chunked(df: DataFrame, author: str, order: list[str], feature
 def day_chunk(ts_col: str) -> Column:
     """Release day as the R5 chunk."""
     return F.to_date(F.col(ts_col))
+
+
+# An author with more scored rows than this is treated as hot.
+HOT_AUTHOR_ROWS = 200_000
+
+
+def largest_group(df: DataFrame, author: str) -> int:
+    """Rows of the biggest author (one small aggregate over the author column;
+    map-side combined, one number to the driver)."""
+    r = df.groupBy(author).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()
+    return int(r[0] or 0)
+
+
+def author_context_auto(df: DataFrame, author: str, order: list[str], features: str, chunk: Column,
+                        id_col: str = "package_id", out: str = "ctx",
+                        hot_rows: int = HOT_AUTHOR_ROWS) -> DataFrame:
+    """Plain window unless some author is hot; then the chunked (R5) plan."""
+    if largest_group(df, author) > hot_rows:
+        return author_context_chunked(df, author, order, features, chunk, id_col, out)
+    return author_context(df, author, order, features, id_col, out)

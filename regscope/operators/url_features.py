@@ -42,19 +42,26 @@ def duplicate_count(arr: Column) -> Column:
         F.size(F.array_distinct(F.filter(repeats, lambda x: x.isNotNull()))))
 
 
+def media_count(urls: Column, profile: RegistryProfile = IMAGE,
+                homepage_domain: Column | None = None) -> Column:
+    """External URLs that end with an image suffix (case-sensitive)."""
+    media_re = U.media_suffix_regex()
+    return F.size(F.filter(urls, lambda u: _is_external(u, profile.internal_hosts, homepage_domain)
+                           & u.rlike(media_re)))
+
+
 def url_counts(urls: Column, profile: RegistryProfile = IMAGE,
                homepage_domain: Column | None = None) -> list[Column]:
     """Row-local counts over an array of URLs (duplicates kept)."""
     ext = lambda u: _is_external(u, profile.internal_hosts, homepage_domain)
     ok = lambda u: U.parseable(U.netloc(u))
-    media_re = U.media_suffix_regex()
     return [
         F.size(urls).alias("n_urls"),
         F.size(F.filter(urls, ext)).alias("n_external"),
         F.size(F.filter(urls, lambda u: ok(u) & U.url_domain(u).isin(list(profile.short_hosts)))).alias("n_short"),
         F.size(F.array_distinct(F.transform(F.filter(urls, ok), U.netloc))).alias("n_hosts"),
         duplicate_count(urls).alias("n_dup_urls"),
-        F.size(F.filter(urls, lambda u: ext(u) & u.rlike(media_re))).alias("n_media"),
+        media_count(urls, profile, homepage_domain).alias("n_media"),
         F.size(F.array_distinct(F.transform(F.filter(urls, ext), U.url_domain))).alias("n_external_domains"),
         F.transform(F.filter(urls, ext), U.url_domain).alias("external_domains"),
     ]

@@ -1,20 +1,35 @@
-"""Flagship query: which image packages look promotional, given the author's
-last two packages? (gate -> features -> author context)."""
+"""Flagship: score image packages end to end.
+
+gate -> features (URL, code, semantic, popularity) -> author context ->
+forest fitted on the labelled train side -> result rows for every package
+(gate outcome, or the forest's label for scored packages).
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.url_features import URL_FEATURES
-from ..sources import fixtures as FX
+from ..operators import links as L
+from ..operators import model as M
+from ..operators.gates import SCORE
+from ..session import cut_lineage
+from ..sources.tables import table
 from . import image as IMG
 
 
+def labels_for(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "labels").select(
+        F.col("doc_id").alias("package_id"),
+        F.when(F.col("quality") == 0, F.lit("abuse")).otherwise(F.lit("non-abuse")).alias("label"))
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    cand = IMG.candidates(spark, sf_dir)
-    feats = IMG.own_features(cand, FX.rank_domain(spark))
-    block = [*URL_FEATURES, "code_md", "code_blocks"]
-    ctx = IMG.with_context(feats, block, chunked=True)
-    return ctx.select("package_id", "namespace", *block, "popularity",
-                      *[F.col("ctx")[i].alias(f"ctx_{c}") for i, c in enumerate(block)])
+    ft = cut_lineage(IMG.feature_table(spark, sf_dir))
+    train = M.split_rows(ft.join(labels_for(spark, sf_dir), "package_id"), "package_id", 0.3)
+    model = M.fit_forest(train.where(F.col("split") == "train"))
+    preds = M.score(model, ft).select("package_id", "pred")
+    gated = IMG.gated_packages(spark, sf_dir).select("package_id", "name", "namespace", "gate")
+    results = (gated.join(preds, "package_id", "left")
+               .withColumn("result", F.when(F.col("gate") == SCORE, F.col("pred")).otherwise(F.col("gate"))))
+    return L.image_result_rows(results)

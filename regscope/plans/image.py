@@ -45,9 +45,13 @@ def own_features(cand: DataFrame, ranks: DataFrame, semantics: DataFrame | None
     return feats
 
 
-def with_context(feats: DataFrame, block: list[str], chunked: bool = True) -> DataFrame:
-    """Author context over the named feature columns (as one array)."""
+def with_context(feats: DataFrame, block: list[str], chunked: bool | str = "auto") -> DataFrame:
+    """Author context over the named feature columns (as one array).
+    ``chunked``: True / False force a plan; "auto" chunks only hot authors."""
     arr = feats.withColumn("own_block", F.array(*[F.col(c).cast("double") for c in block]))
+    if chunked == "auto":
+        return CTX.author_context_auto(arr, "namespace", ["release_ts", "package_id"], "own_block",
+                                       CTX.day_chunk("release_ts"))
     if chunked:
         return CTX.author_context_chunked(arr, "namespace", ["release_ts", "package_id"], "own_block",
                                           CTX.day_chunk("release_ts"))
@@ -70,7 +74,7 @@ def semantic_block(spark: SparkSession, sf_dir: str, ids: DataFrame) -> DataFram
     return sv.select("package_id", *[F.col("semantic")[i].alias(c) for i, c in enumerate(SEM)])
 
 
-def feature_table(spark: SparkSession, sf_dir: str, chunked: bool = True) -> DataFrame:
+def feature_table(spark: SparkSession, sf_dir: str, chunked: bool | str = "auto") -> DataFrame:
     """M1: one row per scored package with the 35-wide ``features`` array."""
     cand = candidates(spark, sf_dir)
     ids = cand.select("package_id")

@@ -144,7 +144,10 @@ def q_minmax_norm(spark, sf):
 
 
 def _fit(spark, sf):
-    ft = IMG.feature_table(spark, sf)
+    from ..session import cut_lineage
+    # The feature plan is read by several ML stages: materialise it once in the
+    # shared checkpoint directory instead of re-running it per stage.
+    ft = cut_lineage(IMG.feature_table(spark, sf))
     lab = table(spark, sf, "labels").select(
         F.col("doc_id").alias("package_id"),
         F.when(F.col("quality") == 0, F.lit("abuse")).otherwise(F.lit("non-abuse")).alias("label"))
