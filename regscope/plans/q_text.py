@@ -106,3 +106,61 @@ def _hits_sql():
 def q_lexicon_hits(spark, sf):
     """Dictionary substring counts per list over the scored package texts."""
     return TF.lexicon_hits(IMG.candidates(spark, sf), "package_id", F.col("text"), LISTS)
+
+
+# --- step 7: language stages ------------------------------------------------------
+from ..operators import language as LG  # noqa: E402
+from ..operators import model as M  # noqa: E402
+from ..sources import fixtures as FX  # noqa: E402
+
+_TG = """
+tg as (select doc_id, lang, substring(md5(cast(doc_id as varchar)), 1, 8) >= '4ccccccc' as is_train,
+  unnest(list_transform(range(1, length(text) - 1), lambda i: substring(lower(text), i, 3))) as gram from documents),
+g as (select lang, gram, count(*) as c from tg where is_train group by 1, 2),
+vv as (select count(distinct gram) as v from g),
+nd as (select count(*) as n from documents where substring(md5(cast(doc_id as varchar)), 1, 8) >= '4ccccccc'),
+ld as (select lang, count(*) as d from documents where substring(md5(cast(doc_id as varchar)), 1, 8) >= '4ccccccc' group by 1),
+lt as (select lang, sum(c) as n from g group by 1),
+lg as (select ld.lang, ln(ld.d / (select n from nd)) as prior, ln(lt.n + (select v from vv)) as denom
+  from ld join lt on lt.lang = ld.lang),
+dc as (select doc_id, gram, count(*) as c from tg group by 1, 2),
+inv as (select doc_id, sum(c) as n_in from dc where gram in (select gram from g) group by 1),
+hits as (select dc.doc_id, g.lang, sum(dc.c * ln(g.c + 1)) as s from dc join g on g.gram = dc.gram group by 1, 2),
+per as (select d.doc_id, l.lang, l.prior + coalesce(h.s, 0) - coalesce(i.n_in, 0) * l.denom as ll
+  from documents d cross join lg l left join inv i on i.doc_id = d.doc_id
+  left join hits h on h.doc_id = d.doc_id and h.lang = l.lang),
+po as (select doc_id, lang, exp(ll - max(ll) over (partition by doc_id)) as e from per),
+pp as (select doc_id, lang, e / sum(e) over (partition by doc_id) as p from po),
+best as (select doc_id, lang, p, row_number() over (partition by doc_id order by p desc, lang desc) as r from pp)
+"""
+
+
+@register("language_gate", TW.with_ctes(_TG, body="""
+select doc_id, lang as lang_pred, round(p, 6) as p_lang, lang = 'en' and p > 0.9 as is_english from best where r = 1"""))
+def q_language_gate(spark, sf):
+    """F4 (re-aimed): trigram naive Bayes fitted on the 70 % train side of
+    ``documents.lang``, applied to every document; English above 0.9."""
+    docs = table(spark, sf, "documents").select("doc_id", "lang", "text")
+    train = M.split_rows(docs, "doc_id", 0.3).where(F.col("split") == "train")
+    grams, langs = LG.fit_language_model(train, F.col("text"))
+    out = LG.score_language(docs, "doc_id", F.col("text"), grams, langs)
+    return out.select("doc_id", "lang_pred", F.round("p_lang", 6).alias("p_lang"), "is_english")
+
+
+@register("text_for_keywords", TW.with_ctes(TW.PACKAGES, TW.GATED, """
+tr as (select package_id, concat('english ', description) as text_en from packages where lang <> 'en')
+""", body="select c.package_id, coalesce(t.text_en, c.text) as kw_text from cand c left join tr t on t.package_id = c.package_id"))
+def q_text_for_keywords(spark, sf):
+    """keyword text is the supplied translation for non-English packages."""
+    p = FX.packages(spark, sf)
+    tr = p.where(F.col("lang") != "en").select("package_id", F.concat(F.lit("english "), F.col("description")).alias("text_en"))
+    return LG.text_for_keywords(IMG.candidates(spark, sf), "package_id", "text", tr)
+
+
+@register("segmented_tokens")
+def q_segmented_tokens(spark, sf):
+    """F6 b: Viterbi segmentation of each scored package's unspaced text with a
+    unigram cost table fitted on ``documents``."""
+    docs = table(spark, sf, "documents").select("text")
+    costs = LG.word_costs(docs, F.col("text"))
+    return LG.segment(IMG.candidates(spark, sf), "package_id", F.col("text"), costs)
