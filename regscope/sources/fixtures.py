@@ -159,3 +159,85 @@ def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
 def platform_vec(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The 20 platform words as vector ids (bounded by construction)."""
     return vectors(spark, sf_dir).where(F.col("vec_id") < 20)
+
+
+# --- archives built from the package rows (S4/S5 inputs) ---------------------------
+ARCHIVE_SCHEMA = "path string, content binary"
+
+
+def _npm_tgz(pid, name, description, homepage, repo_url, readme):
+    import io
+    import json
+    import tarfile
+    if pid % 50 == 7:
+        return b"not an archive"
+    manifest = {k: v for k, v in (("name", name), ("description", description), ("homepage", homepage)) if v is not None}
+    manifest["repository"] = {"type": "git", "url": repo_url or ""}
+    files = [("package/package.json", json.dumps(manifest).encode("utf-8"))]
+    spelling = {0: "package/README.md", 1: "package/readme.md", 2: "package/Readme.md"}.get(pid % 4)
+    if spelling and readme is not None:
+        enc = "utf-8"
+        if pid % 10 == 3:
+            try:
+                readme.encode("latin-1")
+                enc = "latin-1"
+            except UnicodeEncodeError:
+                pass
+        files.append((spelling, readme.encode(enc)))
+    files.append(("package/index.js", b"module.exports = 1;\n"))
+    buf = io.BytesIO()
+    with tarfile.open(fileobj=buf, mode="w:gz") as tar:
+        for n, data in files:
+            info = tarfile.TarInfo(n)
+            info.size = len(data)
+            tar.addfile(info, io.BytesIO(data))
+    return buf.getvalue()
+
+
+def _nupkg(pid, name, nuspec, readme):
+    import io
+    import zipfile
+    if pid % 50 == 9:
+        return b"PK\x03\x04 broken"
+    buf = io.BytesIO()
+    with zipfile.ZipFile(buf, "w") as z:
+        enc = "utf-16" if pid % 10 == 5 else "utf-8"
+        z.writestr(f"{name or 'package'}.nuspec", nuspec.encode(enc))
+        if readme is not None:
+            z.writestr("readme.md", readme.encode("utf-8"))
+        z.writestr(zipfile.ZipInfo("lib/"), b"")
+        z.writestr("lib/x.dll", b"\x00\x01")
+    return buf.getvalue()
+
+
+def npm_archive_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One ``.tgz`` per package, as ``binaryFile``-shaped rows ``(path, content)``."""
+    p = packages(spark, sf_dir).select("package_id", "name", "description", "homepage", "repo_url",
+                                       F.col("full_description").alias("readme"))
+
+    def build(batches):
+        import pandas as pd
+        for b in batches:
+            paths, data = [], []
+            for r in b.itertuples(index=False):
+                paths.append(f"npm/{r.package_id}.tgz")
+                data.append(_npm_tgz(int(r.package_id), r.name, r.description, r.homepage, r.repo_url, r.readme))
+            yield pd.DataFrame({"path": paths, "content": data})
+    return p.mapInPandas(build, ARCHIVE_SCHEMA)
+
+
+def nuget_archive_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One ``.nupkg`` per package (nuspec in UTF-16 for every tenth)."""
+    from ..plans.q_maint import nuspec_text
+    p = packages(spark, sf_dir)
+    p = p.select("package_id", "name", nuspec_text(p).alias("nuspec"), F.col("full_description").alias("readme"))
+
+    def build(batches):
+        import pandas as pd
+        for b in batches:
+            paths, data = [], []
+            for r in b.itertuples(index=False):
+                paths.append(f"nuget/{r.package_id}.nupkg")
+                data.append(_nupkg(int(r.package_id), r.name, r.nuspec, r.readme))
+            yield pd.DataFrame({"path": paths, "content": data})
+    return p.mapInPandas(build, ARCHIVE_SCHEMA)

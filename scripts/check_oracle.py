@@ -20,7 +20,7 @@ from regscope.sources.tables import TABLES  # noqa: E402
 
 
 def norm(v):
-    if v is None:
+    if v is None or v is getattr(__import__("pandas"), "NA", object()):
         return None
     if hasattr(v, "item") and not isinstance(v, (list, tuple)):
         try:
