@@ -124,7 +124,7 @@ def email_rank(df: DataFrame, email_col: str, ranks: DataFrame) -> DataFrame:
 def repo_score(df: DataFrame, id_col: str, project_url: str, repository: str, ranks: DataFrame) -> DataFrame:
     """A11 (NuGet): (projectUrl score + mean score of the repository URLs) / 2;
     the mean runs over the parseable URLs found in the repository text."""
-    pj = domain_score(df.select(id_col, U.url_domain(F.col(project_url)).alias("_pd"),
+    pj = domain_score(df.select(id_col, homepage_domain(F.col(project_url)).alias("_pd"),
                                 F.coalesce(F.col(project_url), F.lit("")).alias("_pu"), repository),
                       "_pd", ranks, "_ps")
     pj = pj.withColumn("_ps", F.when(F.col("_pu") == "", F.lit(0.0)).otherwise(F.col("_ps")))

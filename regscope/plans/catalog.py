@@ -33,7 +33,7 @@ def r6(c, alias=None):
 
 def _load():
     # Topic modules register themselves on import.
-    from . import q_core, q_text, q_semantic, q_model, q_maint, q_archive, q_stream  # noqa: F401
+    from . import q_core, q_text, q_semantic, q_model, q_maint, q_archive, q_stream, q_registry  # noqa: F401
 
 
 _load()

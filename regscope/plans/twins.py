@@ -122,3 +122,34 @@ def with_ctes(*parts: str, body: str) -> str:
 
 def r6(expr: str, alias: str) -> str:
     return f"round({expr}, 6) as {alias}"
+
+
+def url_feats_sql(src: str, text: str, internal: list[str], short: list[str], out: str,
+                  homepage: str | None = None) -> str:
+    """URL-feature CTEs over ``src`` (needs package_id and the text expression).
+    ``homepage``: an expression over ``src`` giving the package's own domain,
+    counted as internal when not empty."""
+    q = lambda xs: ", ".join(f"'{x}'" for x in xs)
+    hp = homepage or "''"
+    internal_test = f"(dom in ({q(internal)}) or (hp <> '' and dom = hp))"
+    return f"""
+{out}_u as (select package_id, {hp} as hp, unnest(regexp_extract_all({text}, '{URL_RE}')) as url from {src}),
+{out}_c as (select package_id, hp, url, count(*) as n from {out}_u group by 1, 2, 3),
+{out}_f as (select package_id, hp, url, n, regexp_extract(url, '{NETLOC_RE}', 1) as host,
+  regexp_extract(regexp_extract(url, '{NETLOC_RE}', 1), '{DOMAIN_RE}', 0) as dom,
+  not regexp_matches(regexp_extract(url, '{NETLOC_RE}', 1), '[\\[\\]]') as ok from {out}_c),
+{out}_g as (select f.package_id, sum(n) as n_urls,
+  sum(case when ok and not {internal_test} then n else 0 end) as n_external,
+  sum(case when ok and dom in ({q(short)}) then n else 0 end) as n_short,
+  count(distinct case when ok then host end) as n_hosts,
+  count(case when n > 1 then 1 end) as n_dup_urls,
+  sum(case when ok and not {internal_test} then n * (1 - coalesce(r.rank, 1000000) / 1000000.0) else 0 end) as external_score
+  from {out}_f f left join rank_domain r on r.domain = f.dom group by f.package_id),
+{out} as (select s.package_id,
+  coalesce(n_external, 0) / (coalesce(n_urls, 0) + 1) as url_external,
+  coalesce(n_short, 0) / (coalesce(n_urls, 0) + 1) as url_short,
+  1.0 / (coalesce(n_hosts, 0) + 1) as url_domains,
+  coalesce(external_score, 0) / (coalesce(n_external, 0) + 1) as url_rank,
+  1.0 / (coalesce(n_dup_urls, 0) + 1) as url_dups
+  from {src} s left join {out}_g g on g.package_id = s.package_id)
+"""
