@@ -25,7 +25,7 @@ from ..constants import CONTEXT_DECAY
 
 def _key_cols(author: str, id_col: str) -> list[Column]:
     # Rows without an author each become their own partition (no hot null key).
-    a = F.col(author)
+    a = F.col(author).cast("string")  # numeric keys (user ids) compare as text
     no_author = a.isNull() | (a == F.lit(""))
     return [no_author.alias("_noauth"),
             F.when(no_author, F.col(id_col).cast("string")).otherwise(a).alias("_akey")]

@@ -153,6 +153,10 @@ def _fit(spark, sf):
         F.when(F.col("quality") == 0, F.lit("abuse")).otherwise(F.lit("non-abuse")).alias("label"))
     data = M.split_rows(ft.join(lab, "package_id"), "package_id", 0.3)
     model = M.fit_forest(data.where(F.col("split") == "train"))
+    import uuid
+    from ..session import shared_path
+    model = M.persist(model, data.where(F.col("split") == "train"), data.where(F.col("split") == "test"),
+                      shared_path(spark, "models", uuid.uuid4().hex))
     return ft, data, model
 
 
