@@ -98,8 +98,12 @@ def largest_group(df: DataFrame, author: str) -> int:
 
 def author_context_auto(df: DataFrame, author: str, order: list[str], features: str, chunk: Column,
                         id_col: str = "package_id", out: str = "ctx",
-                        hot_rows: int = HOT_AUTHOR_ROWS) -> DataFrame:
-    """Plain window unless some author is hot; then the chunked (R5) plan."""
-    if largest_group(df, author) > hot_rows:
+                        hot_rows: int = HOT_AUTHOR_ROWS, sizes_from: DataFrame | None = None) -> DataFrame:
+    """Plain window unless some author is hot; then the chunked (R5) plan.
+
+    ``sizes_from`` may name a cheaper frame whose author counts bound ``df``'s
+    (e.g. one column of the stored package table); counting ``df`` itself
+    would re-run every join that produced it."""
+    if largest_group(sizes_from if sizes_from is not None else df, author) > hot_rows:
         return author_context_chunked(df, author, order, features, chunk, id_col, out)
     return author_context(df, author, order, features, id_col, out)

@@ -115,8 +115,12 @@ def fit_forest(train: DataFrame, features: str = "features", label: str = "label
     from pyspark.ml.classification import RandomForestClassifier
     from pyspark.ml.feature import IndexToString, StringIndexer
     idx = StringIndexer(inputCol=label, outputCol="label_idx", stringOrderType="alphabetAsc").fit(train)
+    # cacheNodeIds keeps each row's node id on the executors (checkpointed to
+    # the shared checkpoint dir) instead of shipping the growing trees every
+    # level; a larger stats budget means fewer passes per level.
     rf = RandomForestClassifier(featuresCol="fv", labelCol="label_idx", numTrees=num_trees, impurity="gini",
-                                featureSubsetStrategy="sqrt", maxDepth=max_depth, maxBins=128, seed=seed)
+                                featureSubsetStrategy="sqrt", maxDepth=max_depth, maxBins=128, seed=seed,
+                                cacheNodeIds=True, checkpointInterval=10, maxMemoryInMB=1024)
     back = IndexToString(inputCol="prediction", outputCol="pred", labels=idx.labels)
     return Pipeline(stages=[idx, rf, back]).fit(assemble(train, features))
 

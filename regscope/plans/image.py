@@ -45,13 +45,15 @@ def own_features(cand: DataFrame, ranks: DataFrame, semantics: DataFrame | None
     return feats
 
 
-def with_context(feats: DataFrame, block: list[str], chunked: bool | str = "auto") -> DataFrame:
+def with_context(feats: DataFrame, block: list[str], chunked: bool | str = "auto",
+                 sf_dir: str | None = None) -> DataFrame:
     """Author context over the named feature columns (as one array).
     ``chunked``: True / False force a plan; "auto" chunks only hot authors."""
     arr = feats.withColumn("own_block", F.array(*[F.col(c).cast("double") for c in block]))
     if chunked == "auto":
+        sizes = FX.packages(feats.sparkSession, sf_dir).select("namespace") if sf_dir else None
         return CTX.author_context_auto(arr, "namespace", ["release_ts", "package_id"], "own_block",
-                                       CTX.day_chunk("release_ts"))
+                                       CTX.day_chunk("release_ts"), sizes_from=sizes)
     if chunked:
         return CTX.author_context_chunked(arr, "namespace", ["release_ts", "package_id"], "own_block",
                                           CTX.day_chunk("release_ts"))
@@ -79,7 +81,7 @@ def feature_table(spark: SparkSession, sf_dir: str, chunked: bool | str = "auto"
     cand = candidates(spark, sf_dir)
     ids = cand.select("package_id")
     feats = own_features(cand, FX.rank_domain(spark), semantic_block(spark, sf_dir, ids))
-    ctx = with_context(feats, CTX_ORDER, chunked=chunked)
+    ctx = with_context(feats, CTX_ORDER, chunked=chunked, sf_dir=sf_dir)
     own = F.array(*[F.col(c).cast("double") for c in OWN_ORDER])
     return ctx.select("package_id", "namespace", "release_ts",
                       F.concat(own, F.col("ctx"), F.array(F.col("popularity").cast("double"))).alias("features"))

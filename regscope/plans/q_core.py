@@ -47,7 +47,7 @@ def q_author_context(spark, sf):
     cand = IMG.candidates(spark, sf)
     f = url_features(cand, FX.rank_domain(spark), profile=IMAGE)
     feats = cand.select("package_id", "namespace", "release_ts").join(f.select("package_id", *URL_FEATURES), "package_id")
-    ctx = IMG.with_context(feats, list(URL_FEATURES), chunked="auto")
+    ctx = IMG.with_context(feats, list(URL_FEATURES), chunked="auto", sf_dir=sf)
     return ctx.select("package_id", "namespace",
                       *[F.round(F.col("ctx")[i], 6).alias(f"ctx_{c}") for i, c in enumerate(URL_FEATURES)])
 

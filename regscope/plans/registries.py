@@ -30,10 +30,10 @@ def semantic_columns(spark: SparkSession, sf_dir: str, ids: DataFrame, profile:
     return sv.select("package_id", *[F.col("semantic")[i].alias(c) for i, c in enumerate(SEM)])
 
 
-def _context(feats: DataFrame, author: str, block: list[str]) -> DataFrame:
+def _context(feats: DataFrame, author: str, block: list[str], sizes: DataFrame) -> DataFrame:
     arr = feats.withColumn("own_block", F.array(*[F.col(c).cast("double") for c in block]))
     return CTX.author_context_auto(arr, author, ["release_ts", "package_id"], "own_block",
-                                   CTX.day_chunk("release_ts"))
+                                   CTX.day_chunk("release_ts"), sizes_from=sizes)
 
 
 def npm_feature_table(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -53,7 +53,7 @@ def npm_feature_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     feats = (local.join(urls, "package_id")
              .join(semantic_columns(spark, sf_dir, base.select("package_id"), NPM), "package_id"))
     own = list(NPM.own_features)
-    ctx = _context(feats, "user_name", own)
+    ctx = _context(feats, "user_name", own, FX.packages(spark, sf_dir).select(F.col("namespace").alias("user_name")))
     return ctx.select("package_id", F.concat(F.col("own_block"), F.col("ctx")).alias("features"))
 
 
@@ -71,6 +71,7 @@ def nuget_feature_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     repo = N.repo_score(base, "package_id", "project_url", "repository", ranks)
     feats = (base.drop("text", "project_url", "repository").join(urls, "package_id").join(repo, "package_id")
              .join(semantic_columns(spark, sf_dir, base.select("package_id"), NUGET), "package_id"))
-    ctx = _context(feats, "author", list(NUGET.context_features))
+    ctx = _context(feats, "author", list(NUGET.context_features),
+                   FX.packages(spark, sf_dir).select(F.col("namespace").alias("author")))
     own = F.array(*[F.col(c).cast("double") for c in NUGET.own_features])
     return ctx.select("package_id", F.concat(own, F.col("ctx")).alias("features"))
