@@ -83,3 +83,10 @@ def image_result_rows(gated: DataFrame) -> DataFrame:
         F.when(no_name, F.lit("null")).otherwise(F.col("name")).alias("name"),
         "result",
         F.when(no_name | no_ns, F.lit("null")).otherwise(F.col("namespace")).alias("author"))
+
+
+def write_partitions(df: DataFrame, path: str, partition_col: str) -> None:
+    """S10/S12 batch sink: dynamic partition overwrite, so re-running a day's
+    job replaces that day's rows instead of appending a second copy."""
+    (df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+     .partitionBy(partition_col).parquet(path))

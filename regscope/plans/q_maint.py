@@ -317,3 +317,49 @@ select count(*) as total,
 def q_corpus_audit(spark, sf):
     """Total, short texts and texts without a URL over the NuGet descriptions."""
     return corpus_audit(FX.nuget_view(spark, sf), F.col("description"))
+
+
+# --- S8, S12 -----------------------------------------------------------------------------
+@register("load_vectors", """
+select concat('w', cast(vec_id as varchar)) as word, cast(len(embedding) as bigint) as n_dims,
+  round(embedding[1]::double, 6) as v0, round(list_sum(embedding::double[]), 6) as v_sum from embeddings""")
+def q_load_vectors(spark, sf):
+    """Word vectors in word2vec text form (written from ``embeddings``, with
+    the count/dimension header) read back as ``(word, vec array<float>)``."""
+    import uuid
+    from ..session import shared_path
+    from ..sources.tables import read_word_vectors
+    emb = table(spark, sf, "embeddings").select("vec_id", "embedding")
+    path = shared_path(spark, "vectors", uuid.uuid4().hex)
+    header = emb.agg(F.concat_ws(" ", F.count(F.lit(1)).cast("string"),
+                                 F.max(F.size("embedding")).cast("string")).alias("value"))
+    lines = emb.select(F.concat_ws(" ", F.concat(F.lit("w"), F.col("vec_id").cast("string")),
+                                   F.array_join(F.transform("embedding", lambda x: x.cast("string")), " ")).alias("value"))
+    header.unionByName(lines).write.text(path)
+    v = read_word_vectors(spark, path)
+    d = F.transform("vec", lambda x: x.cast("double"))
+    return v.select("word", F.size("vec").cast("long").alias("n_dims"), F.round(d[0], 6).alias("v0"),
+                    F.round(F.aggregate(d, F.lit(0.0), lambda a, x: a + x), 6).alias("v_sum"))
+
+
+@register("sink_batches", TW.with_ctes(TW.PACKAGES, TW.GATED, TW.PRED, body="""
+select g.package_id, case when g.gate = 'score' then p.pred else g.gate end as result,
+  strftime(g.release_ts::date, '%Y-%m-%d') as release_date
+from gated g join pred p on p.package_id = g.package_id"""))
+def q_sink_batches(spark, sf):
+    """Result rows written per release day with dynamic partition
+    overwrite, then the same job run again (a retry): still one row per package."""
+    import uuid
+    from ..session import shared_path
+    from . import image as IMG
+    from ..operators.links import write_partitions
+    g = IMG.gated_packages(spark, sf)
+    pred = FX.predictions(spark, sf).select("package_id", "pred")
+    rows = (g.join(pred, "package_id")
+            .select("package_id", F.when(F.col("gate") == SCORE, F.col("pred")).otherwise(F.col("gate")).alias("result"),
+                    F.date_format(F.to_date("release_ts"), "yyyy-MM-dd").alias("release_date")))
+    path = shared_path(spark, "sinks", uuid.uuid4().hex)
+    write_partitions(rows, path, "release_date")
+    write_partitions(rows, path, "release_date")  # retried run: replaces, never duplicates
+    out = spark.read.parquet(path)
+    return out.select("package_id", "result", F.col("release_date").cast("string").alias("release_date"))

@@ -72,8 +72,8 @@ def read_keyword_json(spark: SparkSession, path: str) -> DataFrame:
 def read_word_vectors(spark: SparkSession, path: str) -> DataFrame:
     """``word v1 .. vn`` lines (first line is a header) -> ``(word, vec array<float>)``."""
     lines = spark.read.text(path)
-    parts = F.split(F.col("value"), " ")
+    parts = F.filter(F.split(F.col("value"), " "), lambda x: x != "")  # trailing blanks
     return (lines.select(parts.alias("p"))
-            .where(F.size("p") > 2)
+            .where(F.size("p") > 2)  # the "count dim" header line has two fields
             .select(F.col("p")[0].alias("word"),
-                    F.transform(F.slice("p", 2, F.size("p") - 1), lambda x: x.cast("float")).alias("vec")))
+                    F.transform(F.slice("p", 2, F.size("p") - 1), lambda x: x.try_cast("float")).alias("vec")))
