@@ -94,8 +94,9 @@ def minmax_long(rows: DataFrame, idx: str = "i", value: str = "value") -> DataFr
     only when every column varies; otherwise return the values unchanged.
     Column statistics are one small aggregate (one row per column)."""
     stats = rows.groupBy(idx).agg(F.min(value).alias("_lo"), F.max(value).alias("_hi"))
-    stats = stats.withColumn("_all", F.min((F.col("_hi") != F.col("_lo")).cast("int")).over(Window.partitionBy()) == 1)
-    out = rows.join(F.broadcast(stats), idx)
+    every_varies = stats.select(F.min((F.col("_hi") != F.col("_lo")).cast("int")) == 1).scalar()
+    # one row per feature column: bounded by the vector width
+    out = rows.join(F.broadcast(stats.withColumn("_all", every_varies)), idx)
     scaled = F.when(F.col("_all"), (F.col(value) - F.col("_lo")) / (F.col("_hi") - F.col("_lo"))).otherwise(F.col(value))
     return out.withColumn(value, scaled).drop("_lo", "_hi", "_all")
 

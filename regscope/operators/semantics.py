@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..constants import SEMANTIC_WIDTH
+from ..sources.tables import broadcast_if_small
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -66,7 +67,9 @@ def platform_distance(keywords: DataFrame, vocab: DataFrame, platform: DataFrame
     # The subquery is projected first; lambdas may only reference columns.
     dist = (used_vocab(keywords, vocab, key).withColumn("_c", mean_unit_vector(platform))
             .select(key, (F.lit(1.0) - dot(unit(F.col("vec")), F.col("_c"))).alias("distance")))
-    return keywords.join(dist, key)
+    # one row per distinct keyword (vocabulary-bounded); popular keywords are
+    # hot keys on the keyword side, so this side is broadcast when it fits
+    return keywords.join(broadcast_if_small(dist), key)
 
 
 def list_distance(keywords: DataFrame, vocab: DataFrame, word_list: DataFrame,
@@ -75,7 +78,7 @@ def list_distance(keywords: DataFrame, vocab: DataFrame, word_list: DataFrame,
     dist = (used_vocab(keywords, vocab, key).withColumn("_l", unit_vector_list(word_list))
             .withColumn("_u", unit(F.col("vec")))
             .select(key, F.array_min(F.transform("_l", lambda p: F.lit(1.0) - dot(F.col("_u"), p))).alias("distance")))
-    return keywords.join(dist, key)
+    return keywords.join(broadcast_if_small(dist), key)
 
 
 def list_distance_summary(dist: DataFrame, packages: DataFrame, id_col: str = "package_id") -> DataFrame:

@@ -54,9 +54,11 @@ def clean_tokens(rows: DataFrame) -> DataFrame:
 def noun_verb_tokens(rows: DataFrame, lexicon: DataFrame) -> DataFrame:
     """F8: drop words the lexicon tags as something other than noun or verb;
     words missing from the lexicon are kept (a tagger calls them nouns)."""
+    from ..sources.tables import broadcast_if_small
     other = lexicon.where(~(F.col("tag").startswith("N") | F.col("tag").startswith("V"))).select(
         F.col("word").alias("token")).distinct()
-    return rows.join(other, "token", "left_anti")
+    # frequent words are hot join keys; the lexicon is vocabulary-bounded
+    return rows.join(broadcast_if_small(other, 5_000_000), "token", "left_anti")
 
 
 def word_freq(rows: DataFrame, id_col: str) -> DataFrame:

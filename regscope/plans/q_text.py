@@ -37,8 +37,11 @@ def _cand_tokens(spark, sf):
 
 
 def _lexicon(spark, sf):
+    """The lexicon is an input resource: derived once per snapshot and stored."""
+    from ..sources.store import materialized
     docs = table(spark, sf, "documents").select("doc_id", "text")
-    return TF.lexicon_from_corpus(TF.token_rows(docs, "doc_id", F.col("text")))
+    return materialized(spark, "lexicon", sf, ["documents"],
+                        lambda: TF.lexicon_from_corpus(TF.token_rows(docs, "doc_id", F.col("text"))))
 
 
 @register("tokens", TW.with_ctes(TW.PACKAGES, TW.GATED, _TOK, body="select package_id, pos, token from tk"))
