@@ -40,3 +40,23 @@ def test_semantic_padding(spark):
     assert got[2] == [0.1, 0.2] * 5
     assert got[3] == [0.1, 0.2, 0.3] * 3 + [0.1]
     assert got[4] == [1.0] * 10
+
+
+def test_word_keyed_path(spark):
+    """Real path: top words -> word-keyed vectors -> platform distances."""
+    from regscope.constants import PLATFORM_WORDS
+    from regscope.operators import text_features as TF
+    rnd = random.Random(5)
+    words = PLATFORM_WORDS["docker"][:5] + ["casino", "bonus", "container"]
+    vecs = {w: [rnd.uniform(-1, 1) for _ in range(6)] for w in words}
+    v = spark.createDataFrame(list(vecs.items()), "word string, vec array<double>")
+    docs = spark.createDataFrame([(1, "casino bonus casino container unknownword")], "package_id long, text string")
+    rows = TF.clean_tokens(TF.token_rows(docs, "package_id", F.col("text")))
+    top = TF.top_words(TF.word_freq(rows, "package_id"), "package_id", 10)
+    kw = S.keyword_rows(top)
+    plat = S.platform_table(v, "docker")
+    got = {r.word: r.distance for r in S.platform_distance(kw, v, plat, key="word").collect()}
+    assert set(got) == {"casino", "bonus", "container"}  # unknownword is out of vocabulary
+    for w in got:
+        want = sum(_cos_d(vecs[w], vecs[p]) for p in PLATFORM_WORDS["docker"][:5]) / 5
+        assert abs(got[w] - want) < 1e-12

@@ -23,3 +23,12 @@ def test_all_twins_sf0001():
     lines = [l for l in out.stdout.splitlines() if l.startswith(("OK", "FAIL", "ROWS"))]
     fails = [l for l in lines if l.startswith("FAIL")]
     assert lines and not fails, "\n".join(fails)
+
+
+def test_entry_smoke(spark):
+    sys.path.insert(0, ROOT)
+    import __spark_entry__ as E
+    df = E.entry(spark)
+    rows = df.collect()
+    assert len(rows) == 200 and set(df.columns) == {"package_id", "name", "result", "author"}
+    assert {r.result for r in rows} <= {"null", "no_overview", "overview_no_link", "non-abuse", "abuse"}
