@@ -8,9 +8,20 @@ from pyspark.sql import functions as F
 from .. import constants as C
 
 
-def extract_urls(text: Column, pattern: str = C.URL_FEATURE) -> Column:
-    """All URL matches of ``text``, in order, duplicates kept (null text -> [])."""
-    return F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(pattern), 0)
+# Trailing characters that the compatible grammar keeps ("(http://bit.ly)"
+# yields "http://bit.ly)") and strict mode trims.
+STRICT_TRAILING = r"[)>,.;']+$"
+
+
+def extract_urls(text: Column, pattern: str = C.URL_FEATURE, strict: bool = False) -> Column:
+    """All URL matches of ``text``, in order, duplicates kept (null text -> []).
+
+    ``strict=False`` (default) reproduces the original grammar exactly;
+    ``strict=True`` also trims trailing ``)>,.;'`` from every match."""
+    urls = F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(pattern), 0)
+    if not strict:
+        return urls
+    return F.transform(urls, lambda u: F.regexp_replace(u, STRICT_TRAILING, ""))
 
 
 def extract_links(text: Column, pattern: str) -> Column:
