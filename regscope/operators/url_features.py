@@ -71,16 +71,18 @@ COUNT_COLS = ("n_urls", "n_external", "n_short", "n_hosts", "n_dup_urls", "n_med
               "n_external_domains")
 
 
-def url_features(df: DataFrame, ranks: DataFrame, id_col: str = "package_id",
-                 text: Column | None = None, profile: RegistryProfile = IMAGE,
-                 homepage_domain: Column | None = None) -> DataFrame:
-    """``(id, counts..., url_external, url_short, url_domains, url_rank, url_dups)``.
-
-    ``text`` defaults to the package text column ``text``. Every input row gives
-    one output row (packages without URLs get the no-URL values).
-    """
+def url_local(df: DataFrame, id_col: str = "package_id", text: Column | None = None,
+              profile: RegistryProfile = IMAGE, homepage_domain: Column | None = None,
+              keep: tuple = ()) -> DataFrame:
+    """Row-local step: ``(id, keep..., counts..., external_domains)``; the text
+    is read once here and dropped."""
     text = F.col("text") if text is None else text
-    local = df.select(F.col(id_col), *url_counts(U.extract_urls(text), profile, homepage_domain))
+    return df.select(F.col(id_col), *keep, *url_counts(U.extract_urls(text), profile, homepage_domain))
+
+
+def url_scores(local: DataFrame, ranks: DataFrame, id_col: str = "package_id") -> DataFrame:
+    """Scoring step over ``url_local`` rows: the external domains' rank scores
+    are summed back per package (one narrow exchange), then the five ratios."""
     ranks = broadcast_if_small(ranks.select("domain", "rank"))
     scored = (local.select(id_col, *COUNT_COLS, F.explode_outer("external_domains").alias("domain"))
               .join(ranks, "domain", "left")
@@ -96,6 +98,17 @@ def url_features(df: DataFrame, ranks: DataFrame, id_col: str = "package_id",
         (F.lit(1.0) / plus1("n_dup_urls")).alias("url_dups"))
 
 
+def url_features(df: DataFrame, ranks: DataFrame, id_col: str = "package_id",
+                 text: Column | None = None, profile: RegistryProfile = IMAGE,
+                 homepage_domain: Column | None = None) -> DataFrame:
+    """``(id, counts..., url_external, url_short, url_domains, url_rank, url_dups)``.
+
+    ``text`` defaults to the package text column ``text``. Every input row gives
+    one output row (packages without URLs get the no-URL values).
+    """
+    return url_scores(url_local(df, id_col, text, profile, homepage_domain), ranks, id_col)
+
+
 def url_rows(df: DataFrame, id_col: str = "package_id", text: Column | None = None,
              profile: RegistryProfile = IMAGE) -> DataFrame:
     """F1/F3/J4 at URL grain: ``(id, pos, url, netloc, domain, parseable, external, short)``."""

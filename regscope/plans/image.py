@@ -76,11 +76,28 @@ def semantic_block(spark: SparkSession, sf_dir: str, ids: DataFrame) -> DataFram
     return sv.select("package_id", *[F.col("semantic")[i].alias(c) for i, c in enumerate(SEM)])
 
 
+def narrow_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One pass over the package text: every row-local feature of the scored
+    packages (code, popularity, URL counts and external domains), written to
+    the shared checkpoint directory. Later branches read this narrow table
+    instead of re-reading and re-gating the text (R3)."""
+    from ..operators.url_features import url_local
+    from ..session import cut_lineage
+    cand = candidates(spark, sf_dir)
+    keep = [F.col("namespace"), F.col("release_ts"), *image_code_features(F.col("full_description")),
+            popularity(F.col("pull_count")).alias("popularity")]
+    return cut_lineage(url_local(cand, "package_id", F.col("text"), IMAGE, keep=tuple(keep)))
+
+
 def feature_table(spark: SparkSession, sf_dir: str, chunked: bool | str = "auto") -> DataFrame:
     """M1: one row per scored package with the 35-wide ``features`` array."""
-    cand = candidates(spark, sf_dir)
-    ids = cand.select("package_id")
-    feats = own_features(cand, FX.rank_domain(spark), semantic_block(spark, sf_dir, ids))
+    from ..operators.url_features import COUNT_COLS, url_scores
+    nc = narrow_candidates(spark, sf_dir)
+    ids = nc.select("package_id")
+    urls = url_scores(nc.select("package_id", *COUNT_COLS, "external_domains"), FX.rank_domain(spark))
+    feats = (nc.select("package_id", "namespace", "release_ts", *CODE, "popularity")
+             .join(urls.select("package_id", *URL_FEATURES), "package_id")
+             .join(semantic_block(spark, sf_dir, ids), "package_id", "left"))
     ctx = with_context(feats, CTX_ORDER, chunked=chunked, sf_dir=sf_dir)
     own = F.array(*[F.col(c).cast("double") for c in OWN_ORDER])
     return ctx.select("package_id", "namespace", "release_ts",
