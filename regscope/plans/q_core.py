@@ -186,7 +186,7 @@ _BLOCKS = "len(regexp_extract_all(coalesce(full_description, ''), '(?s)```.*?```
 cf as (select package_id, coalesce(full_description, '') = '' as empty, ({_MD_LINE}) and not ({_HTML}) as md,
   {_BLOCKS} as blocks from cand)
 """, body="""select package_id,
-  case when empty then 1.0 when md then 1.0 else 0.0 end as code_md,
+  case when empty then 1.0 when md then 1.0 else 0.0 end::double as code_md,
   round(case when empty then 0.0 when md then (case when blocks = 0 then 1.0 else 1.0 / blocks end) else 1.0 end, 6) as code_blocks
 from cf"""))
 def q_code_features(spark, sf):

@@ -312,8 +312,8 @@ def q_scan_since(spark, sf):
 
 @register("corpus_audit", TW.with_ctes(TW.PACKAGES, TW.NUGETV, body="""
 select count(*) as total,
-  count_if(length(regexp_replace(coalesce(description, ''), '^\\s+|\\s+$', '', 'g')) < 20) as short_text,
-  count_if(not regexp_matches(coalesce(description, ''), 'https?://[^\\s;()"]+')) as no_url from nugv"""))
+  count_if(length(regexp_replace(coalesce(description, ''), '^\\s+|\\s+$', '', 'g')) < 20)::bigint as short_text,
+  count_if(not regexp_matches(coalesce(description, ''), 'https?://[^\\s;()"]+'))::bigint as no_url from nugv"""))
 def q_corpus_audit(spark, sf):
     """Total, short texts and texts without a URL over the NuGet descriptions."""
     return corpus_audit(FX.nuget_view(spark, sf), F.col("description"))

@@ -72,6 +72,12 @@ def shared_path(spark: SparkSession, *parts: str) -> str:
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint into shared storage; survives executor loss."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Cut lineage with a parquet table written under the shared checkpoint
+    directory and read back. Survives executor loss like a reliable
+    checkpoint, but computes the input once (an RDD checkpoint without a
+    persist runs it twice) and the result is columnar, so later reads prune
+    columns."""
+    import uuid
+    path = shared_path(df.sparkSession, "lineage", uuid.uuid4().hex)
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
