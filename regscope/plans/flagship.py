@@ -25,11 +25,12 @@ def labels_for(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ft = cut_lineage(IMG.feature_table(spark, sf_dir))
+    narrow = IMG.narrow_packages(spark, sf_dir)           # the only pass over the text
+    ft = cut_lineage(IMG.feature_table(spark, sf_dir, narrow=narrow))
     train = M.split_rows(ft.join(labels_for(spark, sf_dir), "package_id"), "package_id", 0.3)
     model = M.fit_forest(train.where(F.col("split") == "train"))
     preds = M.score(model, ft).select("package_id", "pred")
-    gated = IMG.gated_packages(spark, sf_dir).select("package_id", "name", "namespace", "gate")
+    gated = narrow.select("package_id", "name", "namespace", "gate")
     results = (gated.join(preds, "package_id", "left")
                .withColumn("result", F.when(F.col("gate") == SCORE, F.col("pred")).otherwise(F.col("gate"))))
     return L.image_result_rows(results)

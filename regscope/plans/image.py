@@ -76,23 +76,35 @@ def semantic_block(spark: SparkSession, sf_dir: str, ids: DataFrame) -> DataFram
     return sv.select("package_id", *[F.col("semantic")[i].alias(c) for i, c in enumerate(SEM)])
 
 
-def narrow_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One pass over the package text: every row-local feature of the scored
-    packages (code, popularity, URL counts and external domains), written to
-    the shared checkpoint directory. Later branches read this narrow table
-    instead of re-reading and re-gating the text (R3)."""
-    from ..operators.url_features import url_local
+def narrow_packages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One pass over the package text for every package: the gate outcome,
+    and for scored packages every row-local feature (code, popularity, URL
+    counts and external domains; ``when(gate = 'score', ..)`` skips the regex
+    work for the rest). Written to the shared checkpoint directory; later
+    branches read this narrow table instead of re-reading the text (R3)."""
+    from ..operators.url_features import COUNT_COLS, url_counts
+    from ..functions.urls import extract_urls
     from ..session import cut_lineage
-    cand = candidates(spark, sf_dir)
-    keep = [F.col("namespace"), F.col("release_ts"), *image_code_features(F.col("full_description")),
-            popularity(F.col("pull_count")).alias("popularity")]
-    return cut_lineage(url_local(cand, "package_id", F.col("text"), IMAGE, keep=tuple(keep)))
+    g = gated_packages(spark, sf_dir)
+    scored = F.col("gate") == SCORE
+    text = image_text(F.col("name"), F.col("description"), F.col("full_description"))
+    feats = [*image_code_features(F.col("full_description")), popularity(F.col("pull_count")).alias("popularity"),
+             *url_counts(extract_urls(text), IMAGE)]
+    names = [*CODE, "popularity", *COUNT_COLS, "external_domains"]  # the order of ``feats``
+    lazy = [F.when(scored, c).alias(n) for n, c in zip(names, feats)]
+    return cut_lineage(g.select("package_id", "name", "namespace", "release_ts", "gate", *lazy))
+
+
+def narrow_candidates(spark: SparkSession, sf_dir: str, narrow: DataFrame | None = None) -> DataFrame:
+    n = narrow if narrow is not None else narrow_packages(spark, sf_dir)
+    return n.where(F.col("gate") == SCORE)
 
 
-def feature_table(spark: SparkSession, sf_dir: str, chunked: bool | str = "auto") -> DataFrame:
+def feature_table(spark: SparkSession, sf_dir: str, chunked: bool | str = "auto",
+                  narrow: DataFrame | None = None) -> DataFrame:
     """M1: one row per scored package with the 35-wide ``features`` array."""
     from ..operators.url_features import COUNT_COLS, url_scores
-    nc = narrow_candidates(spark, sf_dir)
+    nc = narrow_candidates(spark, sf_dir, narrow)
     ids = nc.select("package_id")
     urls = url_scores(nc.select("package_id", *COUNT_COLS, "external_domains"), FX.rank_domain(spark))
     feats = (nc.select("package_id", "namespace", "release_ts", *CODE, "popularity")

@@ -11,7 +11,9 @@ from ..operators import context as CTX
 from ..operators import normalise as N
 from ..operators import semantics as S
 from ..operators.gates import SCORE, gate_npm, gate_nuget, npm_text, nuget_text
-from ..operators.url_features import URL_FEATURES, url_features
+from ..functions.urls import extract_urls
+from ..operators.url_features import COUNT_COLS, URL_FEATURES, url_counts, url_scores
+from ..session import cut_lineage
 from ..profiles import NPM, NUGET, RegistryProfile
 from ..sources import fixtures as FX
 
@@ -45,13 +47,18 @@ def npm_feature_table(spark: SparkSession, sf_dir: str) -> DataFrame:
                     N.homepage_domain(F.col("homepage")).alias("homepage_domain"),
                     F.when(c("readme") == "", F.lit(0.0)).otherwise(F.lit(1.0)).alias("readme_flag"))
     ranks = FX.rank_domain(spark)
-    urls = url_features(base, ranks, profile=NPM, homepage_domain=F.col("homepage_domain")).select(
+    # the only pass over the text: row-local features into a narrow table
+    narrow = cut_lineage(base.select(
+        "package_id", "user_name", "user_email", "release_ts", "repo_url", "homepage_domain", "readme_flag",
+        npm_code_feature(F.col("text")).alias("code_blocks"),
+        *url_counts(extract_urls(F.col("text")), NPM, F.col("homepage_domain"))))
+    urls = url_scores(narrow.select("package_id", *COUNT_COLS, "external_domains"), ranks).select(
         "package_id", *URL_FEATURES)
-    local = base.select("package_id", "user_name", "user_email", "release_ts", "repo_url", "homepage_domain",
-                        "readme_flag", npm_code_feature(F.col("text")).alias("code_blocks"))
+    local = narrow.select("package_id", "user_name", "user_email", "release_ts", "repo_url", "homepage_domain",
+                          "readme_flag", "code_blocks")
     local = N.email_rank(N.repo_homepage(local, ranks), "user_email", ranks)
     feats = (local.join(urls, "package_id")
-             .join(semantic_columns(spark, sf_dir, base.select("package_id"), NPM), "package_id"))
+             .join(semantic_columns(spark, sf_dir, narrow.select("package_id"), NPM), "package_id"))
     own = list(NPM.own_features)
     ctx = _context(feats, "user_name", own, FX.packages(spark, sf_dir).select(F.col("namespace").alias("user_name")))
     return ctx.select("package_id", F.concat(F.col("own_block"), F.col("ctx")).alias("features"))
@@ -67,10 +74,15 @@ def nuget_feature_table(spark: SparkSession, sf_dir: str) -> DataFrame:
                     F.array_join(F.transform("repository_urls", lambda u: F.concat(u, F.lit(" "))), "").alias("repository"),
                     nuget_text(F.col("file_name"), F.col("description")).alias("text"))
     ranks = FX.rank_domain(spark)
-    urls = url_features(base, ranks, profile=NUGET).select("package_id", *URL_FEATURES)
-    repo = N.repo_score(base, "package_id", "project_url", "repository", ranks)
-    feats = (base.drop("text", "project_url", "repository").join(urls, "package_id").join(repo, "package_id")
-             .join(semantic_columns(spark, sf_dir, base.select("package_id"), NUGET), "package_id"))
+    narrow = cut_lineage(base.select(
+        "package_id", "author", "release_ts", "license", "readme_flag", "project_url", "repository",
+        *url_counts(extract_urls(F.col("text")), NUGET)))
+    urls = url_scores(narrow.select("package_id", *COUNT_COLS, "external_domains"), ranks).select(
+        "package_id", *URL_FEATURES)
+    repo = N.repo_score(narrow, "package_id", "project_url", "repository", ranks)
+    feats = (narrow.select("package_id", "author", "release_ts", "license", "readme_flag")
+             .join(urls, "package_id").join(repo, "package_id")
+             .join(semantic_columns(spark, sf_dir, narrow.select("package_id"), NUGET), "package_id"))
     ctx = _context(feats, "author", list(NUGET.context_features),
                    FX.packages(spark, sf_dir).select(F.col("namespace").alias("author")))
     own = F.array(*[F.col(c).cast("double") for c in NUGET.own_features])
