@@ -80,6 +80,9 @@ URL_GATE = r"https?://[^\s;()\"]+"
 # Promoted-link patterns: markdown link target, HTML href value.
 MD_LINK = r"\[[^\]]+\]\(([^)]+)\)"
 HREF = r"href=['\"]?([^'\" >]+)"
+# Corpus audit: a feature URL followed by one of ;().whitespace, or ending right
+# after "http" (look-around: Java regex only, no DuckDB twin).
+URL_AUDIT = r"https?://[!$-_a-z]+(?=[;().\s]|(?<=http))"
 # Fenced code blocks (dot matches newline, non-greedy).
 CODE_BLOCK = r"(?s)```.*?```|~~~.*?~~~"
 # Network location of a URL (what urllib's netloc returns for these URLs).

@@ -363,3 +363,10 @@ def q_sink_batches(spark, sf):
     write_partitions(rows, path, "release_date")  # retried run: replaces, never duplicates
     out = spark.read.parquet(path)
     return out.select("package_id", "result", F.col("release_date").cast("string").alias("release_date"))
+
+
+@register("corpus_audit_strict")
+def q_corpus_audit_strict(spark, sf):
+    """A19 with the audit's own look-around URL pattern (rows-only: RE2 has no
+    look-around; a unit test checks the pattern against Python's engine)."""
+    return corpus_audit(FX.nuget_view(spark, sf), F.col("description"), C.URL_AUDIT)

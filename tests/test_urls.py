@@ -57,3 +57,12 @@ def test_url_features_hand_worked(spark):
     assert abs(a.url_rank - (2 * 0.9 + 0.9991) / 4) < 1e-12
     b = r[2]
     assert (b.url_external, b.url_short, b.url_domains, b.url_rank, b.url_dups) == (0.0, 0.0, 1.0, 0.0, 1.0)
+
+
+def test_audit_pattern_matches_python(spark):
+    original = ORIGINAL + r"(?=[;().\s]|(?<=http))"
+    samples = SAMPLES + ["end http://a.b/c;", "x http://a.b/http", "y (http://q.r/s) z", "http://nope"]
+    df = spark.createDataFrame([(i, s) for i, s in enumerate(samples)], "i int, s string")
+    got = {r.i: list(r.u) for r in df.select("i", U.extract_urls(F.col("s"), C.URL_AUDIT).alias("u")).collect()}
+    for i, s in enumerate(samples):
+        assert got[i] == re.findall(original, s), s
