@@ -144,9 +144,12 @@ def q_language_gate(spark, sf):
     """F4 (re-aimed): trigram naive Bayes fitted on the 70 % train side of
     ``documents.lang``, applied to every document; English above 0.9."""
     docs = table(spark, sf, "documents").select("doc_id", "lang", "text")
-    train = M.split_rows(docs, "doc_id", 0.3).where(F.col("split") == "train")
-    grams, langs = LG.fit_language_model(train, F.col("text"))
-    out = LG.score_language(docs, "doc_id", F.col("text"), grams, langs)
+    # one trigram aggregate shared by fitting and scoring: both branches use the
+    # same exchange, which Spark reuses, so the texts are read once
+    counts = LG.gram_counts(docs, "doc_id", F.col("text"))
+    train = M.split_rows(docs.select("doc_id", "lang"), "doc_id", 0.3).where(F.col("split") == "train")
+    grams, langs = LG.fit_from_counts(counts, train.select("doc_id", "lang"), "doc_id")
+    out = LG.score_language(docs.select("doc_id"), "doc_id", None, grams, langs, counts=counts)
     return out.select("doc_id", "lang_pred", F.round("p_lang", 6).alias("p_lang"), "is_english")
 
 
