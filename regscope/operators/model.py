@@ -30,11 +30,6 @@ def training_set(abuse: DataFrame, benign: DataFrame) -> DataFrame:
     return abuse.unionByName(benign)
 
 
-def md5_fraction(key: Column) -> Column:
-    """A stable uniform number in [0, 1) from the key's md5 (first 8 hex digits)."""
-    return F.conv(F.substring(F.md5(key.cast("string")), 1, 8), 16, 10).cast("double") / F.lit(float(16 ** 8))
-
-
 def split_threshold(test_share: float) -> str:
     """md5 prefixes below this 8-hex-digit string go to the test side."""
     return format(int(test_share * 16 ** 8), "08x")

@@ -19,9 +19,7 @@ from ..profiles import IMAGE, RegistryProfile
 from ..sources.tables import broadcast_if_small, rank_score
 
 URL_FEATURES = ("url_external", "url_short", "url_domains", "url_rank", "url_dups")
-# A package without any URL gets these values (0/1, 0/1, 1/1, 0/1, 1/1).
-NO_URL_DEFAULTS = {"url_external": 0.0, "url_short": 0.0, "url_domains": 1.0,
-                   "url_rank": 0.0, "url_dups": 1.0}
+# A package without any URL gets (0/1, 0/1, 1/1, 0/1, 1/1) from the same formulas.
 
 
 def _is_external(u: Column, internal, homepage_domain: Column | None) -> Column:

@@ -47,3 +47,10 @@ def test_forest_beats_majority(spark):
     model = M.fit_forest(df.where("split = 'train'"), num_trees=20, max_depth=5)
     r = M.weighted_metrics(M.score(model, df.where("split = 'test'"))).first()
     assert r.accuracy > 0.9
+
+
+def test_labelled_by_name_first_match(spark):
+    pk = spark.createDataFrame([(3, "a"), (1, "a"), (2, "b")], "package_id long, name string")
+    lab = spark.createDataFrame([("a", "abuse"), ("c", "non-abuse")], "name string, label string")
+    rows = M.labelled_by_name(pk, lab).collect()
+    assert [(r.package_id, r.name, r.label) for r in rows] == [(1, "a", "abuse")]

@@ -62,3 +62,15 @@ def test_substring_count(spark):
     df = spark.createDataFrame([(1, "aaaa free freefree")], "package_id int, text string")
     r = TF.lexicon_hits(df, "package_id", F.col("text"), {"x": ["aa", "free"]}).first()
     assert r.x_hits == 2 + 3
+
+
+def test_language_model_from_text(spark):
+    from regscope.operators import language as LG
+    en = ["the cat sat on the mat with the other cats", "this is the house that we built there"]
+    fr = ["le chat est sur le tapis avec les autres", "c'est la maison que nous avons construite"]
+    train = spark.createDataFrame([(i, "en", t) for i, t in enumerate(en)] + [(10 + i, "fr", t) for i, t in enumerate(fr)],
+                                  "doc_id long, lang string, text string")
+    grams, langs = LG.fit_language_model(train, F.col("text"))
+    test = spark.createDataFrame([(100, "the other house there"), (101, "la maison avec les chats")], "doc_id long, text string")
+    got = {r.doc_id: (r.lang_pred, r.is_english) for r in LG.score_language(test, "doc_id", F.col("text"), grams, langs).collect()}
+    assert got[100][0] == "en" and got[101] == ("fr", False)
