@@ -38,6 +38,22 @@ def norm(v):
     return v
 
 
+# Python stages are allowed only where SURVEY §2.10 lists them (archives,
+# segmentation, streaming state); no plan may hold a cartesian product.
+PYTHON_NODES = ("ArrowEvalPython", "BatchEvalPython", "MapInPandas", "PythonMapInArrow", "MapInArrow",
+                "FlatMapGroupsInPandas", "FlatMapCoGroupsInPandas", "AggregateInPandas", "WindowInPandas")
+PYTHON_OK = {"npm_members", "nupkg_members", "decode_text", "npm_ingest", "segmented_tokens"}
+FORBIDDEN = ("CartesianProduct", "BroadcastNestedLoopJoin")
+
+
+def plan_violations(name, df):
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    bad = [n for n in FORBIDDEN if n in plan]
+    if name not in PYTHON_OK:
+        bad += [n for n in PYTHON_NODES if n in plan]
+    return bad
+
+
 def rows(df):
     cols = sorted(df.columns)
     out = []
@@ -61,7 +77,11 @@ def main():
     for name in (names or list(qs)):
         t0 = time.time()
         try:
-            sdf = qs[name](spark, sf_dir).toPandas()
+            q = qs[name](spark, sf_dir)
+            pv = plan_violations(name, q)
+            if pv:
+                print(f"PLAN {name}: {pv}")
+            sdf = q.toPandas()
         except Exception as e:  # noqa: BLE001
             print(f"FAIL {name}: spark error {type(e).__name__}: {str(e)[:400]}")
             bad += 1

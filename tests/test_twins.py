@@ -22,7 +22,9 @@ def test_all_twins_sf0001():
                          capture_output=True, text=True, timeout=1800, cwd=ROOT)
     lines = [l for l in out.stdout.splitlines() if l.startswith(("OK", "FAIL", "ROWS"))]
     fails = [l for l in lines if l.startswith("FAIL")]
+    plans = [l for l in out.stdout.splitlines() if l.startswith("PLAN")]
     assert lines and not fails, "\n".join(fails)
+    assert not plans, "\n".join(plans)
 
 
 def test_entry_smoke(spark):
