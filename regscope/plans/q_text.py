@@ -170,3 +170,27 @@ def q_segmented_tokens(spark, sf):
     docs = table(spark, sf, "documents").select("text")
     costs = LG.word_costs(docs, F.col("text"))
     return LG.segment(IMG.candidates(spark, sf), "package_id", F.col("text"), costs)
+
+
+_NPM_TOK = f"""
+nt as (select package_id, cast(pos - 1 as bigint) as pos, token from (
+  select package_id, unnest(regexp_extract_all(lower(t), '{TOKEN_RE}')) as token,
+         unnest(generate_series(1, len(regexp_extract_all(lower(t), '{TOKEN_RE}')))) as pos from (
+    select package_id, concat_ws(' ', coalesce(name, ''), coalesce(description, ''), coalesce(readme, '')) as t
+    from npmg where gate = 'score'))),
+nc as (select * from nt where length(token) > 1 and token not in ({_STOP})),
+nf as (select package_id, token as word, count(*) as n, min(pos) as first_pos from nc group by 1, 2)
+"""
+
+
+@register("top_words_npm", TW.with_ctes(TW.PACKAGES, TW.NPMV, _NPM_TOK, body="""
+select package_id, rank, word, n from (
+  select package_id, word, n, row_number() over (partition by package_id order by n desc, first_pos) as rank from nf)
+where rank <= 20"""))
+def q_top_words_npm(spark, sf):
+    """W2 (npm): the twenty keywords of each scored npm package's text."""
+    from ..operators.gates import SCORE, gate_npm, npm_text
+    g = gate_npm(FX.npm_view(spark, sf)).where(F.col("gate") == SCORE)
+    c = lambda n: F.coalesce(F.col(n), F.lit(""))
+    rows = TF.clean_tokens(TF.token_rows(g, "package_id", npm_text(c("name"), c("description"), c("readme"))))
+    return TF.top_words(TF.word_freq(rows, "package_id"), "package_id", 20)
