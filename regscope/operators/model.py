@@ -6,7 +6,7 @@ Feature vectors stay named columns (or ``array<double>``) until the final
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 LABELS = ("abuse", "non-abuse")

@@ -13,7 +13,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .. import constants as C
 from ..functions import urls as U
 from ..profiles import IMAGE, RegistryProfile
 from ..sources.tables import broadcast_if_small, rank_score
