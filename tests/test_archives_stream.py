@@ -70,3 +70,40 @@ def test_stream_state_equals_window(spark):
     want = {r.event_id: r.ctx for r in CTX.author_context(
         df.withColumn("f", F.array("value")), "user_id", ["ts", "event_id"], "f", id_col="event_id").collect()}
     assert got == want
+
+
+class _State:
+    """Stand-in for GroupState: enough for the state function."""
+
+    def __init__(self):
+        self.value = None
+
+    @property
+    def exists(self):
+        return self.value is not None
+
+    @property
+    def get(self):
+        return self.value
+
+    def update(self, v):
+        self.value = v
+
+
+def test_late_row_does_not_rewind():
+    import pandas as pd
+    fn = ST.context_state_fn("author", "id", "ts", "f")
+    st = _State()
+    batch1 = pd.DataFrame({"id": [1, 2, 3], "author": ["a"] * 3, "ts": [10, 20, 30], "f": [[1.0], [2.0], [4.0]]})
+    out1 = next(fn(("a",), iter([batch1]), st))
+    assert [c[0] for c in out1["ctx"]] == [1.0, 1.0, 0.6 * 2.0 + 0.4 * 1.0]
+    # a late row (ts 15 < last event 30) is scored against the current state ...
+    late = pd.DataFrame({"id": [9], "author": ["a"], "ts": [15], "f": [[100.0]]})
+    out2 = next(fn(("a",), iter([late]), st))
+    assert abs(out2["ctx"][0][0] - (0.6 * 4.0 + 0.4 * 2.0)) < 1e-12
+    # ... and leaves it untouched
+    assert st.value[0] == [4.0] and st.value[1] == [2.0] and st.value[2] == 30
+    # rows without an author keep no state
+    none = _State()
+    out3 = next(fn((ST.NO_AUTHOR + "7",), iter([pd.DataFrame({"id": [7], "author": [None], "ts": [5], "f": [[3.0]]})]), none))
+    assert out3["ctx"][0] == [3.0] and not none.exists
