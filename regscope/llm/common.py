@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 # The words of a text everywhere in this package: runs of anything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -40,3 +41,13 @@ def written(df: DataFrame, label: str) -> DataFrame:
     path = fresh_path(df.sparkSession, label)
     df.write.parquet(path)
     return df.sparkSession.read.parquet(path)
+
+
+def broadcast_if_small(df: DataFrame, limit_mb: int = 16) -> DataFrame:
+    """Hint a broadcast of a written table if its files are within ``limit_mb``.
+
+    The size is what the planner knows of the files; beyond the limit the join
+    shuffles, and adaptive execution splits its skewed partitions.
+    """
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    return F.broadcast(df) if size <= limit_mb << 20 else df

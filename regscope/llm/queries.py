@@ -6,13 +6,18 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import mixing, sentence_pieces, token_files
+from . import mixing, ngram_join, sentence_pieces, token_files
 from .common import table
 from .sql import SQL
 
 TOKENIZERS = "/opt/tokenizers"
 
 
+def op1_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.ngram_join(table(spark, sf_dir, "documents")).select(
+        "doc_id", "n_shingles", "component_id", "n_links")
+
+
 def op4_packed_ids(spark: SparkSession, sf_dir: str, tokenizers: str = TOKENIZERS) -> DataFrame:
     with open(f"{tokenizers}/word_bpe_49k.json", encoding="utf-8") as f:
         spec = f.read()
@@ -30,5 +35,5 @@ def op8_mix_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op4_packed_ids, op5_sentence_pieces, op8_mix_plan)}
+    f.__name__: f for f in (op1_ngram_join, op4_packed_ids, op5_sentence_pieces, op8_mix_plan)}
 ORACLE_SQL: dict[str, str] = SQL
