@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import mixing, ngram_join, sentence_pieces, token_files
+from . import mixing, ngram_join, sentence_pieces, token_files, warc
 from .common import table
 from .sql import SQL
 
@@ -18,6 +19,14 @@ def op1_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "n_shingles", "component_id", "n_links")
 
 
+def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages").select(
+        F.col("page_id").alias("record_id"), F.col("url").alias("uri"), F.col("html").cast("binary").alias("payload"))
+    path = warc.write_warc(warc.plan_records(pages))
+    return warc.read_warc(spark, path, payloads=False).where("fault is null").select(
+        F.col("record_id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op4_packed_ids(spark: SparkSession, sf_dir: str, tokenizers: str = TOKENIZERS) -> DataFrame:
     with open(f"{tokenizers}/word_bpe_49k.json", encoding="utf-8") as f:
         spec = f.read()
@@ -35,5 +44,5 @@ def op8_mix_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_ngram_join, op4_packed_ids, op5_sentence_pieces, op8_mix_plan)}
+    f.__name__: f for f in (op1_ngram_join, op2_warc, op4_packed_ids, op5_sentence_pieces, op8_mix_plan)}
 ORACLE_SQL: dict[str, str] = SQL
