@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import mixing, ngram_join, sentence_pieces, token_files, warc
+from . import language_id, mixing, ngram_join, sentence_pieces, token_files, toxicity, warc
 from .common import table
 from .sql import SQL
 
@@ -39,10 +39,23 @@ def op5_sentence_pieces(spark: SparkSession, sf_dir: str, tokenizers: str = TOKE
     return sentence_pieces.round_trips(table(spark, sf_dir, "documents"), model)
 
 
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    w = toxicity.fit(docs, table(spark, sf_dir, "labels"))
+    scored = docs.select("doc_id", toxicity.held_out(F.col("doc_id")).alias("held_out"), toxicity.score(F.col("text"), w).alias("score"))
+    return scored.withColumn("predicted", (F.col("score") >= toxicity.THRESHOLD).cast("int"))
+
+
 def op8_mix_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_plan(table(spark, sf_dir, "documents"))
 
 
+def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return language_id.predict(docs, language_id.fit(docs)).select(
+        "doc_id", language_id.held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score", "rejected")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_ngram_join, op2_warc, op4_packed_ids, op5_sentence_pieces, op8_mix_plan)}
+    f.__name__: f for f in (op1_ngram_join, op2_warc, op4_packed_ids, op5_sentence_pieces, op6_toxicity, op8_mix_plan, op10_language_id)}
 ORACLE_SQL: dict[str, str] = SQL
