@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import language_id, mixing, ngram_join, sentence_pieces, token_files, toxicity, warc
+from . import language_id, mixing, ngram_join, pii, sentence_pieces, token_files, toxicity, warc
 from .common import table
 from .sql import SQL
 
@@ -27,6 +27,10 @@ def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("record_id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.report(table(spark, sf_dir, "documents"))
+
+
 def op4_packed_ids(spark: SparkSession, sf_dir: str, tokenizers: str = TOKENIZERS) -> DataFrame:
     with open(f"{tokenizers}/word_bpe_49k.json", encoding="utf-8") as f:
         spec = f.read()
@@ -57,5 +61,5 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_ngram_join, op2_warc, op4_packed_ids, op5_sentence_pieces, op6_toxicity, op8_mix_plan, op10_language_id)}
+    f.__name__: f for f in (op1_ngram_join, op2_warc, op3_pii, op4_packed_ids, op5_sentence_pieces, op6_toxicity, op8_mix_plan, op10_language_id)}
 ORACLE_SQL: dict[str, str] = SQL
