@@ -111,10 +111,11 @@ SECRET_FIELDS = ("password", "passwd", "pwd", "token", "secret", "api_key", "api
 HARMLESS_WORDS = ("version", "license", "section", "chapter", "page", "figure", "table", "by", "by-nc", "year", "by-sa")
 
 ASSIGNED = re.compile(r"(?i)[\"']?[a-z_]*(password|passwd|pwd|token|secret|api_?key)[a-z_]*[\"']?[=:]\S{6,}")
-HEXES = re.compile(r"[0-9a-fA-F]{16,}")
-KEYLIKE = re.compile(r"(?=[A-Z0-9]*[0-9])[A-Z0-9]{16,}")
+HEXES = re.compile(r"(?=[0-9]*[a-fA-F])(?=[a-fA-F]*[0-9])[0-9a-fA-F]{16,}")
+KEYLIKE = re.compile(r"(?=[0-9]*[A-Z])(?=[A-Z]*[0-9])[A-Z0-9]{16,}")
+PLAIN_NUMBER = re.compile(r"[0-9][0-9.,:/-]*")
 VERSION = re.compile(r"v?\d{1,3}(\.\d{1,3}){0,2}\.?")
-EDGE = "\"'.,;:!?()[]{}<>"
+EDGE = "\"'.,;:!?()[]{}<>#*|`~"
 
 
 @dataclass
@@ -151,6 +152,7 @@ def candidates(text: str | None, base: list[tuple[int, int, int]]) -> Iterator[C
             1 if ASSIGNED.search(token) else 0,                                                   # regex
             1 if KEYLIKE.fullmatch(token) or HEXES.fullmatch(token) else -1 if short else 0,      # regex
             -1 if VERSION.fullmatch(token) else 0,                                                # regex
+            -1 if PLAIN_NUMBER.fullmatch(token) else 0,                                           # regex: failed the base checks
             1 if token.startswith(KEY_PREFIXES) else 0,                                           # gazetteer
             1 if any(c in SECRET_FIELDS for c in cues) else -1 if any(c in HARMLESS_WORDS for c in cues) else 0,  # gazetteer
             1 if before and before[-1] in ("=", ":", "=>") else 0,                                # context

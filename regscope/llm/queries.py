@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import language_id, mixing, ngram_join, pii, sentence_pieces, token_files, toxicity, warc
+from . import language_id, mixing, ngram_join, pii, sentence_pieces, token_files, toxicity, warc, weighted_sampling
 from .common import table
 from .sql import SQL
 
@@ -50,6 +50,10 @@ def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.withColumn("predicted", (F.col("score") >= toxicity.THRESHOLD).cast("int"))
 
 
+def op7_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return weighted_sampling.edited_fingerprints(table(spark, sf_dir, "documents"))
+
+
 def op8_mix_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_plan(table(spark, sf_dir, "documents"))
 
@@ -61,5 +65,5 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_ngram_join, op2_warc, op3_pii, op4_packed_ids, op5_sentence_pieces, op6_toxicity, op8_mix_plan, op10_language_id)}
+    f.__name__: f for f in (op1_ngram_join, op2_warc, op3_pii, op4_packed_ids, op5_sentence_pieces, op6_toxicity, op7_fingerprints, op8_mix_plan, op10_language_id)}
 ORACLE_SQL: dict[str, str] = SQL
