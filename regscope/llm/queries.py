@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import language_id, mixing, ngram_join, pii, sentence_pieces, token_files, toxicity, warc, weighted_sampling
+from . import language_id, mixing, ngram_join, pii, sentence_pieces, token_files, toxicity, vp_tree, warc, weighted_sampling
 from .common import table
 from .sql import SQL
 
@@ -58,6 +58,10 @@ def op8_mix_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_plan(table(spark, sf_dir, "documents"))
 
 
+def op9_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vp_tree.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
 def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return language_id.predict(docs, language_id.fit(docs)).select(
@@ -65,5 +69,5 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_ngram_join, op2_warc, op3_pii, op4_packed_ids, op5_sentence_pieces, op6_toxicity, op7_fingerprints, op8_mix_plan, op10_language_id)}
+    f.__name__: f for f in (op1_ngram_join, op2_warc, op3_pii, op4_packed_ids, op5_sentence_pieces, op6_toxicity, op7_fingerprints, op8_mix_plan, op9_nearest, op10_language_id)}
 ORACLE_SQL: dict[str, str] = SQL
