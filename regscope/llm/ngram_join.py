@@ -55,9 +55,9 @@ N, THRESHOLD = 5, 75          # words per n-gram; link from this similarity in p
 HOT = 16                      # texts in a column of the sparse part
 CUT = np.uint64(int(0.375 * 2 ** 64))
 SHORT = 128                   # n-grams up to which a text posts all of them
-CHUNK = 4_000_000             # posted hashes that a task looks at together
+CHUNK = 1_000_000             # posted hashes that a task looks at together
 BLOCK_ROWS, BLOCK_GRAMS = 512, 1_000_000
-CACHE = 2_000_000
+CACHE = 300_000
 
 
 class _Words(dict):
@@ -364,3 +364,33 @@ def links_between(left: list[np.ndarray], right: list[np.ndarray], same: bool, t
     if same:
         linked = np.triu(linked, 1)
     return np.nonzero(linked)
+
+
+def keep_one(docs: DataFrame, n: int = N, threshold: int = THRESHOLD) -> DataFrame:
+    """The rows of ``docs``, with their columns, that stay when one row of each
+    component does: the first one with its smallest id. Rows without words stay.
+
+    Only ids travel: rows are dropped by an anti-join on the ids to drop. Ids on
+    several rows (and null ids) can't tell rows apart; those rows alone are
+    looked up by id and words.
+    """
+    rows = written(ngram_join(docs, n, threshold), "keep-rows")
+    order = F.struct(F.col("doc_id").isNull().alias("a"), F.col("doc_id").alias("b"), F.col("rid").alias("c"))
+    first = rows.where("n_shingles > 0").groupBy("component").agg(F.min(order).alias("least")).select(
+        F.col("least.c").alias("rid"), F.lit(True).alias("first"))
+    marked = rows.join(first, "rid", "left").select(
+        "doc_id", "key", "n_shingles", (F.col("first").isNotNull() | (F.col("n_shingles") == 0)).alias("stays"))
+    per_id = written(marked.groupBy("doc_id").agg(F.count("*").alias("c"), F.max("stays").alias("stays")), "keep-ids")
+    unclear = F.col("doc_id").isNull() | (F.col("c") > 1)
+    gone = written(per_id.where(unclear | ~F.col("stays")).select(F.col("doc_id").alias("_id"), unclear.alias("_unclear")), "keep-gone")
+    simple = docs.join(broadcast_if_small(gone.select("_id")), docs["doc_id"].eqNullSafe(F.col("_id")), "left_anti")
+
+    several = gone.where("_unclear").select("_id")
+    words = F.trim(F.regexp_replace(F.translate("text", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"), r"[\x20\x09-\x0D]+", " "))
+    kept = marked.where("stays").join(several, F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi").select(
+        F.col("doc_id").alias("_d"), F.lower(F.hex("key")).alias("_k"), (F.col("n_shingles") == 0).alias("_empty")).distinct()
+    looked = (docs.join(broadcast_if_small(several), docs["doc_id"].eqNullSafe(F.col("_id")), "left_semi")
+              .withColumn("_key", F.md5(F.coalesce(words, F.lit("")))))
+    found = looked.join(kept, looked["doc_id"].eqNullSafe(F.col("_d")) & (F.col("_key") == F.col("_k")))
+    one = found.where(~F.col("_empty")).dropDuplicates(["doc_id", "_key"]).unionByName(found.where("_empty"))
+    return simple.unionByName(one.select(*docs.columns))
