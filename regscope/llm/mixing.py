@@ -98,5 +98,5 @@ def mix(docs: DataFrame, weights: Sequence[float] = WEIGHTS, budget: float = 1.5
     keyed = row.select("_row", F.col("_row.doc_id").alias("doc_id"), F.col("_row.source").alias("source"))
     sized = docs.select("doc_id", "source", word_count(F.col("text")).alias("size"))
     targets = source_targets(sized, weights, budget, max_repeat)
-    out = _rated(keyed, keyed, targets, seed).where("copies > 0")
+    out = _rated(keyed, targets, seed).where("copies > 0")
     return out.select("_row", F.explode(F.array_repeat(F.lit(0), F.col("copies").cast("int")))).select("_row.*")
