@@ -274,8 +274,7 @@ def _products(docs: DataFrame, member: DataFrame, families: DataFrame, n: int, t
         "node", "key", "family", "units", "block", "_text").mapInPandas(
         arrays, "node long, family long, units array<string>, block string, grams binary")
     units = filled.select("node", "family", F.explode("units").alias("unit"), "block", "grams")
-    return units.groupBy("family", "unit").applyInPandas(
-        functools.partial(block_product, threshold=threshold), "u long, v long, links long")
+    return units.groupBy("family", "unit").applyInPandas(lambda pdf: block_product(pdf, threshold), "u long, v long, links long")
 
 
 def block_product(pdf: pd.DataFrame, threshold: int = THRESHOLD) -> pd.DataFrame:
@@ -383,14 +382,16 @@ def keep_one(docs: DataFrame, n: int = N, threshold: int = THRESHOLD) -> DataFra
     per_id = written(marked.groupBy("doc_id").agg(F.count("*").alias("c"), F.max("stays").alias("stays")), "keep-ids")
     unclear = F.col("doc_id").isNull() | (F.col("c") > 1)
     gone = written(per_id.where(unclear | ~F.col("stays")).select(F.col("doc_id").alias("_id"), unclear.alias("_unclear")), "keep-gone")
-    simple = docs.join(broadcast_if_small(gone.select("_id")), docs["doc_id"].eqNullSafe(F.col("_id")), "left_anti")
+    # The input's columns travel in one struct, so no name of theirs can clash.
+    whole = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), docs["doc_id"].alias("id"), docs["text"].alias("text"))
+    simple = whole.select("row", "id").join(broadcast_if_small(gone.select("_id")), F.col("id").eqNullSafe(F.col("_id")), "left_anti")
 
     several = gone.where("_unclear").select("_id")
     words = F.trim(F.regexp_replace(F.translate("text", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"), r"[\x20\x09-\x0D]+", " "))
     kept = marked.where("stays").join(several, F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi").select(
-        F.col("doc_id").alias("_d"), F.lower(F.hex("key")).alias("_k"), (F.col("n_shingles") == 0).alias("_empty")).distinct()
-    looked = (docs.join(broadcast_if_small(several), docs["doc_id"].eqNullSafe(F.col("_id")), "left_semi")
-              .withColumn("_key", F.md5(F.coalesce(words, F.lit("")))))
-    found = looked.join(kept, looked["doc_id"].eqNullSafe(F.col("_d")) & (F.col("_key") == F.col("_k")))
-    one = found.where(~F.col("_empty")).dropDuplicates(["doc_id", "_key"]).unionByName(found.where("_empty"))
-    return simple.unionByName(one.select(*docs.columns))
+        F.col("doc_id").alias("kept_id"), F.lower(F.hex("key")).alias("kept_key"), (F.col("n_shingles") == 0).alias("empty")).distinct()
+    looked = (whole.join(broadcast_if_small(several), F.col("id").eqNullSafe(F.col("_id")), "left_semi")
+              .select("row", "id", F.md5(F.coalesce(words, F.lit(""))).alias("words")))
+    found = looked.join(kept, F.col("id").eqNullSafe(F.col("kept_id")) & (F.col("words") == F.col("kept_key")))
+    one = found.where(~F.col("empty")).dropDuplicates(["id", "words"]).unionByName(found.where("empty"))
+    return simple.select("row.*").unionByName(one.select("row.*"))

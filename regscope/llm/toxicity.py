@@ -108,7 +108,7 @@ def nnpu_fit(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: fl
                 gp, gu = prior * sp / len(ip), -su / len(iu)
             else:
                 gp, gu = (prior * (sp - 1) - prior * sp) / len(ip), su / len(iu)
-            g = np.bincount(fp, gp[rp], dim + 1) + np.bincount(fu, gu[ru], dim + 1)
+            g = (np.bincount(fp, gp[rp], dim + 1) + np.bincount(fu, gu[ru], dim + 1)).astype(float)
             g[:dim] *= scale
             g[dim] = gp.sum() + gu.sum()
             g[:dim] += decay * w[:dim] * (scale > 0)

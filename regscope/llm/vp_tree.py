@@ -66,11 +66,17 @@ def build(points: np.ndarray, rows: np.ndarray, rng: np.random.Generator, leaf:
 
 
 class Search:
-    """k nearest rows of a tree for a block of queries."""
+    """k nearest rows of a tree for a block of queries.
+
+    Rows are ranked by squared distances rounded to 12 digits of the largest
+    one possible, so that equal vectors tie wherever they stand in the tree.
+    """
 
     def __init__(self, points: np.ndarray, ids: np.ndarray, queries: np.ndarray, own: np.ndarray, k: int, factor: float):
         self.points, self.ids, self.queries, self.own, self.k, self.factor = points, ids, queries, own, k, factor
         self.best = np.full((len(queries), k), np.inf)
+        largest = lambda x: float((x * x).sum(1).max()) if len(x) else 0.0
+        self.unit = 2 * (largest(points) + largest(queries)) or 1.0
         self.who = np.full((len(queries), k), np.iinfo(np.int64).max)
         self.visited = 0
 
@@ -86,13 +92,13 @@ class Search:
             mine, margin = q[side], np.abs(d[side] - node.radius)
             self.run(near, mine)
             # Rounding must not prune a tie: the bound is loosened a little.
-            worst = self.best[mine, -1]
-            self.run(far, mine[margin <= self.factor * worst * (1 + 1e-9) + 1e-9])
+            worst = np.sqrt((np.maximum(self.best[mine, -1], 0) + 1e-11) * self.unit)
+            self.run(far, mine[margin <= self.factor * worst])
 
     def _leaf(self, rows: np.ndarray, q: np.ndarray) -> None:
         x, y = self.queries[q], self.points[rows]
         self.visited += len(q) * len(rows)
-        d = np.sqrt(np.maximum((x * x).sum(1)[:, None] + (y * y).sum(1)[None, :] - 2 * x @ y.T, 0))
+        d = np.round(((x * x).sum(1)[:, None] + (y * y).sum(1)[None, :] - 2 * x @ y.T) / self.unit, 12)
         d[self.own[q][:, None] == self.ids[rows][None, :]] = np.inf
         allowed = np.where(np.isfinite(d), self.ids[rows][None, :], np.iinfo(np.int64).max)
         d = np.concatenate([self.best[q], d], axis=1)
