@@ -33,7 +33,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import fresh_path
+from .common import broadcast_if_small, fresh_path, written
 
 EMPTY_MEMBER = zlib.compressobj(9, zlib.DEFLATED, 31).flush()
 BASE32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
@@ -51,17 +51,19 @@ def base32_sha1(payload: Column) -> Column:
 def plan_records(rows: DataFrame, least_bytes: int = 0) -> DataFrame:
     """record_id, uri, payload -> adds payload_bytes, payload_digest, record_type, refers_to.
 
-    Only digests shared by several records are joined back; the hot one is
-    combined before its shuffle, and adaptive execution splits its join.
+    Only digests shared by several records are joined back, from a written table:
+    within a checked size it is broadcast and the payloads stay where they are;
+    beyond it they are shuffled by digest and adaptive execution splits the hot one.
     """
     hashed = rows.select("record_id", "uri", F.coalesce("payload", F.lit(b"")).alias("payload"))
     hashed = hashed.select("*", F.octet_length("payload").cast("long").alias("payload_bytes"),
                            base32_sha1(F.col("payload")).alias("payload_digest"))
-    shared = (hashed.where(F.col("payload_bytes") >= least_bytes).groupBy("payload_digest")
-              .agg(F.min("record_id").alias("first"), F.count("*").alias("c")).where("c > 1").select("payload_digest", "first"))
+    shared = written(
+        hashed.where(F.col("payload_bytes") >= least_bytes).groupBy("payload_digest")
+        .agg(F.min("record_id").alias("first"), F.count("*").alias("c")).where("c > 1").select("payload_digest", "first"), "warc-shared")
     first = F.when(F.col("payload_bytes") >= least_bytes, F.col("first"))
     revisit = F.coalesce(first.isNotNull() & (F.col("record_id").isNull() | (first != F.col("record_id"))), F.lit(False))
-    return (hashed.join(shared, "payload_digest", "left")
+    return (hashed.join(broadcast_if_small(shared), "payload_digest", "left")
             .withColumn("record_type", F.when(revisit, "revisit").otherwise("response"))
             .withColumn("refers_to", F.when(revisit, F.col("first"))).drop("first"))
 
