@@ -15,52 +15,63 @@ from pyspark.sql import functions as F
 
 from ..functions import urls as U
 from ..profiles import IMAGE, RegistryProfile
-from ..sources.tables import broadcast_if_small, rank_score
+from ..sources.tables import rank_score
 
 URL_FEATURES = ("url_external", "url_short", "url_domains", "url_rank", "url_dups")
 # A package without any URL gets (0/1, 0/1, 1/1, 0/1, 1/1) from the same formulas.
 
 
-def _is_external(u: Column, internal, homepage_domain: Column | None) -> Column:
-    dom = U.url_domain(u)
-    internal_hit = dom.isin(list(internal))
-    if homepage_domain is not None:
-        internal_hit = internal_hit | ((homepage_domain != "") & (dom == homepage_domain))
-    return U.parseable(U.netloc(u)) & ~internal_hit
+def duplicate_count(arr: Column) -> Column:
+    """Number of distinct values that occur more than once: one pass over the
+    sorted array that counts a run when it reaches its second element."""
+    zero = F.struct(F.lit(None).cast("string").alias("prev"), F.lit(0).alias("run"), F.lit(0).alias("n"))
 
+    def step(acc: Column, x: Column) -> Column:
+        run = F.when(acc["prev"] == x, acc["run"] + 1).otherwise(1)
+        return F.struct(x.alias("prev"), run.alias("run"), (acc["n"] + F.when(run == 2, 1).otherwise(0)).alias("n"))
+
+    return F.aggregate(F.array_sort(arr), zero, step, lambda acc: acc["n"])
 
-def duplicate_count(arr: Column) -> Column:
-    """Number of distinct values that occur more than once (sort, then runs)."""
-    s = F.array_sort(arr)
-    n = F.size(arr)
-    repeats = F.transform(F.sequence(F.lit(1), n - 1),
-                          lambda i: F.when(F.get(s, i) == F.get(s, i - 1), F.get(s, i)))
-    return F.when(n < 2, F.lit(0)).otherwise(
-        F.size(F.array_distinct(F.filter(repeats, lambda x: x.isNotNull()))))
+
+def links(urls: Column, profile: RegistryProfile = IMAGE, homepage_domain: Column | None = None) -> Column:
+    """Each URL parsed once: array<struct<url, host, dom, ok, ext, short, media>>.
+
+    Callers put it in a projection of its own and read every count from there."""
+    media_re = U.media_suffix_regex()
+
+    def marked(s: Column) -> Column:
+        internal = s["dom"].isin(list(profile.internal_hosts))
+        if homepage_domain is not None:
+            internal = internal | ((homepage_domain != "") & (s["dom"] == homepage_domain))
+        ok = U.parseable(s["host"])
+        return F.struct(s["url"].alias("url"), s["host"].alias("host"), s["dom"].alias("dom"), ok.alias("ok"),
+                        (ok & ~internal).alias("ext"), (ok & s["dom"].isin(list(profile.short_hosts))).alias("short"),
+                        s["url"].rlike(media_re).alias("media"))
+
+    hosts = F.transform(urls, lambda u: F.struct(u.alias("url"), U.netloc(u).alias("host")))
+    domains = F.transform(hosts, lambda s: F.struct(s["url"].alias("url"), s["host"].alias("host"), U.registered_domain(s["host"]).alias("dom")))
+    return F.transform(domains, marked)
 
 
 def media_count(urls: Column, profile: RegistryProfile = IMAGE,
                 homepage_domain: Column | None = None) -> Column:
     """External URLs that end with an image suffix (case-sensitive)."""
-    media_re = U.media_suffix_regex()
-    return F.size(F.filter(urls, lambda u: _is_external(u, profile.internal_hosts, homepage_domain)
-                           & u.rlike(media_re)))
+    return F.size(F.filter(links(urls, profile, homepage_domain), lambda s: s["ext"] & s["media"]))
 
 
-def url_counts(urls: Column, profile: RegistryProfile = IMAGE,
-               homepage_domain: Column | None = None) -> list[Column]:
-    """Row-local counts over an array of URLs (duplicates kept)."""
-    ext = lambda u: _is_external(u, profile.internal_hosts, homepage_domain)
-    ok = lambda u: U.parseable(U.netloc(u))
+def url_counts(parsed: Column) -> list[Column]:
+    """Row-local counts over a column of ``links`` (duplicates kept)."""
+    each = lambda rows, name: F.transform(rows, lambda s: s[name])
+    only = lambda name: F.filter(parsed, lambda s: s[name])
     return [
-        F.size(urls).alias("n_urls"),
-        F.size(F.filter(urls, ext)).alias("n_external"),
-        F.size(F.filter(urls, lambda u: ok(u) & U.url_domain(u).isin(list(profile.short_hosts)))).alias("n_short"),
-        F.size(F.array_distinct(F.transform(F.filter(urls, ok), U.netloc))).alias("n_hosts"),
-        duplicate_count(urls).alias("n_dup_urls"),
-        media_count(urls, profile, homepage_domain).alias("n_media"),
-        F.size(F.array_distinct(F.transform(F.filter(urls, ext), U.url_domain))).alias("n_external_domains"),
-        F.transform(F.filter(urls, ext), U.url_domain).alias("external_domains"),
+        F.size(parsed).alias("n_urls"),
+        F.size(only("ext")).alias("n_external"),
+        F.size(only("short")).alias("n_short"),
+        F.size(F.array_distinct(each(only("ok"), "host"))).alias("n_hosts"),
+        duplicate_count(each(parsed, "url")).alias("n_dup_urls"),
+        F.size(F.filter(parsed, lambda s: s["ext"] & s["media"])).alias("n_media"),
+        F.size(F.array_distinct(each(only("ext"), "dom"))).alias("n_external_domains"),
+        each(only("ext"), "dom").alias("external_domains"),
     ]
 
 
@@ -74,13 +85,14 @@ def url_local(df: DataFrame, id_col: str = "package_id", text: Column | None = N
     """Row-local step: ``(id, keep..., counts..., external_domains)``; the text
     is read once here and dropped."""
     text = F.col("text") if text is None else text
-    return df.select(F.col(id_col), *keep, *url_counts(U.extract_urls(text), profile, homepage_domain))
+    parsed = df.select(F.col(id_col), *keep, links(U.extract_urls(text), profile, homepage_domain).alias("_links"))
+    return parsed.select(F.col(id_col), *keep, *url_counts(F.col("_links")))
 
 
 def url_scores(local: DataFrame, ranks: DataFrame, id_col: str = "package_id") -> DataFrame:
     """Scoring step over ``url_local`` rows: the external domains' rank scores
     are summed back per package (one narrow exchange), then the five ratios."""
-    ranks = broadcast_if_small(ranks.select("domain", "rank"))
+    ranks = ranks.select("domain", "rank")
     scored = (local.select(id_col, *COUNT_COLS, F.explode_outer("external_domains").alias("domain"))
               .join(ranks, "domain", "left")
               .groupBy(id_col, *COUNT_COLS)
@@ -115,5 +127,5 @@ def url_rows(df: DataFrame, id_col: str = "package_id", text: Column | None = No
             .select(id_col, F.col("pos").cast("long").alias("pos"), "url",
                     U.netloc(u).alias("netloc"), U.url_domain(u).alias("domain"),
                     U.parseable(U.netloc(u)).alias("parseable"),
-                    _is_external(u, profile.internal_hosts, None).alias("external"),
+                    (U.parseable(U.netloc(u)) & ~U.url_domain(u).isin(list(profile.internal_hosts))).alias("external"),
                     (U.parseable(U.netloc(u)) & U.url_domain(u).isin(list(profile.short_hosts))).alias("short")))

@@ -45,19 +45,10 @@ def own_features(cand: DataFrame, ranks: DataFrame, semantics: DataFrame | None
     return feats
 
 
-def with_context(feats: DataFrame, block: list[str], chunked: bool | str = "auto",
-                 sf_dir: str | None = None) -> DataFrame:
-    """Author context over the named feature columns (as one array).
-    ``chunked``: True / False force a plan; "auto" chunks only hot authors."""
+def with_context(feats: DataFrame, block: list[str], chunks: int | None = None) -> DataFrame:
+    """Author context over the named feature columns (as one array)."""
     arr = feats.withColumn("own_block", F.array(*[F.col(c).cast("double") for c in block]))
-    if chunked == "auto":
-        sizes = FX.packages(feats.sparkSession, sf_dir).select("namespace") if sf_dir else None
-        return CTX.author_context_auto(arr, "namespace", ["release_ts", "package_id"], "own_block",
-                                       CTX.day_chunk("release_ts"), sizes_from=sizes)
-    if chunked:
-        return CTX.author_context_chunked(arr, "namespace", ["release_ts", "package_id"], "own_block",
-                                          CTX.day_chunk("release_ts"))
-    return CTX.author_context(arr, "namespace", ["release_ts", "package_id"], "own_block")
+    return CTX.author_context(arr, "namespace", ["release_ts", "package_id"], "own_block", chunks=chunks)
 
 
 SEM = [f"sem_{i}" for i in range(10)]
@@ -82,17 +73,21 @@ def narrow_packages(spark: SparkSession, sf_dir: str) -> DataFrame:
     counts and external domains; ``when(gate = 'score', ..)`` skips the regex
     work for the rest). Written to the shared checkpoint directory; later
     branches read this narrow table instead of re-reading the text (R3)."""
-    from ..operators.url_features import COUNT_COLS, url_counts
+    from ..operators.url_features import COUNT_COLS, links, url_counts
     from ..functions.urls import extract_urls
     from ..session import cut_lineage
     g = gated_packages(spark, sf_dir)
     scored = F.col("gate") == SCORE
     text = image_text(F.col("name"), F.col("description"), F.col("full_description"))
     feats = [*image_code_features(F.col("full_description")), popularity(F.col("pull_count")).alias("popularity"),
-             *url_counts(extract_urls(text), IMAGE)]
-    names = [*CODE, "popularity", *COUNT_COLS, "external_domains"]  # the order of ``feats``
+             F.col("_links")]
+    names = [*CODE, "popularity", "_links"]  # the order of ``feats``
     lazy = [F.when(scored, c).alias(n) for n, c in zip(names, feats)]
-    return cut_lineage(g.select("package_id", "name", "namespace", "release_ts", "gate", *lazy))
+    # URLs are extracted and parsed in a projection of their own, once per row.
+    g = g.withColumn("_links", F.when(scored, links(extract_urls(text), IMAGE)))
+    base = g.select("package_id", "name", "namespace", "release_ts", "gate", *lazy)
+    counts = [F.when(scored, c).alias(n) for n, c in zip([*COUNT_COLS, "external_domains"], url_counts(F.col("_links")))]
+    return cut_lineage(base.select("package_id", "name", "namespace", "release_ts", "gate", *CODE, "popularity", *counts))
 
 
 def narrow_candidates(spark: SparkSession, sf_dir: str, narrow: DataFrame | None = None) -> DataFrame:
@@ -100,8 +95,7 @@ def narrow_candidates(spark: SparkSession, sf_dir: str, narrow: DataFrame | None
     return n.where(F.col("gate") == SCORE)
 
 
-def feature_table(spark: SparkSession, sf_dir: str, chunked: bool | str = "auto",
-                  narrow: DataFrame | None = None) -> DataFrame:
+def feature_table(spark: SparkSession, sf_dir: str, narrow: DataFrame | None = None) -> DataFrame:
     """M1: one row per scored package with the 35-wide ``features`` array."""
     from ..operators.url_features import COUNT_COLS, url_scores
     nc = narrow_candidates(spark, sf_dir, narrow)
@@ -110,7 +104,7 @@ def feature_table(spark: SparkSession, sf_dir: str, chunked: bool | str = "auto"
     feats = (nc.select("package_id", "namespace", "release_ts", *CODE, "popularity")
              .join(urls.select("package_id", *URL_FEATURES), "package_id")
              .join(semantic_block(spark, sf_dir, ids), "package_id", "left"))
-    ctx = with_context(feats, CTX_ORDER, chunked=chunked, sf_dir=sf_dir)
+    ctx = with_context(feats, CTX_ORDER)
     own = F.array(*[F.col(c).cast("double") for c in OWN_ORDER])
     return ctx.select("package_id", "namespace", "release_ts",
                       F.concat(own, F.col("ctx"), F.array(F.col("popularity").cast("double"))).alias("features"))

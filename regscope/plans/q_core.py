@@ -47,11 +47,27 @@ def q_author_context(spark, sf):
     cand = IMG.candidates(spark, sf)
     f = url_features(cand, FX.rank_domain(spark), profile=IMAGE)
     feats = cand.select("package_id", "namespace", "release_ts").join(f.select("package_id", *URL_FEATURES), "package_id")
-    ctx = IMG.with_context(feats, list(URL_FEATURES), chunked="auto", sf_dir=sf)
+    ctx = IMG.with_context(feats, list(URL_FEATURES))
     return ctx.select("package_id", "namespace",
                       *[F.round(F.col("ctx")[i], 6).alias(f"ctx_{c}") for i, c in enumerate(URL_FEATURES)])
 
 
+@register("author_context_hot", """
+with e as (select event_id, case when event_id % 7 = 0 then null else ts end as ts, event_id * 0.5 as f from events),
+w as (select event_id, f, lag(f, 1) over win as p1, lag(f, 2) over win as p2 from e
+  window win as (order by ts nulls first, event_id))
+select event_id, round(case when p1 is null then f when p2 is null then p1 else 0.6 * p1 + 0.4 * p2 end, 6) as ctx from w""")
+def q_author_context_hot(spark, sf):
+    """W1 for one author who owns every event, some without a time, in many chunks."""
+    from ..operators.context import author_context
+    from ..sources.tables import table
+    e = table(spark, sf, "events").select(
+        "event_id", F.lit("all").alias("author"), F.when(F.col("event_id") % 7 == 0, None).otherwise(F.col("ts")).alias("ts"),
+        F.array((F.col("event_id") * 0.5).cast("double")).alias("f"))
+    out = author_context(e, "author", ["ts", "event_id"], "f", id_col="event_id", chunks=200)
+    return out.select("event_id", F.round(F.col("ctx")[0], 6).alias("ctx"))
+
+
 # --- step 2: texts, other gates, links, sinks, row-local features -----------
 @register("package_text", TW.with_ctes(TW.PACKAGES, TW.NPMV, body="""
 select package_id, concat_ws(' ', name, description, full_description) as image_text,
@@ -247,9 +263,9 @@ select u.package_id, u.pos, u.domain, round(coalesce(1 - r.rank / 1000000.0, 0),
 from ur u left join rank_domain r on r.domain = u.domain"""))
 def q_domain_rank_score(spark, sf):
     """Rank score of each URL's registered domain (0 if unranked)."""
-    from ..sources.tables import broadcast_if_small, rank_score
+    from ..sources.tables import rank_score
     rows = url_rows(IMG.candidates(spark, sf)).select("package_id", "pos", "domain")
-    ranks = broadcast_if_small(FX.rank_domain(spark))
+    ranks = FX.rank_domain(spark)
     return rows.join(ranks, "domain", "left").select("package_id", "pos", "domain",
                                                      r6(rank_score(F.col("rank")), "score"))
 
@@ -271,16 +287,14 @@ def q_url_class(spark, sf):
     """J4 (npm form): external / short per URL; the package's own homepage
     domain counts as internal."""
     from ..functions import urls as U
-    from ..operators.url_features import _is_external
+    from ..operators.url_features import links
     g = gate_npm(FX.npm_view(spark, sf)).where(F.col("gate") == SCORE)
     c = lambda n: F.coalesce(F.col(n), F.lit(""))
-    hp = U.url_domain(F.col("homepage"))
-    rows = g.select("package_id", hp.alias("hp"),
-                    F.posexplode(U.extract_urls(npm_text(c("name"), c("description"), c("readme")))).alias("pos", "url"))
-    u = F.col("url")
-    return rows.select("package_id", F.col("pos").cast("long").alias("pos"), U.url_domain(u).alias("domain"),
-                       _is_external(u, NPM.internal_hosts, F.coalesce(F.col("hp"), F.lit(""))).alias("external"),
-                       (U.parseable(U.netloc(u)) & U.url_domain(u).isin(list(NPM.short_hosts))).alias("short"))
+    found = g.select("package_id", F.coalesce(U.url_domain(F.col("homepage")), F.lit("")).alias("hp"),
+                     U.extract_urls(npm_text(c("name"), c("description"), c("readme"))).alias("urls"))
+    rows = found.select("package_id", F.posexplode(links(F.col("urls"), NPM, F.col("hp"))).alias("pos", "x"))
+    return rows.select("package_id", F.col("pos").cast("long").alias("pos"), F.col("x.dom").alias("domain"),
+                       F.col("x.ext").alias("external"), F.col("x.short").alias("short"))
 
 
 @register("media_urls", TW.with_ctes(TW.PACKAGES, TW.GATED, _URL_ROWS, body="""

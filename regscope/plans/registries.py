@@ -12,7 +12,7 @@ from ..operators import normalise as N
 from ..operators import semantics as S
 from ..operators.gates import SCORE, gate_npm, gate_nuget, npm_text, nuget_text
 from ..functions.urls import extract_urls
-from ..operators.url_features import COUNT_COLS, URL_FEATURES, url_counts, url_scores
+from ..operators.url_features import COUNT_COLS, URL_FEATURES, links, url_counts, url_scores
 from ..session import cut_lineage
 from ..profiles import NPM, NUGET, RegistryProfile
 from ..sources import fixtures as FX
@@ -32,10 +32,9 @@ def semantic_columns(spark: SparkSession, sf_dir: str, ids: DataFrame, profile:
     return sv.select("package_id", *[F.col("semantic")[i].alias(c) for i, c in enumerate(SEM)])
 
 
-def _context(feats: DataFrame, author: str, block: list[str], sizes: DataFrame) -> DataFrame:
+def _context(feats: DataFrame, author: str, block: list[str]) -> DataFrame:
     arr = feats.withColumn("own_block", F.array(*[F.col(c).cast("double") for c in block]))
-    return CTX.author_context_auto(arr, author, ["release_ts", "package_id"], "own_block",
-                                   CTX.day_chunk("release_ts"), sizes_from=sizes)
+    return CTX.author_context(arr, author, ["release_ts", "package_id"], "own_block")
 
 
 def npm_feature_table(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -48,10 +47,10 @@ def npm_feature_table(spark: SparkSession, sf_dir: str) -> DataFrame:
                     F.when(c("readme") == "", F.lit(0.0)).otherwise(F.lit(1.0)).alias("readme_flag"))
     ranks = FX.rank_domain(spark)
     # the only pass over the text: row-local features into a narrow table
-    narrow = cut_lineage(base.select(
-        "package_id", "user_name", "user_email", "release_ts", "repo_url", "homepage_domain", "readme_flag",
-        npm_code_feature(F.col("text")).alias("code_blocks"),
-        *url_counts(extract_urls(F.col("text")), NPM, F.col("homepage_domain"))))
+    kept = ["package_id", "user_name", "user_email", "release_ts", "repo_url", "homepage_domain", "readme_flag"]
+    parsed = base.select(*kept, npm_code_feature(F.col("text")).alias("code_blocks"),
+                         links(extract_urls(F.col("text")), NPM, F.col("homepage_domain")).alias("_links"))
+    narrow = cut_lineage(parsed.select(*kept, "code_blocks", *url_counts(F.col("_links"))))
     urls = url_scores(narrow.select("package_id", *COUNT_COLS, "external_domains"), ranks).select(
         "package_id", *URL_FEATURES)
     local = narrow.select("package_id", "user_name", "user_email", "release_ts", "repo_url", "homepage_domain",
@@ -60,7 +59,7 @@ def npm_feature_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     feats = (local.join(urls, "package_id")
              .join(semantic_columns(spark, sf_dir, narrow.select("package_id"), NPM), "package_id"))
     own = list(NPM.own_features)
-    ctx = _context(feats, "user_name", own, FX.packages(spark, sf_dir).select(F.col("namespace").alias("user_name")))
+    ctx = _context(feats, "user_name", own)
     return ctx.select("package_id", F.concat(F.col("own_block"), F.col("ctx")).alias("features"))
 
 
@@ -74,16 +73,15 @@ def nuget_feature_table(spark: SparkSession, sf_dir: str) -> DataFrame:
                     F.array_join(F.transform("repository_urls", lambda u: F.concat(u, F.lit(" "))), "").alias("repository"),
                     nuget_text(F.col("file_name"), F.col("description")).alias("text"))
     ranks = FX.rank_domain(spark)
-    narrow = cut_lineage(base.select(
-        "package_id", "author", "release_ts", "license", "readme_flag", "project_url", "repository",
-        *url_counts(extract_urls(F.col("text")), NUGET)))
+    kept = ["package_id", "author", "release_ts", "license", "readme_flag", "project_url", "repository"]
+    parsed = base.select(*kept, links(extract_urls(F.col("text")), NUGET).alias("_links"))
+    narrow = cut_lineage(parsed.select(*kept, *url_counts(F.col("_links"))))
     urls = url_scores(narrow.select("package_id", *COUNT_COLS, "external_domains"), ranks).select(
         "package_id", *URL_FEATURES)
     repo = N.repo_score(narrow, "package_id", "project_url", "repository", ranks)
     feats = (narrow.select("package_id", "author", "release_ts", "license", "readme_flag")
              .join(urls, "package_id").join(repo, "package_id")
              .join(semantic_columns(spark, sf_dir, narrow.select("package_id"), NUGET), "package_id"))
-    ctx = _context(feats, "author", list(NUGET.context_features),
-                   FX.packages(spark, sf_dir).select(F.col("namespace").alias("author")))
+    ctx = _context(feats, "author", list(NUGET.context_features))
     own = F.array(*[F.col(c).cast("double") for c in NUGET.own_features])
     return ctx.select("package_id", F.concat(own, F.col("ctx")).alias("features"))

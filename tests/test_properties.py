@@ -45,3 +45,16 @@ def test_duplicate_count_matches_counter(spark, xs):
     want = sum(1 for v in collections.Counter(xs).values() if v > 1)
     df = spark.createDataFrame([(xs,)], "a array<string>")
     assert df.select(duplicate_count(F.col("a"))).first()[0] == want
+
+
+def test_url_features_are_linear(spark):
+    """A package with 100,000 URLs takes seconds, not hours."""
+    import time
+    from pyspark.sql import functions as F
+    df = spark.range(1).select(F.lit(1).alias("package_id"), F.array_join(F.transform(
+        F.sequence(F.lit(1), F.lit(100_000)), lambda i: F.concat(F.lit("https://h"), (i % 5000).cast("string"), F.lit(".example.org/a "))), " ").alias("text"))
+    start = time.time()
+    ranks = spark.createDataFrame([("example.org", 10)], "domain string, rank long")
+    row = url_features(df, ranks).first()
+    assert row.n_urls == 100_000 and row.n_dup_urls == 5000 and row.n_hosts == 5000
+    assert time.time() - start < 60
