@@ -5,14 +5,11 @@ its own features, the second gets the previous package's features, later ones
 get ``0.6 * previous + 0.4 * one-before-previous``. Packages without an author
 get their own features and do not build state.
 
-Two plans with identical results:
-
-* ``author_context`` — ``lag`` over ``Window.partitionBy(author)``. One task per
-  author: fine unless an author is hot.
-* ``author_context_chunked`` — R5. Each author's rows are cut into time chunks
-  and each chunk is given copies of the (at most four) last rows of its two
-  preceding chunks, so ``lag`` over ``(author, chunk)`` sees the same two
-  predecessors. A hot author is spread over as many tasks as it has chunks.
+One plan for any author. Rows are range-partitioned by (author, order), so an
+author with very many rows, even on one day or without release times, is spread
+over as many chunks as its rows fill. Every chunk of an author gets copies of
+the last two rows of the two chunks before it, and ``lag`` inside (author,
+chunk) then sees the same two predecessors as over the whole author.
 """
 
 from __future__ import annotations
@@ -21,6 +18,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..constants import CONTEXT_DECAY
+from ..session import cut_lineage
 
 
 def _key_cols(author: str, id_col: str) -> list[Column]:
@@ -39,71 +37,36 @@ def blend(own: Column, prev1: Column, prev2: Column) -> Column:
 
 
 def author_context(df: DataFrame, author: str, order: list[str], features: str,
-                   id_col: str = "package_id", out: str = "ctx") -> DataFrame:
-    """Adds ``out`` (array<double>) computed from the ``features`` array column."""
-    keyed = df.select("*", *_key_cols(author, id_col))
-    w = Window.partitionBy("_noauth", "_akey").orderBy(*[F.col(c).asc_nulls_first() for c in order])
-    f = F.col(features)
-    return (keyed.withColumn(out, blend(f, F.lag(f, 1).over(w), F.lag(f, 2).over(w)))
-            .drop("_noauth", "_akey"))
-
+                   id_col: str = "package_id", out: str = "ctx", chunks: int | None = None) -> DataFrame:
+    """Adds ``out`` (array<double>) computed from the ``features`` array column.
 
-def author_context_chunked(df: DataFrame, author: str, order: list[str], features: str,
-                           chunk: Column, id_col: str = "package_id", out: str = "ctx") -> DataFrame:
-    """R5 form of ``author_context``. ``chunk`` must be non-decreasing in
-    ``order`` within an author (e.g. the release day)."""
+    Null order values come first. ``chunks`` fixes the number of ranges; by
+    default it is the number of shuffle partitions. The chunked rows are a
+    written table: range bounds are sampled, so both readers must see one run.
+    """
     cols = df.columns
-    keyed = df.select("*", *_key_cols(author, id_col), chunk.alias("_chunk"))
-    ordering = [F.col(c).asc_nulls_first() for c in order]
     part = ["_noauth", "_akey", "_chunk"]
+    ordering = [F.col(c).asc_nulls_first() for c in order]
+    ranges = ["_noauth", "_akey", *ordering]
+    keyed = df.select("*", *_key_cols(author, id_col))
+    ranged = keyed.repartitionByRange(chunks, *ranges) if chunks else keyed.repartitionByRange(*ranges)
+    body = cut_lineage(ranged.withColumn("_chunk", F.spark_partition_id()))
     carry = [*order, features]
 
     # The last two rows of every (author, chunk).
-    last2 = (keyed.select(*part, *carry)
-             .withColumn("_rn", F.row_number().over(
-                 Window.partitionBy(*part).orderBy(*[F.col(c).desc_nulls_last() for c in order])))
-             .where(F.col("_rn") <= 2).drop("_rn"))
-    # The two chunks before each chunk of an author (one row per chunk: small).
-    chunks = last2.select("_noauth", "_akey", "_chunk").distinct()
-    cw = Window.partitionBy("_noauth", "_akey").orderBy(F.col("_chunk").asc_nulls_first())
-    prev = (chunks.select("_noauth", "_akey", "_chunk",
-                          F.array_compact(F.array(F.lag("_chunk", 1).over(cw), F.lag("_chunk", 2).over(cw))).alias("_src"))
-            .select("_noauth", "_akey", F.col("_chunk").alias("_dst"), F.explode("_src").alias("_chunk")))
-    prefix = (last2.join(prev, ["_noauth", "_akey", "_chunk"])
+    backwards = Window.partitionBy(*part).orderBy(*[F.col(c).desc_nulls_last() for c in order])
+    last2 = (body.where(~F.col("_noauth")).select(*part, *carry).withColumn("_rn", F.row_number().over(backwards))
+             .where(F.col("_rn") <= 2))
+    # The two chunks before each chunk of an author: one row per author and chunk.
+    cw = Window.partitionBy("_noauth", "_akey").orderBy("_chunk")
+    before = (last2.where(F.col("_rn") == 1)
+              .select("_noauth", "_akey", F.col("_chunk").alias("_dst"),
+                      F.array(F.lag("_chunk", 1).over(cw), F.lag("_chunk", 2).over(cw)).alias("_src"))
+              .select("_noauth", "_akey", "_dst", F.explode("_src").alias("_chunk")).where(F.col("_chunk").isNotNull()))
+    prefix = (last2.drop("_rn").join(before, part)
               .select("_noauth", "_akey", F.col("_dst").alias("_chunk"), *carry, F.lit(True).alias("_prefix")))
-    body = keyed.select("*", F.lit(False).alias("_prefix"))
-    both = body.unionByName(prefix, allowMissingColumns=True)
+    both = body.select("*", F.lit(False).alias("_prefix")).unionByName(prefix, allowMissingColumns=True)
     w = Window.partitionBy(*part).orderBy(*ordering)
     f = F.col(features)
     return (both.withColumn(out, blend(f, F.lag(f, 1).over(w), F.lag(f, 2).over(w)))
-            .where(~F.col("_prefix"))
-            .select(*cols, out))
-
-
-def day_chunk(ts_col: str) -> Column:
-    """Release day as the R5 chunk."""
-    return F.to_date(F.col(ts_col))
-
-
-# An author with more scored rows than this is treated as hot.
-HOT_AUTHOR_ROWS = 200_000
-
-
-def largest_group(df: DataFrame, author: str) -> int:
-    """Rows of the biggest author (one small aggregate over the author column;
-    map-side combined, one number to the driver)."""
-    r = df.groupBy(author).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()
-    return int(r[0] or 0)
-
-
-def author_context_auto(df: DataFrame, author: str, order: list[str], features: str, chunk: Column,
-                        id_col: str = "package_id", out: str = "ctx",
-                        hot_rows: int = HOT_AUTHOR_ROWS, sizes_from: DataFrame | None = None) -> DataFrame:
-    """Plain window unless some author is hot; then the chunked (R5) plan.
-
-    ``sizes_from`` may name a cheaper frame whose author counts bound ``df``'s
-    (e.g. one column of the stored package table); counting ``df`` itself
-    would re-run every join that produced it."""
-    if largest_group(sizes_from if sizes_from is not None else df, author) > hot_rows:
-        return author_context_chunked(df, author, order, features, chunk, id_col, out)
-    return author_context(df, author, order, features, id_col, out)
+            .where(~F.col("_prefix")).select(*cols, out))

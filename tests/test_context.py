@@ -38,22 +38,33 @@ def test_no_author_uses_own(spark):
     assert out == {1: 1.0, 2: 2.0, 3: 3.0}
 
 
-def test_chunked_equals_plain(spark):
-    df = _df(spark, _rows())
-    order = ["ts", "package_id"]
-    plain = {r.package_id: r.ctx for r in CTX.author_context(df, "author", order, "f").collect()}
-    # chunks of one hour: the hot author spans many chunks, some hold 1 row
-    chunk = F.floor(F.col("t") / 3600)
-    chunked = {r.package_id: r.ctx for r in CTX.author_context_chunked(df, "author", order, "f", chunk).collect()}
-    assert plain.keys() == chunked.keys()
-    for k in plain:
-        assert plain[k] == chunked[k], k
+def _plain(df, order):
+    """Lag over the whole author, as one window."""
+    from pyspark.sql import Window
+    no_author = F.col("author").isNull() | (F.col("author") == "")
+    key = F.when(no_author, F.concat(F.lit("none:"), F.col("package_id").cast("string"))).otherwise(F.col("author"))
+    w = Window.partitionBy(key).orderBy(*[F.col(c).asc_nulls_first() for c in order])
+    f = F.col("f")
+    return {r.package_id: r.ctx for r in df.select("package_id", CTX.blend(f, F.lag(f, 1).over(w), F.lag(f, 2).over(w)).alias("ctx")).collect()}
 
 
-def test_auto_picks_chunked_for_hot_author(spark):
+def test_chunks_do_not_change_the_context(spark):
+    order = ["ts", "package_id"]
     df = _df(spark, _rows())
-    assert CTX.largest_group(df, "author") == 400
-    out = CTX.author_context_auto(df, "author", ["ts", "package_id"], "f", F.floor(F.col("t") / 3600), hot_rows=100)
-    plain = CTX.author_context(df, "author", ["ts", "package_id"], "f")
-    assert sorted(map(tuple, out.select("package_id", "ctx").collect())) == \
-        sorted(map(tuple, plain.select("package_id", "ctx").collect()))
+    late = df.withColumn("ts", F.when(F.col("package_id").cast("string").rlike("[37]$"), None).otherwise(F.col("ts")))
+    one_day = df.withColumn("ts", F.min("ts").over(__import__("pyspark").sql.Window.partitionBy()))
+    for frame in (df, late, one_day):
+        want = _plain(frame, order)
+        for chunks in (1, 7, 150):  # the hot author spans many chunks, some hold a row
+            got = {r.package_id: r.ctx for r in CTX.author_context(frame, "author", order, "f", chunks=chunks).collect()}
+            assert got == want
+
+
+def test_nulls_before_a_day(spark):
+    """Three packages without a time, two on day A, one on the next day."""
+    import datetime as dt
+    day = dt.datetime(2024, 1, 1)
+    rows = [(1, None), (2, None), (3, None), (4, day), (5, day + dt.timedelta(hours=1)), (6, day + dt.timedelta(days=1))]
+    df = spark.createDataFrame([(i, "a", t, [float(i)]) for i, t in rows], "package_id long, author string, ts timestamp, f array<double>")
+    got = {r.package_id: round(r.ctx[0], 6) for r in CTX.author_context(df, "author", ["ts", "package_id"], "f", chunks=6).collect()}
+    assert got == {1: 1.0, 2: 1.0, 3: 1.6, 4: 2.6, 5: 3.6, 6: 4.6}
