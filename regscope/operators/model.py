@@ -19,10 +19,12 @@ def labelled(packages: DataFrame, labels: DataFrame, key: str = "package_id") ->
 
 
 def labelled_by_name(packages: DataFrame, labels: DataFrame, name: str = "name") -> DataFrame:
-    """J1 by name, first match: one package per name (lowest id) before the join."""
-    w = Window.partitionBy(name).orderBy("package_id")
-    first = packages.withColumn("_r", F.row_number().over(w)).where(F.col("_r") == 1).drop("_r")
-    return first.join(labels, name)
+    """J1 by name, first match: the package with the lowest id of each name.
+
+    Null names match no label and are dropped first; ids alone are combined per
+    name, map-side, and the packages' rows come by id."""
+    first = packages.where(F.col(name).isNotNull()).groupBy(name).agg(F.min("package_id").alias("package_id"))
+    return packages.join(first.join(labels, name).drop(name), "package_id")
 
 
 def training_set(abuse: DataFrame, benign: DataFrame) -> DataFrame:

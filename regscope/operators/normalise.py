@@ -9,7 +9,7 @@ from pyspark.sql import types as T
 
 from .. import constants as C
 from ..functions import urls as U
-from ..sources.tables import broadcast_if_small, rank_score
+from ..sources.tables import rank_score
 
 MANIFEST_SCHEMA = T.StructType([
     T.StructField("name", T.StringType()), T.StructField("description", T.StringType()),
@@ -99,7 +99,7 @@ def catalog_versions(leaves: DataFrame, json_col: str, start: str, end: str) ->
 
 def domain_score(df: DataFrame, domain_col: str, ranks: DataFrame, out: str) -> DataFrame:
     """Left join on a domain column with the size-checked rank table."""
-    r = broadcast_if_small(ranks.select(F.col("domain").alias("_d"), F.col("rank").alias("_r")))
+    r = ranks.select(F.col("domain").alias("_d"), F.col("rank").alias("_r"))
     return (df.join(r, F.col(domain_col) == F.col("_d"), "left")
             .withColumn(out, rank_score(F.col("_r"))).drop("_d", "_r"))
 

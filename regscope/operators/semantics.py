@@ -16,7 +16,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..constants import SEMANTIC_WIDTH
-from ..sources.tables import broadcast_if_small
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -27,11 +26,6 @@ def norm(a: Column) -> Column:
     return F.sqrt(dot(a, a))
 
 
-def unit(a: Column) -> Column:
-    n = norm(a)
-    return F.transform(a, lambda x: x / n)
-
-
 def cosine_distance(a: Column, b: Column) -> Column:
     """1 - cos(a, b)."""
     return F.lit(1.0) - dot(a, b) / (norm(a) * norm(b))
@@ -39,15 +33,20 @@ def cosine_distance(a: Column, b: Column) -> Column:
 
 def mean_unit_vector(words: DataFrame, vec: str = "vec") -> Column:
     """Scalar subquery: element-wise mean of the unit vectors of ``words``."""
-    comps = (words.select(F.posexplode(unit(F.col(vec))).alias("i", "x"))
-             .groupBy("i").agg(F.avg("x").alias("m")))
+    # The norm is a column beside the exploded components, computed once a word.
+    comps = (words.select(vec, norm(F.col(vec)).alias("n")).select("n", F.posexplode(vec).alias("i", "x"))
+             .groupBy("i").agg(F.avg(F.col("x") / F.col("n")).alias("m")))
     arr = comps.agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "m"))), lambda s: s["m"]).alias("c"))
     return arr.select("c").scalar()
 
 
 def unit_vector_list(words: DataFrame, vec: str = "vec") -> Column:
     """Scalar subquery: the unit vectors of a bounded word list, as one array."""
-    return words.agg(F.collect_list(unit(F.col(vec))).alias("l")).select("l").scalar()
+    comps = (words.select(vec, F.monotonically_increasing_id().alias("w"), norm(F.col(vec)).alias("n"))
+             .select("w", "n", F.posexplode(vec).alias("i", "x")))
+    units = comps.groupBy("w").agg(F.transform(
+        F.array_sort(F.collect_list(F.struct("i", (F.col("x") / F.col("n")).alias("u")))), lambda s: s["u"]).alias("u"))
+    return units.agg(F.collect_list("u").alias("l")).select("l").scalar()
 
 
 def in_vocab(keywords: DataFrame, vocab: DataFrame, key: str = "vec_id") -> DataFrame:
@@ -66,19 +65,18 @@ def platform_distance(keywords: DataFrame, vocab: DataFrame, platform: DataFrame
     platform words (in-vocabulary keywords only)."""
     # The subquery is projected first; lambdas may only reference columns.
     dist = (used_vocab(keywords, vocab, key).withColumn("_c", mean_unit_vector(platform))
-            .select(key, (F.lit(1.0) - dot(unit(F.col("vec")), F.col("_c"))).alias("distance")))
-    # one row per distinct keyword (vocabulary-bounded); popular keywords are
-    # hot keys on the keyword side, so this side is broadcast when it fits
-    return keywords.join(broadcast_if_small(dist), key)
+            .select(key, (F.lit(1.0) - dot(F.col("vec"), F.col("_c")) / norm(F.col("vec"))).alias("distance")))
+    # One row per distinct keyword. Popular keywords are hot keys on the keyword
+    # side: adaptive execution broadcasts this side by its bytes or splits the skew.
+    return keywords.join(dist, key)
 
 
 def list_distance(keywords: DataFrame, vocab: DataFrame, word_list: DataFrame,
                   key: str = "vec_id") -> DataFrame:
     """Per keyword, the minimum cosine distance to any word of the list."""
     dist = (used_vocab(keywords, vocab, key).withColumn("_l", unit_vector_list(word_list))
-            .withColumn("_u", unit(F.col("vec")))
-            .select(key, F.array_min(F.transform("_l", lambda p: F.lit(1.0) - dot(F.col("_u"), p))).alias("distance")))
-    return keywords.join(broadcast_if_small(dist), key)
+            .select(key, (F.lit(1.0) - F.array_max(F.transform("_l", lambda p: dot(F.col("vec"), p))) / norm(F.col("vec"))).alias("distance")))
+    return keywords.join(dist, key)
 
 
 def list_distance_summary(dist: DataFrame, packages: DataFrame, id_col: str = "package_id") -> DataFrame:

@@ -24,15 +24,17 @@ from ..functions.text import is_alpha, tokens
 def stop_words() -> tuple[str, ...]:
     """Spark's built-in English stop words plus the six fixed extras.
 
-    Read straight from the MLlib jar (the same file ``StopWordsRemover`` loads)
-    so the list is available without a running JVM.
+    Read from the MLlib jar, the file that ``StopWordsRemover`` loads, so the
+    list needs no running JVM. Without the jar this is an error: a shorter list
+    would change every keyword.
     """
     import pyspark
-    jars = glob.glob(os.path.join(os.path.dirname(pyspark.__file__), "jars", "spark-mllib_*.jar"))
-    words: list[str] = []
-    if jars:
-        with zipfile.ZipFile(jars[0]) as z:
-            words = z.read("org/apache/spark/ml/feature/stopwords/english.txt").decode("utf-8").split()
+    homes = [os.environ.get("SPARK_HOME", ""), os.path.dirname(pyspark.__file__)]
+    jars = [j for h in homes if h for j in glob.glob(os.path.join(h, "jars", "spark-mllib_*.jar"))]
+    if not jars:
+        raise FileNotFoundError("no spark-mllib jar under SPARK_HOME or pyspark: the stop words can't be read")
+    with zipfile.ZipFile(jars[0]) as z:
+        words = z.read("org/apache/spark/ml/feature/stopwords/english.txt").decode("utf-8").split()
     return tuple(dict.fromkeys([*words, *C.EXTRA_STOP_WORDS]))
 
 
@@ -54,11 +56,9 @@ def clean_tokens(rows: DataFrame) -> DataFrame:
 def noun_verb_tokens(rows: DataFrame, lexicon: DataFrame) -> DataFrame:
     """F8: drop words the lexicon tags as something other than noun or verb;
     words missing from the lexicon are kept (a tagger calls them nouns)."""
-    from ..sources.tables import broadcast_if_small
     other = lexicon.where(~(F.col("tag").startswith("N") | F.col("tag").startswith("V"))).select(
         F.col("word").alias("token")).distinct()
-    # frequent words are hot join keys; the lexicon is vocabulary-bounded
-    return rows.join(broadcast_if_small(other, 5_000_000), "token", "left_anti")
+    return rows.join(other, "token", "left_anti")
 
 
 def word_freq(rows: DataFrame, id_col: str) -> DataFrame:

@@ -39,7 +39,7 @@ def q_vector_distance(spark, sf):
     """cosine distance of every vocabulary vector to platform word ``id % 20``."""
     v = FX.vectors(spark, sf)
     p = FX.platform_vec(spark, sf).select(F.col("vec_id").alias("plat_id"), F.col("vec").alias("pvec"))
-    return (v.join(p, (v["vec_id"] % 20) == p["plat_id"])
+    return (v.join(F.broadcast(p), (v["vec_id"] % 20) == p["plat_id"])  # 20 rows by construction
             .select("vec_id", "plat_id", r6(S.cosine_distance(F.col("vec"), F.col("pvec")), "distance")))
 
 

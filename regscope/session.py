@@ -8,7 +8,6 @@ create one under the system temp folder.
 
 from __future__ import annotations
 
-import os
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -34,17 +33,18 @@ def get_spark(app: str = "regscope", cpus: str | int | None = None,
               shuffle_partitions: int | None = None, extra: dict | None = None) -> SparkSession:
     """Build (or reuse) a session with the settings above.
 
-    ``cpus`` only matters for local runs; on a cluster the master comes from
-    ``spark-submit`` and this function just layers the SQL settings on top.
+    ``cpus`` asks for a local session (tests, the bench). Without it neither
+    master nor memory nor a number of shuffle partitions is set: on a cluster
+    they come from ``spark-submit``.
     """
     builder = SparkSession.builder.appName(app)
-    if cpus is not None or not os.environ.get("SPARK_MASTER"):
-        builder = builder.master(f"local[{cpus or '*'}]")
     conf = dict(BASE_CONF)
-    conf["spark.sql.shuffle.partitions"] = str(shuffle_partitions or 8)
-    conf.setdefault("spark.driver.memory", "8g")
-    conf.update(extra or {})
-    for k, v in conf.items():
+    if cpus is not None:
+        builder = builder.master(f"local[{cpus}]")
+        conf |= {"spark.driver.memory": "8g", "spark.sql.shuffle.partitions": "8"}
+    if shuffle_partitions is not None:
+        conf["spark.sql.shuffle.partitions"] = str(shuffle_partitions)
+    for k, v in {**conf, **(extra or {})}.items():
         builder = builder.config(k, v)
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
@@ -53,22 +53,30 @@ def get_spark(app: str = "regscope", cpus: str | int | None = None,
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Return the shared checkpoint directory, creating a local one only if unset."""
-    configured = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if configured:
-        if spark.sparkContext.getCheckpointDir() is None:
-            spark.sparkContext.setCheckpointDir(configured)
-        return spark.sparkContext.getCheckpointDir() or configured
-    local = tempfile.mkdtemp(prefix="regscope-ckpt-")
-    spark.conf.set("spark.checkpoint.dir", local)
-    spark.sparkContext.setCheckpointDir(local)
-    return spark.sparkContext.getCheckpointDir() or local
+    """The shared folder ``spark.checkpoint.dir``, the same one in every session.
+
+    A local session without it gets a temporary folder; on a cluster that is an
+    error, as executors could not see each other's files."""
+    configured = spark.conf.get("spark.checkpoint.dir", None)
+    if configured is None:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        configured = tempfile.mkdtemp(prefix="regscope-ckpt-")
+        spark.conf.set("spark.checkpoint.dir", configured)
+    if spark.sparkContext.getCheckpointDir() is None:
+        spark.sparkContext.setCheckpointDir(configured)
+    return configured
 
 
 def shared_path(spark: SparkSession, *parts: str) -> str:
-    """A path under the shared checkpoint directory (for state, streams, models)."""
-    base = ensure_checkpoint_dir(spark)
-    return "/".join([base.rstrip("/"), *parts])
+    """A path under the shared folder (for state, streams, models)."""
+    return "/".join([ensure_checkpoint_dir(spark).rstrip("/"), *parts])
+
+
+def drop_lineage(spark: SparkSession) -> None:
+    """Delete what ``cut_lineage`` wrote in this application; call it before stopping."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(shared_path(spark, "lineage", spark.sparkContext.applicationId))
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
@@ -78,6 +86,6 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     persist runs it twice) and the result is columnar, so later reads prune
     columns."""
     import uuid
-    path = shared_path(df.sparkSession, "lineage", uuid.uuid4().hex)
+    path = shared_path(df.sparkSession, "lineage", df.sparkSession.sparkContext.applicationId, uuid.uuid4().hex)
     df.write.parquet(path)
     return df.sparkSession.read.parquet(path)

@@ -86,8 +86,9 @@ def npm_packages(members: DataFrame) -> DataFrame:
     from ..operators.normalise import npm_manifest, pick_member
     ok = members.where(F.col("error").isNull())
     counts = ok.groupBy("path").agg(F.max("n_members").alias("num_files"))
+    # A manifest with bad bytes is a package without one, not the end of the job.
     man = (ok.where(F.col("member") == "package/package.json")
-           .select("path", F.decode("content", "UTF-8").alias("manifest")))
+           .select("path", F.try_validate_utf8(F.col("content").cast("string")).alias("manifest")))
     man = npm_manifest(man, "manifest")
     readme = pick_member(ok.where(F.col("member").isNotNull()), "path", list(C.NPM_README_NAMES))
     readme = readme.select("path", *decode_utf8_or(F.col("content"))).withColumnRenamed(

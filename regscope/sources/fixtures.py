@@ -64,13 +64,9 @@ def packages_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when((d % 4 == 0) & (d % 5 > 0), F.lit("https://hub.docker.com/r/x ")).otherwise(F.lit("")),
         F.when(d % 9 == 1, F.lit("https://cdn.example.org/a.png https://cdn.example.org/a.png ")).otherwise(F.lit("")),
         F.when(d % 6 == 0, F.concat(nl, F.lit("```"), nl, F.lit("run"), nl, F.lit("```"))).otherwise(F.lit("")))
-    # The link block is one narrow row per document: broadcast it when its size
-    # check passes so the wide text column is never shuffled; otherwise a
-    # shuffle join on doc_id.
-    from .tables import broadcast_if_small
-    return (docs.join(broadcast_if_small(_link_block(spark, sf_dir), 1_000_000), "doc_id", "left")
-            .join(labels, "doc_id", "left")
-            .join(events, "doc_id", "left")
+    # The narrow sides meet first, so the text takes part in one join only.
+    narrow = (_link_block(spark, sf_dir).join(labels, "doc_id", "full_outer").join(events, "doc_id", "full_outer"))
+    return (docs.join(narrow, "doc_id", "left")
             .select(
                 d.alias("package_id"),
                 F.when(d % 89 == 0, F.lit(None).cast("string")).otherwise(F.col("source")).alias("namespace"),

@@ -1,7 +1,8 @@
 """Normalised tables written once into shared storage.
 
 A table is keyed by its name, the input directory and the size and
-modification time of each input file, so a changed input gives a new table.
+modification time of each input's part files and a plan version, so a changed
+input or definition gives a new table.
 The write goes to a temporary path that is renamed into place, so a failed or
 concurrent build never leaves a half-written table behind.
 """
@@ -17,6 +18,10 @@ from pyspark.sql import DataFrame, SparkSession
 from ..session import shared_path
 
 
+# Raise it when a stored table's definition changes.
+PLAN_VERSION = 2
+
+
 def _fs(spark: SparkSession, path: str):
     jvm = spark.sparkContext._jvm
     p = jvm.org.apache.hadoop.fs.Path(path)
@@ -24,12 +29,14 @@ def _fs(spark: SparkSession, path: str):
 
 
 def _fingerprint(spark: SparkSession, sf_dir: str, inputs: list[str]) -> str:
-    h = hashlib.sha1(sf_dir.encode())
+    h = hashlib.sha1(f"{PLAN_VERSION}:{sf_dir}".encode())
     for name in inputs:
         path = f"{sf_dir.rstrip('/')}/{name}.parquet"
         fs, p, _ = _fs(spark, path)
-        st = fs.getFileStatus(p)
-        h.update(f"{name}:{st.getLen()}:{st.getModificationTime()}".encode())
+        # A table may be a folder: every part file counts, not the folder's own time.
+        parts = [st for st in fs.listStatus(p) if not st.getPath().getName().startswith(("_", "."))]
+        for line in sorted(f"{name}:{st.getPath().getName()}:{st.getLen()}:{st.getModificationTime()}" for st in parts):
+            h.update(line.encode())
     return h.hexdigest()[:16]
 
 

@@ -18,17 +18,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
-def broadcast_if_small(df: DataFrame, max_rows: int = 2_000_000) -> DataFrame:
-    """Broadcast ``df`` only after checking its size; otherwise leave the join to
-    the planner (sort-merge, or AQE's own run-time broadcast).
-
-    The check is one count over a column-pruned scan of a lookup table, not of
-    the fact data.
-    """
-    n = df.count()
-    return F.broadcast(df) if n <= max_rows else df
-
-
 # --- S6: domain-rank table --------------------------------------------------
 RANK_SCHEMA = T.StructType([T.StructField("domain", T.StringType()),
                             T.StructField("rank", T.LongType())])
