@@ -38,7 +38,7 @@ BITS = 20
 PREFIX = 5
 CACHE = 1_000_000
 THRESHOLD = 0.7
-LEAST_CONTRAST = 0.9
+LEAST_CONTRAST = 0.4
 
 
 @functools.cache
@@ -68,24 +68,25 @@ def _rows(lists: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     return np.repeat(np.arange(len(lists)), sizes), np.concatenate([*lists, np.zeros(0, np.int32)]).astype(np.int64)
 
 
-def contrast(positive: list[np.ndarray], unlabelled: list[np.ndarray], errors: float = 2.0) -> np.ndarray:
+def contrast(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float, errors: float = 2.0) -> np.ndarray:
     """How much more common a bucket surely is among positives than among
     unlabelled texts: the log ratio less ``errors`` standard errors, 0 if that is
-    below ``LEAST_CONTRAST``. It scales the bucket's feature."""
+    below ``LEAST_CONTRAST`` of the most it can be, log(1 / prior). It scales the
+    bucket's feature."""
     dim = 1 << BITS
     p = np.bincount(_rows(positive)[1], minlength=dim) + 0.5
     u = np.bincount(_rows(unlabelled)[1], minlength=dim) + 0.5
     sure = np.log(p / len(positive)) - np.log(u / len(unlabelled)) - errors * np.sqrt(1 / p + 1 / u)
-    return np.where(sure > LEAST_CONTRAST, sure, 0.0)
+    return np.where(sure > LEAST_CONTRAST * -np.log(min(max(prior, 1e-6), 0.99)), sure, 0.0)
 
 
-def nnpu_fit(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float, epochs: int = 30,
+def nnpu_fit(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float, epochs: int = 60,
              batches: int = 8, rate: float = 0.02, decay: float = 1e-4, beta: float = 0.0, seed: int = 7) -> np.ndarray:
     """Weights of the buckets, the intercept last (Adam on the non-negative risk, logistic loss)."""
     dim = 1 << BITS
     if not positive or not unlabelled:
         return np.concatenate([np.zeros(dim), [-np.inf]])
-    scale = contrast(positive, unlabelled)
+    scale = contrast(positive, unlabelled, prior)
     # Buckets without contrast stay at zero; only the others are kept in the rows.
     positive, unlabelled = ([x[scale[x] > 0] for x in part] for part in (positive, unlabelled))
     w = np.concatenate([np.ones(dim), [-2.0]])
@@ -147,7 +148,7 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string")) % 3 == 1, F.lit(False))
 
 
-def fit(docs: DataFrame, labels: DataFrame, positives: int = 4000, unlabelled: int = 8000, kept_out: int = 6000) -> np.ndarray:
+def fit(docs: DataFrame, labels: DataFrame, positives: int = 4_000, unlabelled: int = 16_000, kept_out: int = 6_000) -> np.ndarray:
     """Weights learned from the rows that are not held out.
 
     A quarter of the learning rows (by hash) is kept out of the risk and only
