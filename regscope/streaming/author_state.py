@@ -28,6 +28,7 @@ from pyspark.sql import functions as F
 from ..constants import CONTEXT_DECAY
 from ..session import shared_path
 
+NO_TIME = -(1 << 62)
 STATE_SCHEMA = "last1 array<double>, last2 array<double>, last_ts long, last_id long"
 # Group key prefix for rows without an author: each such row is its own group
 # and keeps no state (no hot null key).
@@ -40,8 +41,11 @@ def group_key(author: Column, row_id: Column) -> Column:
 
 
 def land_daily(df: DataFrame, ts_col: str, key_col: str, dest: str, parts_per_day: int = 4) -> str:
-    """Append ``df`` to ``dest`` one calendar day after another. The loop runs
-    over days (a calendar, not rows)."""
+    """Append ``df`` to ``dest`` one calendar day after another, rows without a
+    time first (they order first). The loop runs over days (a calendar, not rows)."""
+    untimed = df.where(F.col(ts_col).isNull())
+    if not untimed.isEmpty():
+        untimed.repartition(parts_per_day, key_col).write.mode("append").parquet(dest)
     days = [r[0] for r in df.select(F.to_date(ts_col).alias("d")).where(F.col("d").isNotNull())
             .distinct().orderBy("d").collect()]
     for d in days:
@@ -60,6 +64,8 @@ def context_state_fn(key_col: str, id_col: str, ts_col: str, feat_col: str):
 
     def fn(key, pdfs, state):
         rows = pd.concat(list(pdfs), ignore_index=True)
+        # Rows without a time order first, as nulls do in the batch plan.
+        rows = rows.assign(**{ts_col: rows[ts_col].fillna(NO_TIME).astype("int64")})
         rows = rows.sort_values([ts_col, id_col], kind="mergesort")
         has_key = not str(key[0]).startswith(NO_AUTHOR)
         if has_key and state.exists:
