@@ -172,7 +172,7 @@ def ngram_join(docs: DataFrame, n: int = N, threshold: int = THRESHOLD) -> DataF
         .unionByName(texts.where("n_shingles = 0").select("rid", "doc_id", "key", "n_shingles", F.col("rid").alias("text_id"))),
         "join-members")
     extra = written(texts.where("lead").select("rid", "key").join(leads, "key").where("rid <> text_id").select("rid"), "join-extra")
-    one = texts.where("lead").join(extra, "rid", "left_anti")
+    one = texts.where("lead").join(broadcast_if_small(extra), "rid", "left_anti")
 
     # The columns of two texts or more. What a chunk found hot comes as one mark.
     posts = one.select(F.explode("cold").alias("h"), "rid", F.col("n_shingles").cast("int").alias("n"), F.lit(1).alias("w"))
@@ -209,7 +209,8 @@ def ngram_join(docs: DataFrame, n: int = N, threshold: int = THRESHOLD) -> DataF
              .select(F.col("a").alias("u"), F.col("b").alias("v")))
 
     # Dense part: stars over all posted columns of the open texts.
-    open_posts = one.join(stats.where("open").select("rid"), "rid", "left_semi").select(
+    open_ids = written(stats.where("open").select("rid"), "join-open")
+    open_posts = one.join(broadcast_if_small(open_ids), "rid", "left_semi").select(
         "rid", F.explode(F.concat("cold", "hot")).alias("h"))
     centre = open_posts.groupBy("h").agg(F.min("rid").alias("v"), F.count("*").alias("c")).where("c > 1").select("h", "v")
     stars = open_posts.join(centre, "h").where("rid <> v").select(F.col("rid").alias("u"), "v").distinct()
