@@ -154,12 +154,12 @@ def q_language_gate(spark, sf):
 
 
 @register("text_for_keywords", TW.with_ctes(TW.PACKAGES, TW.GATED, """
-tr as (select package_id, concat('english ', description) as text_en from packages where lang <> 'en')
+tr as (select package_id, concat('english ', coalesce(full_description, '')) as text_en from packages where lang <> 'en')
 """, body="select c.package_id, coalesce(t.text_en, c.text) as kw_text from cand c left join tr t on t.package_id = c.package_id"))
 def q_text_for_keywords(spark, sf):
-    """keyword text is the supplied translation for non-English packages."""
+    """keyword text is the supplied translation, of the whole text, for non-English packages."""
     p = FX.packages(spark, sf)
-    tr = p.where(F.col("lang") != "en").select("package_id", F.concat(F.lit("english "), F.col("description")).alias("text_en"))
+    tr = p.where(F.col("lang") != "en").select("package_id", F.concat(F.lit("english "), F.coalesce("full_description", F.lit(""))).alias("text_en"))
     return LG.text_for_keywords(IMG.candidates(spark, sf), "package_id", "text", tr)
 
 

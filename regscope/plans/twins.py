@@ -24,7 +24,7 @@ packages as (
 select d.doc_id as package_id,
   case when d.doc_id % 89 = 0 then null else d.source end as namespace,
   case when d.doc_id % 97 = 0 then null else concat('pkg-', cast(d.doc_id as varchar)) end as name,
-  substring(d.text, 1, 80) as description,
+  concat_ws(' ', 'package of', d.source, 'in', d.lang) as description,
   case when d.doc_id % 53 = 0 then null else concat(d.text, chr(10), coalesce(b.block, ''),
     case when d.doc_id % 3 = 0 and d.doc_id % 5 > 0 then concat('https://bit.ly/', cast(d.doc_id as varchar), ' ') else '' end,
     case when d.doc_id % 4 = 0 and d.doc_id % 5 > 0 then 'https://hub.docker.com/r/x ' else '' end,

@@ -71,7 +71,7 @@ def packages_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
                 d.alias("package_id"),
                 F.when(d % 89 == 0, F.lit(None).cast("string")).otherwise(F.col("source")).alias("namespace"),
                 F.when(d % 97 == 0, F.lit(None).cast("string")).otherwise(F.concat(F.lit("pkg-"), sid)).alias("name"),
-                F.substring("text", 1, 80).alias("description"),
+                F.concat_ws(" ", F.lit("package of"), "source", F.lit("in"), "lang").alias("description"),
                 F.when(d % 53 == 0, F.lit(None).cast("string")).otherwise(full).alias("full_description"),
                 ((d * 7919) % 100003).alias("pull_count"),
                 F.when(d % 13 == 0, F.lit("official")).otherwise(F.lit("community")).alias("filter_type"),
