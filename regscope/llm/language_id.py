@@ -135,8 +135,11 @@ def fit(docs: DataFrame, clusters: int = 4, per_lang: int = 600) -> Model:
 
     # Ids are ranked on narrow rows; only the sample's texts are joined to them.
     order = W.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    ids = (learn.select("doc_id", "lang").distinct().withColumn("_rank", F.row_number().over(order))
-           .where(F.col("_rank") <= per_lang).select("doc_id", "lang"))
+    # A common language is ranked in salted parts first, so no task sees all of its ids.
+    salted = W.partitionBy("lang", "_salt").orderBy(F.xxhash64("doc_id"), "doc_id")
+    ids = (learn.select("doc_id", "lang").distinct().withColumn("_salt", F.pmod(F.xxhash64("doc_id", F.lit("salt")), F.lit(64)))
+           .withColumn("_rank", F.row_number().over(salted)).where(F.col("_rank") <= per_lang)
+           .withColumn("_rank", F.row_number().over(order)).where(F.col("_rank") <= per_lang).select("doc_id", "lang"))
 
     def centroids(pdf: pd.DataFrame) -> pd.DataFrame:
         texts = [t for t in pdf.sort_values("doc_id")["text"] if has_letter(t)]
