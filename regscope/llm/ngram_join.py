@@ -57,7 +57,7 @@ CUT = np.uint64(int(0.375 * 2 ** 64))
 SHORT = 128                   # n-grams up to which a text posts all of them
 CHUNK = 1_000_000             # posted hashes that a task looks at together
 BLOCK_ROWS, BLOCK_GRAMS = 512, 1_000_000
-CACHE = 300_000
+CACHE = 100_000
 
 
 class _Words(dict):

@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 
 BITS = 20
 PREFIX = 5
-CACHE = 1_000_000
+CACHE = 150_000
 THRESHOLD = 0.7
 LEAST_CONTRAST = 0.4
 
