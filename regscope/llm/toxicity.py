@@ -87,8 +87,12 @@ def nnpu_fit(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: fl
     if not positive or not unlabelled:
         return np.concatenate([np.zeros(dim), [-np.inf]])
     scale = contrast(positive, unlabelled, prior)
-    # Buckets without contrast stay at zero; only the others are kept in the rows.
-    positive, unlabelled = ([x[scale[x] > 0] for x in part] for part in (positive, unlabelled))
+    # Buckets without contrast stay at zero; only the others are numbered and fitted.
+    active = np.flatnonzero(scale)
+    number = np.full(dim, -1, np.int64)
+    number[active] = np.arange(len(active))
+    positive, unlabelled = ([number[x][number[x] >= 0] for x in part] for part in (positive, unlabelled))
+    whole, dim, scale = dim, len(active), scale[active]
     w = np.concatenate([np.ones(dim), [-2.0]])
     m, v, step = np.zeros_like(w), np.zeros_like(w), 0
     rng = np.random.default_rng(seed)
@@ -112,13 +116,15 @@ def nnpu_fit(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: fl
             g = (np.bincount(fp, gp[rp], dim + 1) + np.bincount(fu, gu[ru], dim + 1)).astype(float)
             g[:dim] *= scale
             g[dim] = gp.sum() + gu.sum()
-            g[:dim] += decay * w[:dim] * (scale > 0)
+            g[:dim] += decay * w[:dim]
             step += 1
             m += 0.1 * (g - m)
             v += 0.001 * (g * g - v)
             w -= rate * (m / (1 - 0.9 ** step)) / (np.sqrt(v / (1 - 0.999 ** step)) + 1e-8)
-    w[:dim] *= scale
-    return w
+    out = np.zeros(whole + 1)
+    out[active] = w[:dim] * scale
+    out[-1] = w[dim]
+    return out
 
 
 def margins(rows: list[np.ndarray], w: np.ndarray) -> np.ndarray:
