@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import WORD, written
+from .common import WORD, broadcast_if_small, written
 
 WEIGHTS = (5.0, 2.0, 1.0)
 
@@ -76,7 +76,7 @@ def _rated(rows: DataFrame, targets: DataFrame, seed: str) -> DataFrame:
     """
     t = targets.select(F.col("source").alias("_src"), "source_size", "target")
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
-    joined = rows.join(t, rows["source"].eqNullSafe(t["_src"]), "left").drop("_src")
+    joined = rows.join(broadcast_if_small(t), rows["source"].eqNullSafe(t["_src"]), "left").drop("_src")
     copies = F.floor(rate) + (unit_draw(seed, F.col("doc_id")) < rate - F.floor(rate)).cast("long")
     return joined.withColumn("copies", copies.cast("long"))
 
@@ -97,6 +97,6 @@ def mix(docs: DataFrame, weights: Sequence[float] = WEIGHTS, budget: float = 1.5
     row = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("_row"))
     keyed = row.select("_row", F.col("_row.doc_id").alias("doc_id"), F.col("_row.source").alias("source"))
     sized = docs.select("doc_id", "source", word_count(F.col("text")).alias("size"))
-    targets = source_targets(sized, weights, budget, max_repeat)
+    targets = written(source_targets(sized, weights, budget, max_repeat), "targets")
     out = _rated(keyed, targets, seed).where("copies > 0")
     return out.select("_row", F.explode(F.array_repeat(F.lit(0), F.col("copies").cast("int")))).select("_row.*")
