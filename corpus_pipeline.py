@@ -42,7 +42,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def encode_texts(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, lang, source, n_tokens and ids (end id last) of every row."""
     model = sentence_pieces.read_model(f"{TOKENIZERS}/piece_bpe_32k.model")
-    encoded = sentence_pieces.encode(docs.select("doc_id", "lang", "source", "text"), model)
+    encoded = sentence_pieces.encode(docs.select("doc_id", "lang", "source", "text"), model, offsets=False)
     return encoded.select("doc_id", "lang", "source", F.size("ids").cast("long").alias("n_tokens"), "ids")
 
 

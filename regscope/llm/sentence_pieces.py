@@ -31,11 +31,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 MARK = "▁"
-CACHE = 1_000_000
+CACHE = 500_000
 NORMAL, UNKNOWN, CONTROL, BYTE = 1, 2, 3, 6
 
 
@@ -329,25 +331,32 @@ def read_model(path: str) -> bytes:
         return f.read()
 
 
-def encode(docs: DataFrame, model: bytes, text: str = "text") -> DataFrame:
-    """Append ``ids`` (end id last), ``begins`` and ``ends`` (source bytes; the
-    end id covers the empty run at the end) to the input's columns."""
-    kept = [c for c in docs.columns if c not in ("ids", "begins", "ends")]
-    whole = docs.select(F.struct(*[docs[c] for c in kept]).alias("_row"), docs[text].alias("_text"))
+def encode(docs: DataFrame, model: bytes, text: str = "text", offsets: bool = True, rows: int = 256) -> DataFrame:
+    """Append ``ids`` (end id last) and, with ``offsets``, ``begins`` and ``ends``
+    (source bytes; the end id covers the empty run at the end) to the input's
+    columns. Rows leave in small batches, as their arrays are larger than the texts."""
+    names = ["ids", "begins", "ends"] if offsets else ["ids"]
+    kept = [c for c in docs.columns if c not in names]
+    schema = T.StructType([docs.schema[c] for c in kept])
+    for name in names:
+        schema.add(name, T.ArrayType(T.IntegerType() if name == "ids" else T.LongType()))
 
-    @F.pandas_udf("ids array<int>, begins array<long>, ends array<long>")
-    def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = loaded(model)
         for batch in batches:
-            rows = []
-            for t in batch:
-                t = t or ""
-                ids, begins, ends = m.encode(t)
-                size = len(t.encode())
-                rows.append((np.append(ids, m.end_id).astype(np.int32), np.append(begins, size), np.append(ends, size)))
-            yield pd.DataFrame(rows, columns=["ids", "begins", "ends"])
-
-    return whole.select("_row", run("_text").alias("_got")).select("_row.*", "_got.*")
+            for start in range(0, batch.num_rows, rows):
+                part = batch.slice(start, rows)
+                found: list[list[np.ndarray]] = [[] for _ in names]
+                for t in part.column(kept.index(text)).to_pylist():
+                    ids, begins, ends = m.encode(t or "")
+                    size = len((t or "").encode())
+                    full = (np.append(ids, m.end_id).astype(np.int32), np.append(begins, size), np.append(ends, size))
+                    for place, values in zip(found, full):
+                        place.append(values)
+                arrays = [pa.array(x, pa.list_(pa.int32() if i == 0 else pa.int64())) for i, x in enumerate(found)]
+                yield pa.RecordBatch.from_arrays([*part.columns, *arrays], names=[*kept, *names])
+
+    return docs.select(*kept).mapInArrow(run, schema)
 
 
 def decode(encoded: DataFrame, model: bytes, ids: str = "ids") -> DataFrame:
