@@ -14,8 +14,8 @@ recall falls. Queries go through a tree in blocks, as matrix products.
 
 Every block of queries meets every shard, in tasks of bounded size (``shard``
 rows times ``block`` queries); only k rows per query and shard leave a task, and
-the k best are taken per query by a ranked window. Scores are then computed
-anew on the original vectors, in double precision, component by component.
+the k best are taken per query by a ranked window. Both rank by the scores of
+the original vectors, in double precision, added component by component.
 
 Cases: vectors that are null, empty, all zero, or hold null or non-finite
 components take no part, as rows or queries; so do rows without an id. Vectors
@@ -66,17 +66,31 @@ def build(points: np.ndarray, rows: np.ndarray, rng: np.random.Generator, leaf:
 
 
 class Search:
-    """k nearest rows of a tree for a block of queries.
+    """k rows of a tree with the largest inner products, for a block of queries.
 
-    Rows are ranked by squared distances rounded to 12 digits of the largest
-    one possible, so that equal vectors tie wherever they stand in the tree.
+    Without ``vectors`` and ``asked`` (the vectors before lifting), these are the
+    nearest points. ``top`` is the largest norm, 0 when nothing was lifted.
+
+    The lifted distance only prunes, with a tolerance for its rounding. Rows are
+    ranked by the products of the vectors themselves, added as ``inner_product``
+    does; a matrix product with a bound on its error leaves out those that
+    cannot be among the best.
     """
 
-    def __init__(self, points: np.ndarray, ids: np.ndarray, queries: np.ndarray, own: np.ndarray, k: int, factor: float):
+    def __init__(self, points: np.ndarray, ids: np.ndarray, queries: np.ndarray, own: np.ndarray, k: int, factor: float,
+                 vectors: np.ndarray | None = None, asked: np.ndarray | None = None, top: float = 0.0):
         self.points, self.ids, self.queries, self.own, self.k, self.factor = points, ids, queries, own, k, factor
-        self.best = np.full((len(queries), k), np.inf)
-        largest = lambda x: float((x * x).sum(1).max()) if len(x) else 0.0
-        self.unit = 2 * (largest(points) + largest(queries)) or 1.0
+        if vectors is None or asked is None:
+            # |q - p|^2 = |q|^2 - 2 (q.p - |p|^2 / 2)
+            vectors = np.column_stack([points, (points * points).sum(1) / 2])
+            asked = np.column_stack([queries, np.full(len(queries), -1.0)])
+        self.vectors, self.asked = vectors, asked
+        self.lengths, self.asked_lengths = np.linalg.norm(vectors, axis=1), np.linalg.norm(asked, axis=1)
+        squares = (queries * queries).sum(1)
+        self.reach = squares + top * top                # squared distance: reach - 2 * product
+        self.eps = 16 * (points.shape[1] + 8) * np.finfo(np.float64).eps
+        self.slack = self.eps * (squares + (float((points * points).sum(1).max()) if len(points) else 0.0))
+        self.best = np.full((len(queries), k), -np.inf)
         self.who = np.full((len(queries), k), np.iinfo(np.int64).max)
         self.visited = 0
 
@@ -91,23 +105,39 @@ class Search:
         for side, near, far in ((near_in, node.inside, node.outside), (~near_in, node.outside, node.inside)):
             mine, margin = q[side], np.abs(d[side] - node.radius)
             self.run(near, mine)
-            # Rounding must not prune a tie: the bound is loosened a little.
-            worst = np.sqrt((np.maximum(self.best[mine, -1], 0) + 1e-11) * self.unit)
-            self.run(far, mine[margin <= self.factor * worst])
+            worst = np.sqrt(np.maximum(self.reach[mine] - 2 * self.best[mine, -1], 0) + self.slack[mine])
+            self.run(far, mine[~(margin > self.factor * worst + self.eps * (d[side] + node.radius))])
 
     def _leaf(self, rows: np.ndarray, q: np.ndarray) -> None:
-        x, y = self.queries[q], self.points[rows]
+        x, y = self.asked[q], self.vectors[rows]
         self.visited += len(q) * len(rows)
-        d = np.round(((x * x).sum(1)[:, None] + (y * y).sum(1)[None, :] - 2 * x @ y.T) / self.unit, 12)
-        d[self.own[q][:, None] == self.ids[rows][None, :]] = np.inf
-        allowed = np.where(np.isfinite(d), self.ids[rows][None, :], np.iinfo(np.int64).max)
-        d = np.concatenate([self.best[q], d], axis=1)
+        about = x @ y.T
+        error = self.eps * self.asked_lengths[q][:, None] * self.lengths[rows][None, :]
+        other = self.own[q][:, None] != self.ids[rows][None, :]
+        least = self.best[q, -1]
+        if len(rows) >= self.k:
+            sure = np.where(other, about - error, -np.inf)
+            least = np.maximum(least, np.partition(sure, len(rows) - self.k, axis=1)[:, len(rows) - self.k])
+        i, j = np.nonzero(other & ~(about + error < least[:, None]))
+        score = np.full(about.shape, -np.inf)
+        score[i, j] = products(x[i], y[j])
+        allowed = np.full(about.shape, np.iinfo(np.int64).max)
+        allowed[i, j] = self.ids[rows][j]
+        score = np.concatenate([self.best[q], score], axis=1)
         who = np.concatenate([self.who[q], allowed], axis=1)
-        order = np.lexsort((who, d), axis=1)[:, :self.k]
-        self.best[q] = np.take_along_axis(d, order, 1)
+        order = np.lexsort((who, -score), axis=1)[:, :self.k]
+        self.best[q] = np.take_along_axis(score, order, 1)
         self.who[q] = np.take_along_axis(who, order, 1)
 
 
+def products(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Of each row of x with the same of y, rounded as ``inner_product`` rounds."""
+    out = np.zeros(len(x))
+    for a, b in zip(x.T, y.T):
+        out += a * b
+    return out
+
+
 def usable(vec: Column) -> Column:
     """Non-empty, all components finite, not all zero."""
     ok = F.forall(vec, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf"))))
@@ -142,20 +172,20 @@ def search(vectors: DataFrame, is_query: Column, k: int = K, factor: float = 1.0
         asks = pdf["asks"].to_numpy()
         x, q = pdf[~asks].sort_values("vec_id"), pdf[asks].sort_values("vec_id")
         if x.empty or q.empty:
-            return pd.DataFrame({"query_id": [], "vec_id": [], "far": []}).astype({"query_id": "int64", "vec_id": "int64", "far": "float64"})
+            return pd.DataFrame({"query_id": [], "vec_id": []}).astype({"query_id": "int64", "vec_id": "int64"})
         base, ids = np.stack(x["v"].to_list()), x["vec_id"].to_numpy()
         extra = np.sqrt(np.maximum(pdf["top"].iloc[0] ** 2 - (base * base).sum(1), 0))
         lifted = np.column_stack([base, extra])
         own = q["vec_id"].to_numpy()
         asked = np.column_stack([np.stack(q["v"].to_list()), np.zeros(len(q))])
         tree = build(lifted, np.arange(len(ids)), np.random.default_rng(seed))
-        found = Search(lifted, ids, asked, own, k, factor)
+        found = Search(lifted, ids, asked, own, k, factor, base, asked[:, :-1], float(pdf["top"].iloc[0]))
         found.run(tree, np.arange(len(q)))
         keep = np.isfinite(found.best)
-        return pd.DataFrame({"query_id": np.repeat(own, keep.sum(1)), "vec_id": found.who[keep], "far": found.best[keep]})
+        return pd.DataFrame({"query_id": np.repeat(own, keep.sum(1)), "vec_id": found.who[keep]})
 
     hits = (points.unionByName(asking).groupBy("width", "shard", "block")
-            .applyInPandas(nearest, "query_id long, vec_id long, far double"))
+            .applyInPandas(nearest, "query_id long, vec_id long"))
     # Exact scores of the k best of each shard, then the k best of all.
     vec = rows.select("vec_id", "v")
     scored = (hits.select("query_id", "vec_id")

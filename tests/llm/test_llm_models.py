@@ -183,6 +183,19 @@ def test_search_is_exact_and_recall_falls_slowly(spark):
     assert len(few) == 3
 
 
+def test_nearest_with_one_very_long_vector(spark):
+    rng = np.random.default_rng(9)
+    vecs = rng.normal(size=(900, 16))
+    vecs /= np.linalg.norm(vecs, axis=1)[:, None]
+    vecs[7] *= 1e7
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(vecs)], "vec_id long, embedding array<double>")
+    got = {(r.query_id, r["rank"]): r.vec_id for r in vp_tree.search(df, F.col("vec_id") % 30 == 0, k=10, shard=300).collect()}
+    for q in range(0, 900, 30):
+        s = [plain_product(vecs[q].tolist(), v.tolist()) for v in vecs]
+        order = sorted((i for i in range(900) if i != q), key=lambda i: (-s[i], i))[:10]
+        assert [got[q, r + 1] for r in range(10)] == order
+
+
 def test_pruning_visits_less():
     rng = np.random.default_rng(5)
     pts = np.concatenate([rng.normal(size=(400, 4)) + 40 * k for k in range(5)])
