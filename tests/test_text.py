@@ -74,3 +74,38 @@ def test_language_model_from_text(spark):
     test = spark.createDataFrame([(100, "the other house there"), (101, "la maison avec les chats")], "doc_id long, text string")
     got = {r.doc_id: (r.lang_pred, r.is_english) for r in LG.score_language(test, "doc_id", F.col("text"), grams, langs).collect()}
     assert got[100][0] == "en" and got[101] == ("fr", False)
+
+
+def test_segmenter_ranks_and_uses_every_word(spark):
+    import itertools
+    import math
+    from regscope.operators import language as LG
+    # More words than any earlier bound of the table, the rarest last in rank.
+    words = ["".join(c) for c in itertools.islice(itertools.product("bcdfghjk", "aeiou", "lmnprst", "aeiou", "vwxz", "aeiou", "bdgkt"), 60_000)]
+    rows = [(" ".join(words[i:i + 500]),) for i in range(0, 60_000, 500)] + [("zebra zebra zebra quux quux zyzzyva",)]
+    costs = LG.word_costs(spark.createDataFrame(rows, "text string").repartition(4), F.col("text")).collect()
+    order = ["zebra", "quux", *sorted([*words, "zyzzyva"])]
+    got = {r.w: r.cost for r in costs}
+    assert len(costs) == len(got) == 60_003
+    assert all(abs(got[w] - math.log(r * math.log(60_003))) < 1e-9 for r, w in enumerate(order, 1))
+
+    def plain(s, ml=max(map(len, got))):
+        best, back = [0.0], [0]
+        for i in range(1, len(s) + 1):
+            c, k = min((best[k] + got.get(s[k:i], 1e3 * (i - k)), k) for k in range(max(0, i - ml), i))
+            best.append(c)
+            back.append(k)
+        out, i = [], len(s)
+        while i:
+            out.append(s[back[i]:i])
+            i = back[i]
+        return out[::-1]
+    texts = ["Zyzzyva zebra-quux 42", words[-1] + words[7] + "qqqqqqqqqqqq" + words[59_000], "", None, "qq é\U0001F600 zebra", *[" ".join(words[i::7000]) for i in range(40)]]
+    docs = spark.createDataFrame([*enumerate(texts), (None, "zyzzyva quux")], "doc_id long, text string")
+    found = {}
+    for r in LG.segment(docs, "doc_id", F.col("text"), spark.createDataFrame(costs)).collect():
+        found.setdefault(r.doc_id, {})[r.pos] = r.token
+    assert [found[0][p] for p in range(3)] == ["zyzzyva", "zebra", "quux"] and found[None] == {0: "zyzzyva", 1: "quux"}
+    squeezed = {r.doc_id: r.s or "" for r in docs.select("doc_id", LG.squeezed(F.col("text")).alias("s")).collect()}
+    for i in range(len(texts)):
+        assert [t for _, t in sorted(found.get(i, {}).items())] == plain(squeezed[i]), i
