@@ -181,7 +181,9 @@ def fit(docs: DataFrame, labels: DataFrame, positives: int = 4_000, unlabelled:
         if part < 1:
             ids = ids.where(order <= F.lit(int(-(2 ** 63) + part * 2 ** 64)))
         ids = ids.orderBy(order, "doc_id").limit(n)
-        return rows.join(F.broadcast(ids), "doc_id", "left_semi").select(features("text").alias("f"), *more).toPandas()
+        # An id that repeats gives one row, its least text, so the bounds hold for rows too.
+        drawn = rows.join(F.broadcast(ids), "doc_id", "left_semi").groupBy("doc_id").agg(F.min(F.struct("text", *more)).alias("x"))
+        return drawn.select(features("x.text").alias("f"), *[F.col(f"x.{c}") for c in more]).toPandas()
 
     arrays = lambda pdf: [np.frombuffer(f, np.int32) for f in pdf["f"]]
     p = sample(known.where("_toxic = 1").where(~share), positives)

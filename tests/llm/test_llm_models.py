@@ -183,6 +183,18 @@ def test_search_is_exact_and_recall_falls_slowly(spark):
     assert len(few) == 3
 
 
+def test_toxicity_samples_one_row_an_id(spark, monkeypatch):
+    rows = [(i, f"word{i % 7} " + ("scumlike" if i % 3 == 0 else "fine")) for i in range(300)]
+    learnt = [r for r in rows if zlib.crc32(str(r[0]).encode()) % 3 != 1]
+    docs = spark.createDataFrame([*rows, *[learnt[0]] * 500, *[learnt[1]] * 500], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i % 3 == 0)) for i, _ in rows], "doc_id long, toxic int")
+    sizes, real_fit, real_calibrate = [], toxicity.nnpu_fit, toxicity.calibrate
+    monkeypatch.setattr(toxicity, "nnpu_fit", lambda p, u, *a: sizes.extend([len(p), len(u)]) or real_fit(p, u, *a))
+    monkeypatch.setattr(toxicity, "calibrate", lambda w, c, y: sizes.append(len(c)) or real_calibrate(w, c, y))
+    toxicity.fit(docs, labels)
+    assert len(sizes) == 3 and sizes[0] <= 100 and sizes[0] + sizes[2] <= 400 and sizes[1] + sizes[2] <= 300
+
+
 def test_nearest_with_one_very_long_vector(spark):
     rng = np.random.default_rng(9)
     vecs = rng.normal(size=(900, 16))
