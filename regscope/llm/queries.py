@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import language_id, mixing, ngram_join, pii, sentence_pieces, token_files, toxicity, vp_tree, warc, weighted_sampling
+from . import (histogram_top_k, language_id, mixing, ngram_join, periodic_runs, pii, sentence_pieces, spelling_variants,
+               token_files, toxicity, vp_tree, warc, weighted_sampling)
 from .common import table
 from .sql import SQL
 
@@ -68,6 +69,19 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", language_id.held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score", "rejected")
 
 
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling_variants.spelling_variants(spelling_variants.edited_words(table(spark, sf_dir, "documents")))
+
+
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periodic_runs.run_digests(periodic_runs.periodic_runs(periodic_runs.planted(table(spark, sf_dir, "documents"))))
+
+
+def op13_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return histogram_top_k.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_ngram_join, op2_warc, op3_pii, op4_packed_ids, op5_sentence_pieces, op6_toxicity, op7_fingerprints, op8_mix_plan, op9_nearest, op10_language_id)}
+    f.__name__: f for f in (op1_ngram_join, op2_warc, op3_pii, op4_packed_ids, op5_sentence_pieces, op6_toxicity, op7_fingerprints, op8_mix_plan, op9_nearest, op10_language_id,
+                              op11_spelling_variants, op12_periodic_runs, op13_exact_top_k)}
 ORACLE_SQL: dict[str, str] = SQL
