@@ -9,16 +9,16 @@ table of ``BUCKETS`` saturated counts per length, addressed by a hash: its size
 fixed, and grams that share a bucket only come out longer than need be.
 
 A gram ends where the dictionary says so, looking at no letter beyond its own. So
-an edit at a letter affects just the grams that hold this letter, and the rest
-are found at the same distance from the word's start (left of the edit) or from
-its end. ``bound`` is the number of grams that one edit can affect in a word, at
-its worst letter. Two words one edit apart share all but ``bound`` grams of each, so
-they share one of the ``bound + 1`` rarest of each (in one order for all words),
-and only the lists of those grams are merged. With QMAX 6 a word of four letters
-or more has more than ``bound`` grams, so no pair is lost; shorter words don't occur
-(``MIN_LETTERS``). A list is keyed by gram, position and word length, and is met by
-words of the same length (replaced letter) or one less (inserted letter, before or
-behind the gram). Merged pairs are verified by their edit distance.
+an edit affects just the grams that hold the edited letter; the others are found
+at the same distance from the word's start (left of the edit) or from its end.
+A word's letters are cut into ``ZONES`` zones. For each zone the affected grams are
+bounded by those that reach into it, and a word one edit away, with the edit in
+that zone, shares all the others. So the lists of all the others are merged to their
+intersection at once: by one key, made of these grams, their places and the length.
+Words of the same length meet for a replaced letter; a word meets one longer by a
+letter under the zones of the shorter, behind the zone one place on. Every word
+has a key for every zone, so no pair is lost, whatever the dictionary holds. Pairs
+that met are verified by their edit distance.
 
 Lists are joined on Spark, where adaptive execution splits a long one.
 
@@ -41,7 +41,7 @@ from .common import written
 
 LETTERS = r"a-zÀ-ÿ"
 MIN_LETTERS, MIN_COUNT = 7, 2
-QMIN, QMAX = 2, 6
+QMIN, QMAX, ZONES = 2, 3, 5
 FREQUENT = 64                 # words beyond which a gram is lengthened
 BUCKETS = 1 << 22             # of the dictionary, per gram length
 PAGE = 1 << 12
@@ -145,34 +145,30 @@ def decomposed(words: list[str], dictionary: list[np.ndarray]) -> tuple[Batch, n
     return b, at, end[at], key[at], rarity[at]
 
 
-def bounds(b: Batch, at: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """Per word, the most grams that hold one and the same letter (or the mark behind it)."""
-    depth = np.zeros(len(b.code) + 1, np.int64)
-    np.add.at(depth, at, 1)
-    np.add.at(depth, end, -1)
-    held = np.cumsum(depth)[:-1]
-    held[b.first] = 0  # nothing is edited at or before the front mark
-    return np.maximum.reduceat(held, b.first)
+def _mixed(h: np.ndarray) -> np.ndarray:
+    h = h * np.uint64(0xBF58476D1CE4E5B9)
+    return h ^ (h >> np.uint64(29))
 
 
-def lists_of(words: list[str], dictionary: list[np.ndarray]) -> tuple[list[np.ndarray], list[np.ndarray]]:
-    """For each word the keys of its own lists, and of those that it meets."""
-    b, at, end, gram, count = decomposed(words, dictionary)
-    word = b.word[at]
-    order = np.lexsort((at, gram, count, word))
-    first = np.searchsorted(word[order], np.arange(len(words)))
-    rank = np.arange(len(order)) - first[word[order]]
-    chosen = order[rank <= bounds(b, at, end)[word[order]]]
-    place, size, h = (at - b.first[word])[chosen], b.size[word][chosen], gram[chosen]
-
-    def key(place: np.ndarray, size: np.ndarray) -> np.ndarray:
-        k = (h ^ (place * 4096 + size).astype(np.uint64)) * np.uint64(0x9E3779B97F4A7C15)
-        return (k ^ (k >> np.uint64(31))).view(np.int64)
+def merged_lists(words: list[str], dictionary: list[np.ndarray], longer: int) -> np.ndarray:
+    """For each word (row) and zone (column) the key of the grams that no edit in the zone can affect.
 
-    own = key(place, size)
-    met = np.column_stack([own, key(place, size + 1), key(place + 1, size + 1)])
-    cuts = np.searchsorted(word[chosen], np.arange(1, len(words)))
-    return np.split(own, cuts), [np.unique(m) for m in np.split(met, cuts)]
+    With ``longer`` 1 the zones are those of a word that lacks one letter of the zone."""
+    b, at, end, gram, _ = decomposed(words, dictionary)
+    word = b.word[at]
+    begin, stop = at - b.first[word] - 1, end - b.first[word] - 1  # in letters; the front mark is at -1
+    letters, size = b.size[word] - 2 - longer, b.size - 2 - longer
+    first = np.searchsorted(word, np.arange(len(words)))
+    keys = np.empty((len(words), ZONES), np.int64)
+    for zone in range(ZONES):
+        low, high = letters * zone // ZONES, letters * (zone + 1) // ZONES
+        before = stop <= low
+        behind = begin >= high + longer
+        place = np.where(before, begin, letters + longer - begin + (1 << 32)).astype(np.uint64)
+        shared = np.where(before | behind, _mixed(gram ^ _mixed(place)), np.uint64(0))
+        whole = _mixed((size * ZONES + zone).astype(np.uint64))
+        keys[:, zone] = _mixed(np.add.reduceat(shared, first) ^ whole).view(np.int64)
+    return keys
 
 
 def near_pairs(words: DataFrame) -> DataFrame:
@@ -183,14 +179,14 @@ def near_pairs(words: DataFrame) -> DataFrame:
     def post(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             if not batch.empty:
-                own, met = lists_of(batch["word"].to_list(), dictionary.value)
-                yield batch[["word", "n"]].assign(own=own, met=met)
+                own, longer = (merged_lists(batch["word"].to_list(), dictionary.value, k) for k in (0, 1))
+                yield batch[["word", "n"]].assign(own=list(own), longer=list(longer))
 
-    posted = written(words.select("word", "n").mapInPandas(post, "word string, n long, own array<long>, met array<long>"), "spelling-lists")
-    lists = posted.select(F.explode("own").alias("key"), F.col("word").alias("b"), F.col("n").alias("n_b"))
-    meets = posted.select(F.explode("met").alias("key"), F.col("word").alias("a"), F.col("n").alias("n_a"))
+    posted = written(words.select("word", "n").mapInPandas(post, "word string, n long, own array<long>, longer array<long>"), "spelling-lists")
+    lists = posted.select(F.explode("own").alias("key"), F.col("word").alias("a"), F.col("n").alias("n_a"))
+    meets = posted.select(F.explode(F.concat("own", "longer")).alias("key"), F.col("word").alias("b"), F.col("n").alias("n_b"))
     one_way = (F.length("a") < F.length("b")) | (F.col("a") < F.col("b"))
-    met = meets.join(lists, "key").where(one_way & (F.levenshtein("a", "b", 1) == 1))
+    met = lists.join(meets, "key").where(one_way & (F.levenshtein("a", "b", 1) == 1))
     return met.select("a", "b", "n_a", "n_b").distinct()
 
 

@@ -87,8 +87,9 @@ def spelled():
 def test_spelling_variants(spark, spelled, monkeypatch, tmp_path):
     expected = brute_variants(brute_words(spelled))
     assert any(v[0] and v[1] != v[0] for v in expected.values())  # a chain of forms
-    for frequent in (64, 2):  # short and long grams
+    for frequent, longest in ((64, 3), (2, 3), (2, 6)):  # short and long grams
         monkeypatch.setattr(spelling_variants, "FREQUENT", frequent)
+        monkeypatch.setattr(spelling_variants, "QMAX", longest)
         got = spelling_variants.spelling_variants(spelling_variants.edited_words(docs(spark, spelled))).collect()
         assert {r.word: (r.form, r.root, r.n, r.n_near, r.form_n) for r in got} == expected
         assert len(got) == len(expected)
@@ -99,20 +100,17 @@ def test_spelling_variants(spark, spelled, monkeypatch, tmp_path):
     assert spelling_variants.spelling_variants(spelling_variants.edited_words(docs(spark, [(1, None)]).limit(0))).collect() == []
 
 
-def test_bound_holds_for_every_edit():
-    """An edit leaves all grams but ``bound`` of a word as they are, whatever the dictionary."""
+def test_words_one_edit_apart_meet():
+    """Whatever the dictionary, they share the key of the zone of the edit."""
     rng = random.Random(4)
     dictionary = [np.random.default_rng(q).choice(np.array([0, 9, 255], np.uint8), spelling_variants.BUCKETS) for q in range(5)]
-    grams = lambda w: spelling_variants.decomposed([w], dictionary)
+    keys = lambda w, longer: set(spelling_variants.merged_lists([w], dictionary, longer)[0].tolist())
     for _ in range(300):
         w = "".join(rng.choice("ab") for _ in range(rng.randrange(7, 12)))
-        b, at, end, gram, _ = grams(w)
-        bound = spelling_variants.bounds(b, at, end)[0]
-        assert bound < len(at)
         i = rng.randrange(len(w))
-        for v in (w[:i] + "c" + w[i:], w[:i] + "c" + w[i + 1:], w[:i] + w[i + 1:], w + "c"):
-            kept = Counter(gram.tolist()) & Counter(grams(v)[3].tolist())
-            assert sum(kept.values()) >= len(at) - bound
+        assert keys(w, 0) & keys(w[:i] + "c" + w[i + 1:], 0)
+        for v in (w[:i] + "c" + w[i:], w[:i] + w[i] + w[i:], w + "c"):
+            assert keys(w, 0) & keys(v, 1)
 
 
 # Periodic runs
