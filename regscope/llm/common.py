@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import itertools
 import tempfile
 import uuid
+import weakref
+from typing import Any
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -40,7 +44,55 @@ def written(df: DataFrame, label: str) -> DataFrame:
     once, cut from its lineage, and there for any executor that replaces a lost one."""
     path = fresh_path(df.sparkSession, label)
     df.write.parquet(path)
-    return df.sparkSession.read.parquet(path)
+    back = df.sparkSession.read.parquet(path)
+    back._written_path = path
+    return back
+
+
+def dropped(*tables: DataFrame) -> None:
+    """Delete ``written`` tables. Nothing that is still to run may read them: what
+    was made from them has been written itself."""
+    for df in tables:
+        jvm, conf = df.sparkSession._jvm, df.sparkSession._jsparkSession.sparkContext().hadoopConfiguration()
+        path = jvm.org.apache.hadoop.fs.Path(df._written_path)
+        path.getFileSystem(conf).delete(path, True)
+
+
+class Cache(dict):
+    """What a Python worker has worked out, by key, within ``limit`` bytes: when full, the older half goes.
+
+    Workers are kept for later tasks, and so are their caches, for as long as the
+    tasks are of one operator; ``alone`` empties those of the others."""
+
+    ENTRY = 150  # bytes of a small entry, its key and value objects included
+    _all: list[weakref.ref] = []
+
+    def __init__(self, limit: int):
+        self.limit, self.held = limit, 0
+        Cache._all.append(weakref.ref(self))
+
+    def keep(self, key: Any, value: Any, size: int) -> Any:
+        self[key] = value
+        self.held += size + self.ENTRY
+        if self.held > self.limit:
+            for old in list(itertools.islice(self, len(self) // 2 + 1)):
+                del self[old]
+            self.held //= 2
+        return value
+
+    def empty(self) -> None:
+        self.clear()
+        self.held = 0
+
+    def alone(self) -> "Cache":
+        """Empty all others of this worker. Called when a task starts."""
+        Cache._all[:] = [r for r in Cache._all if r() is not None]
+        for r in Cache._all:
+            other = r()
+            if other is not None and other is not self and other:
+                other.empty()
+                pa.default_memory_pool().release_unused()
+        return self
 
 
 def broadcast_if_small(df: DataFrame, limit_mb: int = 16) -> DataFrame:

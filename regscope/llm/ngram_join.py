@@ -48,7 +48,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import broadcast_if_small, written
+from .common import Cache, broadcast_if_small, dropped, written
 from .components import components
 
 N, THRESHOLD = 5, 75          # words per n-gram; link from this similarity in per cent
@@ -57,22 +57,19 @@ CUT = np.uint64(int(0.375 * 2 ** 64))
 SHORT = 128                   # n-grams up to which a text posts all of them
 CHUNK = 1_000_000             # posted hashes that a task looks at together
 BLOCK_ROWS, BLOCK_GRAMS = 512, 1_000_000
-CACHE = 100_000
+CACHE = 16 << 20              # bytes of hashed words per worker
 
 
-class _Words(dict):
+class _Words(Cache):
     """Hash of a word, computed once per worker."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) >= CACHE:
-            self.clear()
-        got = self[word] = xxhash.xxh3_64_intdigest(word)
-        return got
+        return self.keep(word, xxhash.xxh3_64_intdigest(word), len(word))
 
 
 @functools.cache
 def _word_hashes() -> _Words:
-    return _Words()
+    return _Words(CACHE)
 
 
 def gram_hashes(text: str | None, n: int = N) -> tuple[bytes, np.ndarray]:
@@ -113,6 +110,7 @@ def _texts(docs: DataFrame, n: int, threshold: int) -> DataFrame:
     hot hashes, each once."""
 
     def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        _word_hashes().alone()
         held: list[tuple] = []
         size, seen = 0, {}
 
@@ -175,14 +173,15 @@ def ngram_join(docs: DataFrame, n: int = N, threshold: int = THRESHOLD) -> DataF
     one = texts.where("lead").join(broadcast_if_small(extra), "rid", "left_anti")
 
     # The columns of two texts or more. What a chunk found hot comes as one mark.
-    posts = one.select(F.explode("cold").alias("h"), "rid", F.col("n_shingles").cast("int").alias("n"), F.lit(1).alias("w"))
-    marks = texts.select(F.explode("marks").alias("h"), F.lit(None).cast("long").alias("rid"), F.lit(0).alias("n"), F.lit(HOT + 1).alias("w"))
+    posts = one.select(F.explode("cold").alias("h"), "rid", F.col("n_shingles").cast("int").alias("n"))
+    marks = texts.select(F.explode("marks").alias("h"), F.lit(None).cast("long").alias("rid"), F.lit(0).alias("n"))
+    total = F.sum(F.when(F.col("rid").isNull(), HOT + 1).otherwise(1)).over(W.partitionBy("h"))
     columns = written(
-        posts.unionByName(marks).select("*", F.sum("w").over(W.partitionBy("h")).alias("total"))
-        .where("total > 1 and rid is not null"), "join-columns")
+        posts.unionByName(marks).select("*", total.alias("total"))
+        .where("total > 1 and rid is not null").select("h", "rid", "n", (F.col("total") > HOT).alias("is_hot")), "join-columns")
 
     # How much of each text is posted, and in hot columns.
-    found_hot = columns.where(F.col("total") > HOT).groupBy("rid").agg(F.count("*").alias("found"))
+    found_hot = columns.where("is_hot").groupBy("rid").agg(F.count("*").alias("found"))
     p = F.col("n") - F.ceil(F.col("n") * threshold / F.lit(100) - 1e-9) + 1
     hot = F.size("hot") + F.coalesce("found", F.lit(0))
     # A long text whose prefix reaches beyond the cut posted further than others do.
@@ -194,7 +193,7 @@ def ngram_join(docs: DataFrame, n: int = N, threshold: int = THRESHOLD) -> DataF
         "join-stats")
 
     # Sparse part: overlaps accumulated over the columns, discarded by size-derived bounds.
-    sparse = columns.where(F.col("total") <= HOT)
+    sparse = columns.where("not is_hot")
     a, b = (sparse.select("h", F.col("rid").alias(x), F.col("n").alias(f"n_{x}")) for x in "ab")
     overlaps = (a.join(b, "h").where((F.col("a") < F.col("b")) & _sizes_fit(F.col("n_a"), F.col("n_b"), threshold))
                 .groupBy("a", "b").agg(F.count("*").alias("overlap")))
@@ -216,6 +215,7 @@ def ngram_join(docs: DataFrame, n: int = N, threshold: int = THRESHOLD) -> DataF
     stars = open_posts.join(centre, "h").where("rid <> v").select(F.col("rid").alias("u"), "v").distinct()
 
     families = written(components(pairs.unionByName(stars), "join-families"), "join-family-of")
+    dropped(texts, extra, columns, stats, open_ids)
     links = written(_products(docs, member, families, n, threshold), "join-links")
     joined = components(links.where("v is not null").select("u", "v"), "join-components")
     degree = links.where("v is null").groupBy("u").agg(F.sum("links").alias("n_links"))
@@ -270,14 +270,29 @@ def _products(docs: DataFrame, member: DataFrame, families: DataFrame, n: int, t
                     rows.append((node, family, units, block, h.tobytes()))
             yield pd.DataFrame(rows, columns=["node", "family", "units", "block", "grams"])
 
+    # An id on several rows (null among them) doesn't tell their texts: those are met by id and words,
+    # once per text, so that rows of one id don't meet each other's nodes.
     texts = docs.select(F.col("doc_id").cast("long").alias("_d"), F.col("text").alias("_text"))
-    filled = texts.join(broadcast_if_small(wanted), texts["_d"].eqNullSafe(wanted["doc_id"])).select(
-        "node", "key", "family", "units", "block", "_text").mapInPandas(
+    several = written(member.groupBy("doc_id").agg(F.count("*").alias("c")).where("c > 1 or doc_id is null").select("doc_id"), "join-several")
+    repeated = broadcast_if_small(several)
+    clear = wanted.join(repeated, wanted["doc_id"].eqNullSafe(repeated["doc_id"]), "left_anti")
+    unclear = wanted.join(repeated, wanted["doc_id"].eqNullSafe(repeated["doc_id"]), "left_semi").withColumn("_words", F.lower(F.hex("key")))
+    met = texts.join(broadcast_if_small(several.withColumnRenamed("doc_id", "_several")), F.col("_d").eqNullSafe(F.col("_several")), "left_semi")
+    met = met.withColumn("_words", words_key(F.col("_text"))).dropDuplicates(["_d", "_words"])
+    columns = ["node", "key", "family", "units", "block", "_text"]
+    filled = texts.join(broadcast_if_small(clear), texts["_d"] == clear["doc_id"]).select(*columns).unionByName(
+        met.join(unclear, (met["_words"] == unclear["_words"]) & met["_d"].eqNullSafe(unclear["doc_id"])).select(*columns)).mapInPandas(
         arrays, "node long, family long, units array<string>, block string, grams binary")
     units = filled.select("node", "family", F.explode("units").alias("unit"), "block", "grams")
     return units.groupBy("family", "unit").applyInPandas(lambda pdf: block_product(pdf, threshold), "u long, v long, links long")
 
 
+def words_key(text: Column) -> Column:
+    """The md5 of a text's words, as ``gram_hashes`` joins them."""
+    lowered = F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    return F.md5(F.coalesce(F.trim(F.regexp_replace(lowered, r"[\x20\x09-\x0D]+", " ")), F.lit("")))
+
+
 def block_product(pdf: pd.DataFrame, threshold: int = THRESHOLD) -> pd.DataFrame:
     """The links of one unit: between its two blocks, or within its only block."""
     pdf = pdf.drop_duplicates("node").sort_values("node")
@@ -388,11 +403,10 @@ def keep_one(docs: DataFrame, n: int = N, threshold: int = THRESHOLD) -> DataFra
     simple = whole.select("row", "id").join(broadcast_if_small(gone.select("_id")), F.col("id").eqNullSafe(F.col("_id")), "left_anti")
 
     several = gone.where("_unclear").select("_id")
-    words = F.trim(F.regexp_replace(F.translate("text", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"), r"[\x20\x09-\x0D]+", " "))
     kept = marked.where("stays").join(several, F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi").select(
         F.col("doc_id").alias("kept_id"), F.lower(F.hex("key")).alias("kept_key"), (F.col("n_shingles") == 0).alias("empty")).distinct()
     looked = (whole.join(broadcast_if_small(several), F.col("id").eqNullSafe(F.col("_id")), "left_semi")
-              .select("row", "id", F.md5(F.coalesce(words, F.lit(""))).alias("words")))
+              .select("row", "id", words_key(F.col("text")).alias("words")))
     found = looked.join(kept, F.col("id").eqNullSafe(F.col("kept_id")) & (F.col("words") == F.col("kept_key")))
     one = found.where(~F.col("empty")).dropDuplicates(["id", "words"]).unionByName(found.where("empty"))
     return simple.select("row.*").unionByName(one.select("row.*"))

@@ -17,7 +17,7 @@ byte becomes U+FFFD) and drops the mark that encoding put in front.
 
 Cases: null and empty texts have no pieces, only the end id. Repeated rows are
 encoded alike; the columns of the input other than the text are untouched. The
-cache of chunks is cleared at ``CACHE`` entries, which bounds memory only.
+cache of chunks is bounded in bytes, which bounds memory only.
 """
 
 from __future__ import annotations
@@ -36,8 +36,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .common import Cache
+
 MARK = "▁"
-CACHE = 500_000
+CACHE = 100 << 20             # bytes of merged chunks per worker
 NORMAL, UNKNOWN, CONTROL, BYTE = 1, 2, 3, 6
 
 
@@ -131,7 +133,7 @@ class PieceModel:
         self.width = np.array([1 if t == BYTE else len(p.encode()) for p, t in zip(self.pieces, self.types)], np.int64)
         self.odd = np.array([t != NORMAL for t in self.types])
         self.cut = not any(re.search(f"[^{MARK}]{MARK}", p) for p in self.ids)
-        self.cache: dict[str, bytes] = {}
+        self.cache = Cache(CACHE)
 
     # -- normalisation -------------------------------------------------------
     def normalise(self, text: str) -> tuple[bytes, np.ndarray]:
@@ -249,11 +251,9 @@ class PieceModel:
         for chunk in chunks:
             got = cache.get(chunk)
             if got is None:
-                if len(cache) >= CACHE:
-                    cache.clear()
                 got = self.chunk_ids(chunk)
                 if len(chunk) < 200:
-                    cache[chunk] = got
+                    cache.keep(chunk, got, len(chunk) + len(got))
             out.append(got)
         return np.frombuffer(b"".join(out), "<u4")
 
@@ -331,7 +331,8 @@ def read_model(path: str) -> bytes:
         return f.read()
 
 
-def encode(docs: DataFrame, model: bytes, text: str = "text", offsets: bool = True, rows: int = 256) -> DataFrame:
+def encode(docs: DataFrame, model: bytes, text: str = "text", offsets: bool = True, rows: int = 256,
+           cache: int = CACHE) -> DataFrame:
     """Append ``ids`` (end id last) and, with ``offsets``, ``begins`` and ``ends``
     (source bytes; the end id covers the empty run at the end) to the input's
     columns. Rows leave in small batches, as their arrays are larger than the texts."""
@@ -343,6 +344,7 @@ def encode(docs: DataFrame, model: bytes, text: str = "text", offsets: bool = Tr
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = loaded(model)
+        m.cache.alone().limit = cache
         for batch in batches:
             for start in range(0, batch.num_rows, rows):
                 part = batch.slice(start, rows)
@@ -381,6 +383,7 @@ def round_trips(docs: DataFrame, model: bytes) -> DataFrame:
     @F.pandas_udf("n_tokens long, ids_sha256 string, decoded_sha256 string, covered_bytes long")
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         m = loaded(model)
+        m.cache.alone().limit = CACHE
         decimal = [str(i) for i in range(len(m.pieces))]
         for batch in batches:
             rows = []

@@ -36,10 +36,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import fresh_path, written
+from .common import Cache, fresh_path, written
 
 BLOCK_IDS = 1 << 20
-CACHE = 1_000_000
+CACHE = 40 << 20              # bytes of encoded words per worker
 HEAD = struct.Struct("<4sBIQI")
 
 
@@ -132,7 +132,7 @@ class WordEncoder:
         self.library = Tokenizer.from_str(spec)
         self.vocabulary = self.library.get_vocab_size(with_added_tokens=True)
         self.added = [t.content for t in self.library.get_added_tokens_decoder().values()]
-        self.words: dict[str, bytes] = {}
+        self.words = Cache(CACHE)
         self.plain = re.compile("[a-z]+")
 
     def _whole(self, text: str) -> bytes:
@@ -154,11 +154,7 @@ class WordEncoder:
         return got
 
     def _keep(self, word: str, got: bytes) -> bytes:
-        if len(self.words) >= CACHE:
-            self.words.clear()
-        if len(word) < 200:
-            self.words[word] = got
-        return got
+        return self.words.keep(word, got, len(word) + len(got)) if len(word) < 200 else got
 
     def encode(self, text: str) -> np.ndarray:
         if any(t in text for t in self.added):
@@ -185,6 +181,7 @@ def write_shards(docs: DataFrame, tokenizer: str, end_id: int, path: str | None
 
     def blocks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         enc = encoder(tokenizer)
+        enc.words.alone()
         keys, parts, held = [], [], 0
         offsets, positions, at = [], [0], 0
 

@@ -34,16 +34,18 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import Cache
+
 BITS = 20
 PREFIX = 5
-CACHE = 150_000
+CACHE = 24 << 20              # bytes of hashed words per worker
 THRESHOLD = 0.7
 LEAST_CONTRAST = 0.4
 
 
 @functools.cache
-def _cache() -> dict[str, tuple[int, int]]:
-    return {}
+def _cache() -> Cache:
+    return Cache(CACHE)
 
 
 def feature_ids(text: str | None) -> np.ndarray:
@@ -52,12 +54,10 @@ def feature_ids(text: str | None) -> np.ndarray:
     for word in set((text or "").lower().split()):
         got = cache.get(word)
         if got is None:
-            if len(cache) >= CACHE:
-                cache.clear()
             core = word.strip(string.punctuation)
             got = (zlib.crc32(core.encode()) >> (32 - BITS),
                    zlib.crc32(b"^" + core[:PREFIX].encode()) >> (32 - BITS) if len(core) > PREFIX else -1)
-            cache[word] = got
+            cache.keep(word, got, len(word) + 130)
         out.update(got)
     out.discard(-1)
     return np.fromiter(out, np.int32, len(out))
@@ -170,6 +170,7 @@ def fit(docs: DataFrame, labels: DataFrame, positives: int = 4_000, unlabelled:
 
     @F.pandas_udf("binary")
     def features(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        _cache().alone()
         for batch in batches:
             yield pd.Series([feature_ids(t).tobytes() for t in batch], dtype=object)
 
@@ -201,6 +202,7 @@ def score(text: Column, w: np.ndarray) -> Column:
     @F.pandas_udf("double")
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         weights = shared.value
+        _cache().alone()
         for batch in batches:
             yield pd.Series([score_text(t, weights) for t in batch], dtype="float64")
 
