@@ -6,7 +6,14 @@ pii             personal data is masked in the texts
 mixing          documents are repeated or dropped to reach the source targets
 sentence_pieces texts become token ids
 
-All stages but the last return the columns of ``documents``.
+All stages but the last return the columns of ``documents``; each stage's table is
+deleted when the next one is written.
+
+Cases: documents without text or words stay through all stages and end as the end
+id alone (unless their source's rate draws no copy). Rows that repeat an id are
+rows of their own, but for the near duplicates among them. A null id or source is a
+value like others. Empty tables give an empty result. The table may have more
+columns; the last stage leaves them out.
 """
 
 from __future__ import annotations
@@ -17,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from regscope.llm import mixing, ngram_join, pii, sentence_pieces, toxicity
-from regscope.llm.common import table, written
+from regscope.llm.common import dropped, table, written
 from regscope.llm.queries import TOKENIZERS
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
@@ -42,7 +49,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def encode_texts(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, lang, source, n_tokens and ids (end id last) of every row."""
     model = sentence_pieces.read_model(f"{TOKENIZERS}/piece_bpe_32k.model")
-    encoded = sentence_pieces.encode(docs.select("doc_id", "lang", "source", "text"), model, offsets=False)
+    encoded = sentence_pieces.encode(docs.select("doc_id", "lang", "source", "text"), model, offsets=False, cache=32 << 20)
     return encoded.select("doc_id", "lang", "source", F.size("ids").cast("long").alias("n_tokens"), "ids")
 
 
@@ -59,7 +66,10 @@ ORACLE_SQL: str | None = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs, before = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES:
         docs = written(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        if before is not None:
+            dropped(before)
+        before = docs
     return docs
