@@ -37,9 +37,6 @@ PLATFORM_WORDS = {
     "docker": ["docker", "image", "run", "container", "images", "use", "software", "consul",
                "file", "information", "server", "base", "containers", "history", "contained",
                "source", "running", "start", "size", "version"],
-    "docker_0": ["docker", "image", "container", "containers", "run", "images", "use",
-                 "applications", "software", "source", "application", "hub", "platform",
-                 "create", "app", "code", "desktop", "developers", "build", "started"],
     "npm": ["npm", "version", "published", "project", "registry", "package", "running", "start",
             "projects", "javascript", "packages", "manager", "install", "use", "months", "years",
             "command", "days", "file", "modules"],

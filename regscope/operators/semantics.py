@@ -101,16 +101,3 @@ def semantic_vector(dist: DataFrame, packages: DataFrame, id_col: str = "package
     padded = F.when(F.col("d").isNull() | (n == 0), F.array_repeat(F.lit(1.0), width)).otherwise(
         F.transform(F.sequence(F.lit(0), F.lit(width - 1)), lambda i: F.get(F.col("d"), i % n)))
     return packages.select(id_col).join(lists, id_col, "left").select(id_col, padded.alias("semantic"))
-
-
-def platform_table(vectors: DataFrame, platform: str, word_col: str = "word") -> DataFrame:
-    """The vectors of one platform's fixed 20-word vocabulary (word-keyed
-    vector tables, S8); words missing from the table simply drop out, as the
-    mean runs over in-vocabulary platform words."""
-    from ..constants import PLATFORM_WORDS
-    return vectors.where(F.col(word_col).isin(PLATFORM_WORDS[platform]))
-
-
-def keyword_rows(top: DataFrame, id_col: str = "package_id") -> DataFrame:
-    """W2 output ``(id, rank, word)`` as keyword rows ``(id, pos, word)``."""
-    return top.select(id_col, (F.col("rank") - 1).alias("pos"), "word")

@@ -75,6 +75,16 @@ def top_words(freq: DataFrame, id_col: str, k: int) -> DataFrame:
             .select(id_col, F.col("rank").cast("long").alias("rank"), "word", "n"))
 
 
+def keywords(df: DataFrame, id_col: str, text: Column, k: int, lexicon: DataFrame | None = None) -> DataFrame:
+    """W2 from texts: ``(id, pos, word)``, the k most frequent words in their order.
+
+    The lexicon (F8) meets the distinct words of a package, not its tokens."""
+    freq = word_freq(clean_tokens(token_rows(df, id_col, text)), id_col)
+    if lexicon is not None:
+        freq = noun_verb_tokens(freq.withColumnRenamed("word", "token"), lexicon).withColumnRenamed("token", "word")
+    return top_words(freq, id_col, k).select(id_col, (F.col("rank") - 1).alias("pos"), "word")
+
+
 def lexicon_from_corpus(rows: DataFrame) -> DataFrame:
     """Stand-in part-of-speech lexicon: each distinct token of the corpus with a
     tag derived from its length (FIXTURES.md §4)."""

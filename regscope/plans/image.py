@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from ..functions.text import image_code_features, popularity
 from ..operators import context as CTX
 from ..operators.gates import SCORE, gate_image, image_text
-from ..operators.url_features import URL_FEATURES, url_features
+from ..operators.url_features import URL_FEATURES
 from ..profiles import IMAGE
 from ..sources import fixtures as FX
 
@@ -32,19 +32,6 @@ def candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
                     image_text(F.col("name"), F.col("description"), F.col("full_description")).alias("text")))
 
 
-def own_features(cand: DataFrame, ranks: DataFrame, semantics: DataFrame | None = None) -> DataFrame:
-    """Per candidate: URL block (5), code block (2), semantic block (10 or
-    absent), popularity. Text columns are dropped before any exchange."""
-    local = cand.select("package_id", "namespace", "release_ts", "text",
-                        *image_code_features(F.col("full_description")),
-                        popularity(F.col("pull_count")).alias("popularity"))
-    urls = url_features(local, ranks, text=F.col("text"), profile=IMAGE).select("package_id", *URL_FEATURES)
-    feats = local.drop("text").join(urls, "package_id")
-    if semantics is not None:
-        feats = feats.join(semantics, "package_id", "left")
-    return feats
-
-
 def with_context(feats: DataFrame, block: list[str], chunks: int | None = None) -> DataFrame:
     """Author context over the named feature columns (as one array)."""
     arr = feats.withColumn("own_block", F.array(*[F.col(c).cast("double") for c in block]))
@@ -59,10 +46,10 @@ FEATURE_NAMES = [*OWN_ORDER, *[f"ctx_{c}" for c in CTX_ORDER], "popularity"]   #
 
 
 def semantic_block(spark: SparkSession, sf_dir: str, ids: DataFrame) -> DataFrame:
-    """Ten platform distances per package (first ten keywords, in-vocabulary)."""
+    """Ten platform distances per package (its top ten words, in-vocabulary)."""
     from ..operators import semantics as S
-    kw = FX.keywords(spark, sf_dir).where(F.col("pos") < IMAGE.top_k_words).join(ids, "package_id", "left_semi")
-    d = S.platform_distance(kw, FX.vectors(spark, sf_dir), FX.platform_vec(spark, sf_dir))
+    from . import keywords as K
+    d = S.platform_distance(K.keywords(spark, sf_dir, IMAGE), FX.vectors(spark, sf_dir), K.platform_vectors(spark, sf_dir, IMAGE))
     sv = S.semantic_vector(d, ids)
     return sv.select("package_id", *[F.col("semantic")[i].alias(c) for i, c in enumerate(SEM)])
 

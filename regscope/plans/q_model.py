@@ -11,7 +11,7 @@ from . import image as IMG
 from . import twins as TW
 from .catalog import r6, register
 from .q_core import _BLOCKS, _HTML, _MD_LINE
-from .q_semantic import _PD, _VEC
+from .q_semantic import _KW
 
 
 def _labelled(spark, sf):
@@ -97,7 +97,7 @@ def q_weighted_metrics(spark, sf):
     return m.select(*[r6(c) for c in ("accuracy", "precision", "recall", "f1")])
 
 
-_FM = TW.with_ctes(TW.PACKAGES, TW.GATED, TW.URL_FEATS, _VEC, _PD, f"""
+_FM = TW.with_ctes(TW.PACKAGES, TW.GATED, TW.URL_FEATS, _KW, f"""
 cf as (select package_id, coalesce(full_description, '') = '' as empty, ({_MD_LINE}) and not ({_HTML}) as md,
   {_BLOCKS} as blocks from cand),
 cfx as (select package_id, case when empty then 1.0 when md then 1.0 else 0.0 end::double as code_md,

@@ -5,11 +5,12 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from .. import constants as C
+from ..profiles import NPM, NUGET
 from . import registries as R
 from . import twins as TW
 from .catalog import register
 from .q_maint import _hp
-from .q_semantic import _PD, _VEC
+from .q_semantic import kw_sql
 
 
 def _sem_sql(p: str, src: str, k: int) -> str:
@@ -35,12 +36,13 @@ fm as (select package_id, list_concat(own, case when coalesce({author}, '') = ''
 _ROWS = """select package_id, cast(i - 1 as bigint) as i, round(f[i], 6) as value from (
   select package_id, f, unnest(generate_series(1, len(f))) as i from fm)"""
 
-_NPM_TWIN = TW.with_ctes(TW.PACKAGES, TW.NPMV, _VEC, _PD, f"""
+_NPM_TWIN = TW.with_ctes(TW.PACKAGES, TW.NPMV, f"""
 ns as (select package_id, user_name, user_email, release_ts, coalesce(repo_url, '') as repo,
   concat_ws(' ', coalesce(name, ''), coalesce(description, ''), coalesce(readme, '')) as text,
   {_hp('homepage')} as hp0, case when coalesce(readme, '') = '' then 0.0 else 1.0 end::double as readme_flag
   from npmg where gate = 'score'),
 {TW.url_feats_sql('ns', 'text', C.INTERNAL_HOSTS['npm'], C.SHORT_HOSTS['npm'], 'nu', homepage='hp0')},
+{kw_sql('ns', 'text', NPM).strip()},
 {_sem_sql('np', 'ns', 20)},
 nf as (select s.package_id, s.user_name, s.release_ts,
   case when len(regexp_extract_all(s.text, '(?s)```.*?```|~~~.*?~~~')) = 0 then 1.0
@@ -69,7 +71,7 @@ def q_npm_feature_matrix(spark, sf):
         "package_id", F.col("i").cast("long").alias("i"), F.round("value", 6).alias("value"))
 
 
-_NUGET_TWIN = TW.with_ctes(TW.PACKAGES, TW.NUGETV, _VEC, _PD, f"""
+_NUGET_TWIN = TW.with_ctes(TW.PACKAGES, TW.NUGETV, f"""
 nb as (select package_id, author, release_ts, license::double as license, readme_tag::double as readme_flag,
   coalesce(project_url, '') as pu, array_to_string(list_transform(repository_urls, lambda u: u || ' '), '') as repo,
   concat(coalesce(file_name, ''), coalesce(description, '')) as text from nugg where gate = 'score'),
@@ -81,6 +83,7 @@ rs as (select ru.package_id, avg(coalesce(1 - r.rank / 1000000.0, 0)) as rm from
   left join rank_domain r on r.domain = regexp_extract(regexp_extract(ru.u, '{TW.NETLOC_RE}', 1), '{TW.DOMAIN_RE}', 0)
   where not regexp_matches(regexp_extract(ru.u, '{TW.NETLOC_RE}', 1), '[\\[\\]]') group by 1),
 rp as (select p.package_id, ((p.ps + coalesce(rs.rm, 0)) / 2)::double as repo_score from pjs p left join rs on rs.package_id = p.package_id),
+{kw_sql('nb', 'text', NUGET).strip()},
 {_sem_sql('gp', 'nb', 10)},
 fo2 as (select b.package_id, b.author, b.release_ts,
   list_concat([b.readme_flag], m.s, [u.url_external, u.url_short, u.url_domains, u.url_rank, u.url_dups],

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..operators import text_features as TF
 from ..sources.tables import table
 from . import image as IMG
+from . import keywords as K
 from . import twins as TW
 from .catalog import register
 
@@ -19,9 +20,12 @@ tk as (select package_id, cast(pos - 1 as bigint) as pos, token from (
          unnest(generate_series(1, len(regexp_extract_all(lower(text), '{TOKEN_RE}')))) as pos from cand)),
 ct as (select * from tk where length(token) > 1 and token not in ({_STOP}))
 """
-_LEX = f"""
+_LEX_WORDS = f"""
 lex as (select distinct token as word, substring('NVJR', 1 + length(token) % 4, 1) as tag from (
-  select unnest(regexp_extract_all(lower(text), '{TOKEN_RE}')) as token from documents)),
+  select unnest(regexp_extract_all(lower(text), '{TOKEN_RE}')) as token from documents))
+"""
+_LEX = f"""
+{_LEX_WORDS.strip()},
 nv as (select * from ct where token not in (
   select word from lex where not (starts_with(tag, 'N') or starts_with(tag, 'V'))))
 """
@@ -36,14 +40,6 @@ def _cand_tokens(spark, sf):
     return TF.token_rows(IMG.candidates(spark, sf), "package_id", F.col("text"))
 
 
-def _lexicon(spark, sf):
-    """The lexicon is an input resource: derived once per snapshot and stored."""
-    from ..sources.store import materialized
-    docs = table(spark, sf, "documents").select("doc_id", "text")
-    return materialized(spark, "lexicon", sf, ["documents"],
-                        lambda: TF.lexicon_from_corpus(TF.token_rows(docs, "doc_id", F.col("text"))))
-
-
 @register("tokens", TW.with_ctes(TW.PACKAGES, TW.GATED, _TOK, body="select package_id, pos, token from tk"))
 def q_tokens(spark, sf):
     """F6 (split path): every lower-cased letter run of each scored package text."""
@@ -59,7 +55,7 @@ def q_clean_tokens(spark, sf):
 @register("noun_verb_tokens", TW.with_ctes(TW.PACKAGES, TW.GATED, _TOK, _LEX, body="select package_id, pos, token from nv"))
 def q_noun_verb_tokens(spark, sf):
     """F8: keep nouns and verbs by a lexicon table (unknown words kept)."""
-    return TF.noun_verb_tokens(TF.clean_tokens(_cand_tokens(spark, sf)), _lexicon(spark, sf)).select(
+    return TF.noun_verb_tokens(TF.clean_tokens(_cand_tokens(spark, sf)), K.lexicon(spark, sf)).select(
         "package_id", "pos", "token")
 
 
@@ -78,7 +74,7 @@ select package_id, rank, word, n from (
 where rank <= 10"""))
 def q_top_words(spark, sf):
     """The ten keywords of each scored image package."""
-    rows = TF.noun_verb_tokens(TF.clean_tokens(_cand_tokens(spark, sf)), _lexicon(spark, sf))
+    rows = TF.noun_verb_tokens(TF.clean_tokens(_cand_tokens(spark, sf)), K.lexicon(spark, sf))
     return TF.top_words(TF.word_freq(rows, "package_id"), "package_id", 10)
 
 

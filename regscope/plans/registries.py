@@ -16,14 +16,15 @@ from ..operators.url_features import COUNT_COLS, URL_FEATURES, links, url_counts
 from ..session import cut_lineage
 from ..profiles import NPM, NUGET, RegistryProfile
 from ..sources import fixtures as FX
+from . import keywords as K
 
 SEM = [f"sem_{i}" for i in range(10)]
 
 
 def semantic_columns(spark: SparkSession, sf_dir: str, ids: DataFrame, profile: RegistryProfile) -> DataFrame:
     """Top-k keywords, in-vocabulary ones kept, the first ten distances padded."""
-    kw = FX.keywords(spark, sf_dir).where(F.col("pos") < profile.top_k_words).join(ids, "package_id", "left_semi")
-    d = S.platform_distance(kw, FX.vectors(spark, sf_dir), FX.platform_vec(spark, sf_dir))
+    kw = K.keywords(spark, sf_dir, profile)
+    d = S.platform_distance(kw, FX.vectors(spark, sf_dir), K.platform_vectors(spark, sf_dir, profile))
     # keep the first ten in-vocabulary keywords (a bounded window per package)
     from pyspark.sql import Window
     d = (d.withColumn("_r", F.row_number().over(Window.partitionBy("package_id").orderBy("pos")))

@@ -137,29 +137,12 @@ def predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(F.col("pull_count") % 4 == 0, F.lit("abuse")).otherwise(F.lit("non-abuse")).alias("pred"))
 
 
-def keywords(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``(package_id, pos, vec_id)``: the package's ranked keywords as vector ids.
-    Ids at or above the vocabulary size are out of vocabulary."""
-    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("package_id"))
-    n_vec = table(spark, sf_dir, "embeddings").select(F.count(F.lit(1))).scalar()
-    slots = F.when(F.col("package_id") % 12 > 0,
-                   F.sequence(F.lit(0), (F.col("package_id") % 12 - 1).cast("int")))
-    return (docs.select("package_id", F.explode(slots).alias("pos"))
-            .select("package_id", F.col("pos").cast("long").alias("pos"),
-                    ((F.col("package_id") * (F.col("pos") + 3)) % (n_vec + 20)).alias("vec_id")))
-
-
 def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The vocabulary: ``(vec_id, vec array<double>)``."""
     return (table(spark, sf_dir, "embeddings")
             .select("vec_id", F.col("embedding").cast("array<double>").alias("vec")))
 
 
-def platform_vec(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The 20 platform words as vector ids (bounded by construction)."""
-    return vectors(spark, sf_dir).where(F.col("vec_id") < 20)
-
-
 # --- archives built from the package rows (S4/S5 inputs) ---------------------------
 ARCHIVE_SCHEMA = "path string, content binary"
 
