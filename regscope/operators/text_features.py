@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 
 from .. import constants as C
 from ..functions.text import is_alpha, tokens
+from .semantics import keyword_rows
 
 
 @functools.lru_cache(maxsize=1)
@@ -82,7 +83,7 @@ def keywords(df: DataFrame, id_col: str, text: Column, k: int, lexicon: DataFram
     freq = word_freq(clean_tokens(token_rows(df, id_col, text)), id_col)
     if lexicon is not None:
         freq = noun_verb_tokens(freq.withColumnRenamed("word", "token"), lexicon).withColumnRenamed("token", "word")
-    return top_words(freq, id_col, k).select(id_col, (F.col("rank") - 1).alias("pos"), "word")
+    return keyword_rows(top_words(freq, id_col, k), id_col)
 
 
 def lexicon_from_corpus(rows: DataFrame) -> DataFrame:
