@@ -91,10 +91,18 @@ class Cache(dict):
             other = r()
             if other is not None and other is not self and other:
                 other.empty()
-                pa.default_memory_pool().release_unused()
+        pa.default_memory_pool().release_unused()
         return self
 
 
+def small_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """Hand texts to Python at most ``rows`` at a time: batches are held several times over, beside the heap."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    now = int(spark.conf.get(key, "10000"))
+    if now <= 0 or now > rows:
+        spark.conf.set(key, str(rows))
+
+
 def broadcast_if_small(df: DataFrame, limit_mb: int = 16) -> DataFrame:
     """Hint a broadcast of a written table if its files are within ``limit_mb``.
 

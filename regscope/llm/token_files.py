@@ -39,7 +39,7 @@ from pyspark.sql import functions as F
 from .common import Cache, fresh_path, written
 
 BLOCK_IDS = 1 << 20
-CACHE = 40 << 20              # bytes of encoded words per worker
+CACHE = 100 << 20             # bytes of encoded words per worker
 HEAD = struct.Struct("<4sBIQI")
 
 
