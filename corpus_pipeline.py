@@ -24,21 +24,24 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from regscope.llm import mixing, ngram_join, pii, sentence_pieces, toxicity
-from regscope.llm.common import dropped, table, written
+from regscope.llm.common import dropped, small_batches, table, written
 from regscope.llm.queries import TOKENIZERS
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    small_batches(spark)
     return toxicity.keep_clean(docs, table(spark, sf_dir, "labels"))
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    small_batches(spark)
     return ngram_join.keep_one(docs)
 
 
 def mask_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    small_batches(spark)
     return pii.mask(docs)
 
 
@@ -48,6 +51,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def encode_texts(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, lang, source, n_tokens and ids (end id last) of every row."""
+    small_batches(spark)
     model = sentence_pieces.read_model(f"{TOKENIZERS}/piece_bpe_32k.model")
     encoded = sentence_pieces.encode(docs.select("doc_id", "lang", "source", "text"), model, offsets=False, cache=32 << 20)
     return encoded.select("doc_id", "lang", "source", F.size("ids").cast("long").alias("n_tokens"), "ids")
