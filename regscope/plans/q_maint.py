@@ -304,10 +304,70 @@ def q_scan_packages(spark, sf):
     return FX.packages(spark, sf).select("package_id", "namespace", "name", "pull_count")
 
 
-@register("scan_since", TW.with_ctes(TW.PACKAGES, body="select package_id, name from packages where package_id > 500"))
+def _fresh_table(spark, name):
+    import uuid
+    from ..session import shared_path
+    from ..sources.commits import CommittedTable
+    return CommittedTable(spark, shared_path(spark, "committed", f"{name}-{uuid.uuid4().hex}"))
+
+
+@register("scan_since", TW.with_ctes(TW.PACKAGES, body="""
+select package_id, name, case when package_id <= (select max(package_id) // 2 from packages) then 1 else 2 end::bigint as run
+from packages where package_id is not null"""))
 def q_scan_since(spark, sf):
-    """S2 (batch form): rows after a saved cursor; the filter reaches the scan."""
-    return FX.packages(spark, sf).where(F.col("package_id") > 500).select("package_id", "name")
+    """Two runs over a growing table (at first its lower half of ids is there), each
+    from the cursor that the run before stored with its rows; ``run`` tells which did a row."""
+    from ..sources.commits import ingest
+    p = FX.packages(spark, sf).select("package_id", "name")
+    done = _fresh_table(spark, "scan")
+    half = p.agg(F.floor(F.max("package_id") / 2).alias("h")).scalar()
+    for seen in (p.where(F.col("package_id") <= half), p):
+        ingest(done, seen, "package_id", lambda rows: rows)
+    return done.read().select("package_id", "name", "run")
+
+
+_READMES = """
+rm as (select package_id, name, namespace, release_ts, length(full_description) as n_chars, package_id % 25 = 4 as bad
+  from packages where full_description is not null),
+rk as (select *, case when bad then 'decode' when coalesce(name, '') = '' then 'name' when coalesce(namespace, '') = '' then 'author'
+  when release_ts is null then 'release date' end as reason from rm)
+"""
+
+
+def _committed_readmes(spark, sf, kind):
+    """One pass over the README bytes: rows, rejects and undecodable ones, published together."""
+    from ..sources import archives as AR
+    from ..sources.commits import checked_rows
+    m = FX.readme_members(spark, sf)
+    rows = m.select("package_id", "name", "namespace", F.to_date("release_ts").alias("release_date"),
+                    *AR.decode_utf8_or(F.col("content"), "UTF-16"))
+    filled = lambda c: F.coalesce(F.col(c), F.lit("")) != ""
+    checked = checked_rows(rows, F.col("text").isNull(), {
+        "name": filled("name"), "author": filled("namespace"), "release date": F.col("release_date").isNotNull()})
+    done = _fresh_table(spark, "readmes")
+    done.append(checked.withColumn("n_chars", F.char_length("text").cast("long")).drop("text"))
+    return done.read(kind)
+
+
+@register("commit_rows", TW.with_ctes(TW.PACKAGES, _READMES, body="""
+select package_id, name, strftime(release_ts::date, '%Y-%m-%d') as release_date, package_id % 10 = 3 as used_fallback, n_chars
+from rk where reason is null"""))
+def q_commit_rows(spark, sf):
+    """The good rows of a committed run over README bytes."""
+    return _committed_readmes(spark, sf, "good").select(
+        "package_id", "name", F.date_format("release_date", "yyyy-MM-dd").alias("release_date"), "used_fallback", "n_chars")
+
+
+@register("commit_rejects", TW.with_ctes(TW.PACKAGES, _READMES, body="select package_id, reason from rk where reason <> 'decode'"))
+def q_commit_rejects(spark, sf):
+    """The rows of the same run that break a rule of the table, with the first one they break."""
+    return _committed_readmes(spark, sf, "reject").select("package_id", "reason")
+
+
+@register("commit_errors", TW.with_ctes(TW.PACKAGES, _READMES, body="select package_id, name from rk where reason = 'decode'"))
+def q_commit_errors(spark, sf):
+    """The rows of the same run whose bytes are neither UTF-8 nor UTF-16."""
+    return _committed_readmes(spark, sf, "error").select("package_id", "name")
 
 
 @register("corpus_audit", TW.with_ctes(TW.PACKAGES, TW.NUGETV, body="""

@@ -62,7 +62,7 @@ def _read_batches(batches):
                 else:
                     rows.extend(_tar_rows(path, data))
             except Exception as e:  # noqa: BLE001 - a damaged archive is data, not a crash
-                rows.append((path, None, None, None, None, None, f"{type(e).__name__}: {e}"[:200]))
+                rows.append((path, None, None, None, None, None, f"{type(e).__name__}: {e}"))
         pdf = pd.DataFrame(rows, columns=cols)
         yield pdf.astype({"n_members": "Int32", "n_dirs": "Int32"})
 
@@ -72,11 +72,28 @@ def archive_members(files: DataFrame) -> DataFrame:
     return files.select("path", "content").mapInPandas(_read_batches, MEMBER_SCHEMA)
 
 
+def valid_utf16(content: Column) -> Column:
+    """Whether bytes are UTF-16 (big-endian without a mark): whole units, every high
+    surrogate followed by a low one and every low one after a high one."""
+    little = F.hex(F.substring(content, 1, 2)) == "FFFE"
+    units = F.regexp_extract_all(F.hex(content), F.lit(".{4}"), F.lit(0))
+    # The first two hex digits of the number that a unit writes.
+    tops = F.when(little, F.transform(units, lambda u: F.substring(u, 3, 2))).otherwise(F.transform(units, lambda u: F.substring(u, 1, 2)))
+    high, low = (lambda t: t.between("D8", "DB")), (lambda t: t.between("DC", "DF"))
+    edge = F.array(F.lit("00"))
+    paired = F.forall(F.zip_with(F.concat(edge, tops), F.concat(tops, edge), lambda a, b: high(a) == low(b)), lambda ok: ok)
+    return (F.octet_length(content) % 2 == 0) & paired
+
+
 def decode_utf8_or(content: Column, fallback: str = "ISO-8859-1") -> list[Column]:
     """UTF-8 when the bytes are valid UTF-8, else ``fallback`` (Latin-1 for
-    npm READMEs, UTF-16 for nuspec files). Returns (text, used_fallback)."""
+    npm READMEs, UTF-16 for nuspec files). Returns (text, used_fallback); bytes that
+    are valid in neither have no text."""
     utf8 = F.try_validate_utf8(content.cast("string"))
-    return [F.coalesce(utf8, F.decode(content, fallback)).alias("text"),
+    other = F.decode(content, fallback)
+    if fallback.upper() == "UTF-16":  # any bytes are Latin-1
+        other = F.when(utf8.isNull() & valid_utf16(content), other)
+    return [F.coalesce(utf8, other).alias("text"),
             (utf8.isNull() & content.isNotNull()).alias("used_fallback")]
 
 

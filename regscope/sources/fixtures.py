@@ -143,6 +143,15 @@ def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
             .select("vec_id", F.col("embedding").cast("array<double>").alias("vec")))
 
 
+def readme_members(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """README bytes of the packages that have an overview: UTF-8, every tenth UTF-16, a few
+    that are neither (a surrogate without its other half in front)."""
+    d, text = F.col("package_id"), F.col("full_description")
+    content = (F.when(d % 25 == 4, F.concat(F.unhex(F.lit("D800")), F.encode(text, "UTF-8")))
+               .when(d % 10 == 3, F.encode(text, "UTF-16")).otherwise(F.encode(text, "UTF-8")))
+    return packages(spark, sf_dir).where(text.isNotNull()).select("package_id", "name", "namespace", "release_ts", content.alias("content"))
+
+
 # --- archives built from the package rows (S4/S5 inputs) ---------------------------
 ARCHIVE_SCHEMA = "path string, content binary"
 
