@@ -11,6 +11,7 @@ from ..operators import normalise as N
 from ..operators.gates import SCORE, corpus_audit, gate_npm, gate_nuget, nuget_text
 from ..operators.url_features import media_count
 from ..profiles import NUGET
+from ..sources import days as D
 from ..sources import fixtures as FX
 from ..sources.tables import table
 from . import twins as TW
@@ -255,14 +256,31 @@ cnt as (select release_ts::date as day, count(*) as n from packages group by 1)
 """, body="""
 select strftime(d.day, '%Y-%m-%d') as day, coalesce(c.n, 0) as n from days d left join cnt c on c.day = d.day"""))
 def q_month_partitions(spark, sf):
-    """Every calendar day of each month that has releases, with the number
-    of packages released that day (real calendar, leap years included)."""
-    p = FX.packages(spark, sf).select(F.to_date("release_ts").alias("day"))
-    months = p.where(F.col("day").isNotNull()).select(F.trunc("day", "month").alias("m")).distinct()
-    days = months.select(F.explode(F.sequence("m", F.last_day("m"))).alias("day"))
-    cnt = p.groupBy("day").agg(F.count(F.lit(1)).alias("n"))
-    return (days.join(cnt, "day", "left")
-            .select(F.date_format("day", "yyyy-MM-dd").alias("day"), F.coalesce("n", F.lit(0)).alias("n")))
+    """Every calendar day of each month that has releases, with the number of
+    packages in that day's folder (real calendar, leap years included)."""
+    days = _by_day(spark, sf)
+    return D.calendar(D.listed_days(days)).select(F.date_format(D.DAY, "yyyy-MM-dd").alias("day"), "n")
+
+
+def _by_day(spark, sf):
+    import uuid
+    from ..session import shared_path
+    path = shared_path(spark, "days", uuid.uuid4().hex)
+    D.write_days(FX.packages(spark, sf).select("package_id", "name", "namespace", "release_ts"), "release_ts", path)
+    return D.read_days(spark, path)
+
+
+@register("scan_day", TW.with_ctes(TW.PACKAGES, """
+ds as (select min(release_ts::date) as d from packages)
+""", body="""
+select package_id, name, strftime(release_ts::date, '%Y-%m-%d') as day from packages
+where release_ts::date between (select d from ds) and (select d from ds) + interval 1 day"""))
+def q_scan_day(spark, sf):
+    """The packages of the first two days of the table, from their folders alone."""
+    days = _by_day(spark, sf)
+    first = D.listed_days(days).agg(F.min(D.DAY).alias("d")).first().d  # one value, from the layout
+    wanted = days.where(F.col(D.DAY).between(F.lit(first), F.date_add(F.lit(first), 1)))
+    return wanted.select("package_id", "name", F.date_format(D.DAY, "yyyy-MM-dd").alias("day"))
 
 
 # --- sources / sinks -------------------------------------------------------------------------
