@@ -218,7 +218,7 @@ def read_warc(spark: SparkSession, path: str, payloads: bool = True) -> DataFram
     covers the bytes [offset, gap_end)."""
 
     def number(text: str | None) -> int | None:
-        found = re.search(r"(\d+)>?$", text or "")
+        found = re.search(r"(?:^|:)(-?\d+)>?$", text or "")
         return int(found[1]) if found else None
 
     def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

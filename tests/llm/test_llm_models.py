@@ -268,3 +268,12 @@ def test_pipeline(spark):
     assert last.count() == now.count() > 0
     assert last.where("n_tokens <> size(ids) or element_at(ids, -1) <> 2").count() == 0
     assert corpus_pipeline.run(spark, SMALL).count() == now.count()
+
+
+def test_warc_of_negative_and_extreme_ids(spark):
+    ids = [-5, 0, 7, -(2 ** 63), 2 ** 63 - 1]
+    rows = spark.createDataFrame([(i, f"http://x/{i}", bytearray(b"same")) for i in ids], "record_id long, uri string, payload binary")
+    got = {r.record_id: r for r in warc.read_warc(spark, warc.write_warc(warc.plan_records(rows))).collect()}
+    assert set(got) == set(ids)
+    first = min(ids)
+    assert {i: r.refers_to for i, r in got.items()} == {i: None if i == first else first for i in ids}
