@@ -135,13 +135,3 @@ def importances(model, names: list[str]):
     rf = model.stages[1]
     imp = rf.featureImportances.toArray().tolist()
     return [(i, names[i] if i < len(names) else f"f{i}", float(v)) for i, v in enumerate(imp)]
-
-
-def persist(model, train: DataFrame, test: DataFrame, path: str):
-    """M6: keep the fitted pipeline and the train/test matrices in shared
-    storage; returns the reloaded model (what a scoring job would load)."""
-    from pyspark.ml import PipelineModel
-    model.write().overwrite().save(f"{path}/model")
-    train.write.mode("overwrite").parquet(f"{path}/train")
-    test.write.mode("overwrite").parquet(f"{path}/test")
-    return PipelineModel.load(f"{path}/model")

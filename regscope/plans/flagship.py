@@ -1,36 +1,23 @@
 """Flagship: score image packages end to end.
 
 gate -> features (URL, code, semantic, popularity) -> author context ->
-forest fitted on the labelled train side -> result rows for every package
+stored forest (fitted once per snapshot on the labelled train side) -> result rows for every package
 (gate outcome, or the forest's label for scored packages).
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from ..operators import links as L
-from ..operators import model as M
-from ..operators.gates import SCORE
+from ..profiles import IMAGE
 from ..session import cut_lineage
-from ..sources.tables import table
 from . import image as IMG
-
-
-def labels_for(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "labels").select(
-        F.col("doc_id").alias("package_id"),
-        F.when(F.col("quality") == 0, F.lit("abuse")).otherwise(F.lit("non-abuse")).alias("label"))
+from .scoring import predictions, with_result
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     narrow = IMG.narrow_packages(spark, sf_dir)           # the only pass over the text
     ft = cut_lineage(IMG.feature_table(spark, sf_dir, narrow=narrow))
-    train = M.split_rows(ft.join(labels_for(spark, sf_dir), "package_id"), "package_id", 0.3)
-    model = M.fit_forest(train.where(F.col("split") == "train"))
-    preds = M.score(model, ft).select("package_id", "pred")
-    gated = narrow.select("package_id", "name", "namespace", "gate")
-    results = (gated.join(preds, "package_id", "left")
-               .withColumn("result", F.when(F.col("gate") == SCORE, F.col("pred")).otherwise(F.col("gate"))))
-    return L.image_result_rows(results)
+    preds = predictions(spark, sf_dir, IMAGE, ft)
+    return L.image_result_rows(with_result(narrow.select("package_id", "name", "namespace", "gate"), preds))

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import model as M
+from ..profiles import IMAGE, NPM, NUGET
 from ..sources import fixtures as FX
 from ..sources.tables import label_text, table
 from . import image as IMG
+from . import scoring as SC
 from . import twins as TW
 from .catalog import r6, register
 from .q_core import _BLOCKS, _HTML, _MD_LINE
@@ -143,43 +146,39 @@ def q_minmax_norm(spark, sf):
     return M.minmax_long(rows).select("package_id", "i", r6("value"))
 
 
-def _fit(spark, sf, split_key: str = "package_id"):
-    from ..session import cut_lineage
-    # The feature plan is read by several ML stages: materialise it once in the
-    # shared checkpoint directory instead of re-running it per stage.
-    ft = cut_lineage(IMG.feature_table(spark, sf))
-    lab = table(spark, sf, "labels").select(
-        F.col("doc_id").alias("package_id"),
-        F.when(F.col("quality") == 0, F.lit("abuse")).otherwise(F.lit("non-abuse")).alias("label"))
-    data = M.split_rows(ft.join(lab, "package_id"), split_key, 0.3)
-    model = M.fit_forest(data.where(F.col("split") == "train"))
-    import uuid
-    from ..session import shared_path
-    model = M.persist(model, data.where(F.col("split") == "train"), data.where(F.col("split") == "test"),
-                      shared_path(spark, "models", uuid.uuid4().hex))
-    return ft, data, model
+def _eval(stored) -> DataFrame:
+    """M4: weighted metrics of a stored forest on the test rows kept beside it."""
+    return M.weighted_metrics(M.score(stored.model(), stored.rows("test")))
 
 
 @register("fit_eval")
 def q_fit_eval(spark, sf):
-    """M2 + M4: fit the forest on the train side, weighted metrics on the test side."""
-    _, data, model = _fit(spark, sf)
-    scored = M.score(model, data.where(F.col("split") == "test"))
-    return M.weighted_metrics(scored)
+    """M2 + M4: the forest of the train side, weighted metrics on the test side."""
+    return _eval(SC.forest(spark, sf, IMAGE))
+
+
+@register("fit_eval_npm")
+def q_fit_eval_npm(spark, sf):
+    """M2 + M4 (npm): 40 features, trained on three tenths of the labelled rows."""
+    return _eval(SC.forest(spark, sf, NPM))
+
+
+@register("fit_eval_nuget")
+def q_fit_eval_nuget(spark, sf):
+    """M2 + M4 (NuGet): 36 features."""
+    return _eval(SC.forest(spark, sf, NUGET))
 
 
 @register("score_packages")
 def q_score_packages(spark, sf):
-    """M3: every scored package labelled by the forest."""
-    ft, _, model = _fit(spark, sf)
-    return M.score(model, ft).select("package_id", "pred")
+    """M3: every scored package labelled by the stored forest."""
+    return SC.predictions(spark, sf, IMAGE)
 
 
 @register("importances")
 def q_importances(spark, sf):
     """M5: feature importances by index and name."""
-    _, _, model = _fit(spark, sf)
-    rows = M.importances(model, IMG.FEATURE_NAMES)
+    rows = M.importances(SC.forest(spark, sf, IMAGE).model(), SC.feature_names(IMAGE))
     return spark.createDataFrame(rows, "i long, name string, importance double")
 
 
@@ -187,6 +186,66 @@ def q_importances(spark, sf):
 def q_fit_eval_by_author(spark, sf):
     """M2 + M4 without leakage: the split is on md5(author), so all packages of
     an author (whose context blends their neighbours) fall on one side."""
-    _, data, model = _fit(spark, sf, split_key="namespace")
-    scored = M.score(model, data.where(F.col("split") == "test"))
-    return M.weighted_metrics(scored)
+    return _eval(SC.forest(spark, sf, IMAGE, split_key="namespace"))
+
+
+# --- result rows -------------------------------------------------------------------
+@register("npm_results")
+def q_npm_results(spark, sf):
+    """M3 + S10 (npm): result rows with the forest's labels."""
+    return SC.npm_sink(spark, sf, SC.predictions(spark, sf, NPM))
+
+
+@register("nuget_results")
+def q_nuget_results(spark, sf):
+    """M3 + S10 (NuGet): result rows with the forest's labels."""
+    return SC.nuget_sink(spark, sf, SC.predictions(spark, sf, NUGET))
+
+
+_RUN = "run as (select strftime(max(release_ts), '%Y-%m-%d %H:%M:%S') as run_at from packages)"
+
+
+def _given(spark, sf):
+    return FX.predictions(spark, sf).select("package_id", "pred")
+
+
+@register("image_sink_rows", TW.with_ctes(TW.PACKAGES, TW.GATED, TW.PRED, _RUN, """
+t as (select g.*, case when g.gate = 'score' then p.pred else g.gate end as result, coalesce(g.name, '') = '' as no_name,
+  strftime(g.release_ts, '%Y-%m-%d %H:%M:%S') as released from gated g join pred p on p.package_id = g.package_id)
+""", body="""
+select package_id, case when no_name then 'null' else name end as name, (select run_at from run) as date,
+  case when no_name then 'null' else result end as result, cast(package_id as varchar) as docker_id,
+  case when no_name or coalesce(namespace, '') = '' then 'null' else namespace end as author,
+  case when no_name or released is null then 'null' else released end as date_registered,
+  case when no_name or released is null then 'null' else released end as last_updated from t"""))
+def q_image_sink_rows(spark, sf):
+    """S10 (image form), whole rows, with the fixed stand-in predictions."""
+    return SC.image_sink(spark, sf, _given(spark, sf))
+
+
+@register("npm_sink_rows", TW.with_ctes(TW.PACKAGES, TW.NPMV, TW.PRED, _RUN, """
+ns as (select g.*, case when g.gate = 'score' then p.pred else g.gate end as result from npmg g join pred p on p.package_id = g.package_id)
+""", body="""
+select package_id, case when result = 'name_n' then 'name_null' else substring(name, 1, 95) end as name,
+  (select run_at from run) as date, result, substring(tar_name, 1, 95) as tar_name, strftime(release_ts, '%Y-%m-%d') as release_date,
+  case when result in ('name_n', 'rdm_n') then null when coalesce(user_name, '') = '' then 'NULL' else substring(user_name, 1, 95) end as user_name,
+  case when result in ('name_n', 'rdm_n') then null when coalesce(user_email, '') = '' then 'NULL' else substring(user_email, 1, 95) end as user_email,
+  cast(year(release_ts) as integer) as year from ns"""))
+def q_npm_sink_rows(spark, sf):
+    """S10 (npm form), whole rows, with the fixed stand-in predictions."""
+    return SC.npm_sink(spark, sf, _given(spark, sf))
+
+
+@register("nuget_sink_rows", TW.with_ctes(TW.PACKAGES, TW.NUGETV, TW.PRED, _RUN, """
+k as (select package_id, unnest(list_distinct(regexp_extract_all(description, '{md}', 1))) as url from nugg where gate = 'score'
+      union all
+      select package_id, unnest(list_distinct(regexp_extract_all(description, '{href}', 1))) as url from nugg where gate = 'score'),
+j as (select package_id, string_agg(url, chr(10) order by url) as urls from k where starts_with(url, 'http') group by 1)
+""".replace("{md}", TW.MD_RE).replace("{href}", TW.HREF_RE), body="""
+select g.package_id, case when coalesce(g.file_name, '') = '' then 'null' else g.file_name end as name, (select run_at from run) as time,
+  case when g.gate = 'score' then p.pred else g.gate end as result, strftime(g.release_ts, '%Y-%m-%d') as date,
+  case when coalesce(g.author, '') = '' then 'null' else g.author end as author, coalesce(j.urls, 'no_url') as urls
+from nugg g join pred p on p.package_id = g.package_id left join j on j.package_id = g.package_id"""))
+def q_nuget_sink_rows(spark, sf):
+    """S10, S11 (NuGet form), whole rows, with the fixed stand-in predictions."""
+    return SC.nuget_sink(spark, sf, _given(spark, sf))

@@ -20,19 +20,21 @@ import json
 import uuid
 from collections.abc import Callable
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
-class CommittedTable:
+class Manifests:
+    """Numbered manifest files of a folder, each created once and never changed."""
+
     def __init__(self, spark: SparkSession, path: str):
-        self.spark, self.path = spark, path.rstrip("/")
         self._jvm = spark.sparkContext._jvm
-        self._folder = self._jvm.org.apache.hadoop.fs.Path(f"{self.path}/_manifests")
+        self._folder = self._jvm.org.apache.hadoop.fs.Path(f"{path}/_manifests")
         self._fs = self._folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
 
-    def _numbers(self) -> list[int]:
+    def numbers(self) -> list[int]:
         if not self._fs.exists(self._folder):
             return []
         names = [s.getPath().getName() for s in self._fs.listStatus(self._folder)]
@@ -41,22 +43,65 @@ class CommittedTable:
     def _file(self, number: int):
         return self._jvm.org.apache.hadoop.fs.Path(self._folder, f"{number:08d}.json")
 
-    def state(self) -> dict:
-        """number, cursor, runs and schema of the last complete manifest."""
-        for number in reversed(self._numbers()):
+    def find(self, numbers) -> dict | None:
+        """The first complete manifest among ``numbers``, with its number."""
+        for number in numbers:
             stream = self._fs.open(self._file(number))
             try:
-                text = bytes(stream.readAllBytes()).decode()
-                return json.loads(text) | {"number": number}
+                return json.loads(bytes(stream.readAllBytes()).decode()) | {"number": number}
             except ValueError:
                 continue
             finally:
                 stream.close()
-        return {"number": 0, "cursor": None, "runs": [], "schema": None}
+        return None
+
+    def create(self, number: int, data: dict) -> None:
+        """Raises if the number is taken."""
+        out = self._fs.create(self._file(number), False)
+        out.write(bytearray(json.dumps(data).encode()))
+        out.close()
+
+    def delete(self, path: str) -> None:
+        self._fs.delete(self._jvm.org.apache.hadoop.fs.Path(path), True)
+
+
+def published(spark: SparkSession, target: str, write: Callable[[str], None]) -> str:
+    """The folder below ``target`` that counts; ``write(folder)`` fills a new one if none does.
+
+    Folders are never renamed: the first complete manifest names the one that counts. Writers
+    take no lock. Of several at once the first to create a manifest wins, the others
+    drop their folders and read the winner's; a writer that died left a folder nobody names."""
+    manifests = Manifests(spark, target)
+    state = manifests.find(manifests.numbers())
+    if state is None:
+        folder = f"try-{uuid.uuid4().hex}"
+        write(f"{target}/{folder}")
+        numbers = manifests.numbers()
+        if manifests.find(numbers) is None:
+            try:
+                manifests.create(max([0, *numbers]) + 1, {"folder": folder})
+            except Py4JJavaError:
+                if manifests.numbers() == numbers:
+                    raise
+        # Another writer's manifest may be there but not complete yet: this folder is as good.
+        state = manifests.find(manifests.numbers()) or {"folder": folder}
+        if state["folder"] != folder:
+            manifests.delete(f"{target}/{folder}")
+    return f"{target}/{state['folder']}"
+
+
+class CommittedTable:
+    def __init__(self, spark: SparkSession, path: str):
+        self.spark, self.path = spark, path.rstrip("/")
+        self._manifests = Manifests(spark, self.path)
+
+    def state(self) -> dict:
+        """number, cursor, runs and schema of the last complete manifest."""
+        return self._manifests.find(reversed(self._manifests.numbers())) or {"number": 0, "cursor": None, "runs": [], "schema": None}
 
     def stage(self, rows: DataFrame) -> dict:
         """Write a run that doesn't count yet. ``rows`` may have the column ``kind``."""
-        state, number = self.state(), max([0, *self._numbers()]) + 1
+        state, number = self.state(), max([0, *self._manifests.numbers()]) + 1
         if "kind" not in rows.columns:
             rows = rows.withColumn("kind", F.lit("row"))
         run = f"{number:08d}-{uuid.uuid4().hex}"
@@ -67,9 +112,7 @@ class CommittedTable:
     def publish(self, staged: dict, cursor=None) -> None:
         """Make a staged run count, with the cursor after it. Raises if its number is taken."""
         data = {k: staged[k] for k in ("runs", "schema")} | {"cursor": cursor}
-        out = self._fs.create(self._file(staged["number"]), False)
-        out.write(bytearray(json.dumps(data).encode()))
-        out.close()
+        self._manifests.create(staged["number"], data)
 
     def append(self, rows: DataFrame, cursor=None) -> None:
         self.publish(self.stage(rows), cursor)

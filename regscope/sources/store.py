@@ -3,23 +3,23 @@
 A table is keyed by its name, the input directory and the size and
 modification time of each input's part files and a plan version, so a changed
 input or definition gives a new table.
-The write goes to a temporary path that is renamed into place, so a failed or
-concurrent build never leaves a half-written table behind.
+A manifest names the folder that counts (``commits.published``), so a failed or
+concurrent build never shows a half-written table, and nothing is renamed.
 """
 
 from __future__ import annotations
 
 import hashlib
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
 from ..session import shared_path
+from .commits import published
 
 
 # Raise it when a stored table's definition changes.
-PLAN_VERSION = 4
+PLAN_VERSION = 5
 
 
 def _fs(spark: SparkSession, path: str):
@@ -28,7 +28,8 @@ def _fs(spark: SparkSession, path: str):
     return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), p, jvm
 
 
-def _fingerprint(spark: SparkSession, sf_dir: str, inputs: list[str]) -> str:
+def fingerprint(spark: SparkSession, sf_dir: str, inputs: list[str]) -> str:
+    """A key of the inputs' part files and the plan version."""
     h = hashlib.sha1(f"{PLAN_VERSION}:{sf_dir}".encode())
     for name in inputs:
         path = f"{sf_dir.rstrip('/')}/{name}.parquet"
@@ -42,13 +43,5 @@ def _fingerprint(spark: SparkSession, sf_dir: str, inputs: list[str]) -> str:
 
 def materialized(spark: SparkSession, name: str, sf_dir: str, inputs: list[str],
                  build: Callable[[], DataFrame]) -> DataFrame:
-    target = shared_path(spark, "tables", f"{name}-{_fingerprint(spark, sf_dir, inputs)}")
-    fs, tp, jvm = _fs(spark, target)
-    if not fs.exists(jvm.org.apache.hadoop.fs.Path(target + "/_SUCCESS")):
-        tmp = f"{target}.tmp-{uuid.uuid4().hex}"
-        build().write.mode("overwrite").parquet(tmp)
-        if not fs.exists(tp):
-            fs.rename(jvm.org.apache.hadoop.fs.Path(tmp), tp)
-        else:
-            fs.delete(jvm.org.apache.hadoop.fs.Path(tmp), True)
-    return spark.read.parquet(target)
+    target = shared_path(spark, "tables", f"{name}-{fingerprint(spark, sf_dir, inputs)}")
+    return spark.read.parquet(published(spark, target, lambda folder: build().write.parquet(folder)))
