@@ -133,3 +133,11 @@ def repo_score(df: DataFrame, id_col: str, project_url: str, repository: str, ra
     rs = domain_score(urls, "_rd", ranks, "_rs").groupBy(id_col).agg(F.avg("_rs").alias("_rm"))
     return (pj.join(rs, id_col, "left")
             .select(id_col, ((F.col("_ps") + F.coalesce(F.col("_rm"), F.lit(0.0))) / 2).alias("repo_score")))
+
+
+def reconcile(counted: DataFrame, listed: DataFrame, key: str) -> DataFrame:
+    """Per listed key, what was counted (``n``, 0 if nothing was) against the listed
+    ``expected``; ``same`` is 1 if they agree, else 0, also where the listing is unknown."""
+    return listed.join(counted, key, "left").select(
+        key, F.coalesce("n", F.lit(0)).alias("n"), "expected",
+        F.when(F.col("expected") == F.coalesce("n", F.lit(0)), F.lit(1)).otherwise(F.lit(0)).alias("same"))
