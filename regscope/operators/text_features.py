@@ -11,6 +11,7 @@ from __future__ import annotations
 import functools
 import glob
 import os
+import re
 import zipfile
 
 from pyspark.sql import Column, DataFrame, Window
@@ -109,18 +110,65 @@ def platform_words(corpus: DataFrame, key: str, text: Column, k: int = 20) -> Da
             .select(key, F.col("rank").cast("long").alias("rank"), "word", "n"))
 
 
-def substring_count(text: Column, word: str) -> Column:
-    """Non-overlapping occurrences of ``word`` in ``text`` (left to right)."""
+def _bordered(word: str) -> bool:
+    """Whether two occurrences of ``word`` can overlap."""
+    return any(word.startswith(word[i:]) for i in range(1, len(word)))
+
+
+def _prefix_free(words: list[str]) -> list[list[str]]:
+    """``words`` in classes where no word starts another (or is there twice), so at most one word
+    of a class begins at a place of a text. As many classes as the longest chain of prefixes."""
+    classes: list[list[str]] = []
+    chain: list[tuple[str, int]] = []              # the prefixes of the present word and their classes
+    for w in sorted(words):
+        while chain and not w.startswith(chain[-1][0]):
+            chain.pop()
+        depth = chain[-1][1] + 1 if chain else 0
+        if depth == len(classes):
+            classes.append([])
+        classes[depth].append(w)
+        chain.append((w, depth))
+    return classes
+
+
+def _trie_pattern(words: list[str]) -> str:
+    """A pattern for prefix-free, distinct words that shares their common beginnings."""
+    heads: dict[str, list[str]] = {}
+    for w in words:
+        heads.setdefault(w[:1], []).append(w[1:])
+    heads.pop("", None)
+    parts = [re.escape(c) + (_trie_pattern(tails) if any(tails) else "") for c, tails in heads.items()]
+    return parts[0] if len(parts) == 1 else "(?:" + "|".join(parts) + ")"
+
+
+def _begins(text: Column, words: list[str]) -> Column:
+    """The places of ``text`` where a word of ``words`` begins, one pass per class."""
+    total = F.lit(0).cast("long")
+    for group in _prefix_free(words):
+        total = total + F.regexp_count(text, F.lit(f"(?s)(?={_trie_pattern(group)})")).cast("long")
+    return total
+
+
+def dictionary_count(text: Column, words: list[str]) -> Column:
+    """Non-overlapping occurrences of each word (left to right), summed; empty words count nothing.
+
+    Occurrences of a word that can't overlap itself are the places where it begins, found for
+    the whole list in one pass per prefix-free class. So are those of the others where the text
+    has no two that overlap; only a text that has some is counted word by word."""
     t = F.coalesce(text, F.lit(""))
-    return ((F.char_length(t) - F.char_length(F.replace(t, F.lit(word), F.lit("")))) / F.lit(len(word))).cast("long")
+    words = [w for w in words if w]
+    bordered = [w for w in words if _bordered(w)]
+    total = _begins(t, [w for w in words if not _bordered(w)])
+    if bordered:
+        # Two overlapping occurrences: the word, then its part beyond the border.
+        overlaps = {w + w[len(w) - i:] for w in bordered for i in range(1, len(w)) if w.startswith(w[i:])}
+        overlaps = _prefix_free(sorted(overlaps))[0]         # a longer one begins with one of these
+        one = lambda n, w: n + ((F.char_length(t) - F.char_length(F.replace(t, w, F.lit("")))) / F.char_length(w)).cast("long")
+        slow = F.aggregate(F.array(*[F.lit(w) for w in bordered]), F.lit(0).cast("long"), one)
+        total = total + F.when(t.rlike("(?s)" + _trie_pattern(overlaps)), slow).otherwise(_begins(t, bordered))
+    return total
 
 
 def lexicon_hits(df: DataFrame, id_col: str, text: Column, lists: dict[str, list[str]]) -> DataFrame:
     """Per list, the summed substring counts of its words."""
-    cols = []
-    for name, words in lists.items():
-        total = F.lit(0).cast("long")
-        for w in words:
-            total = total + substring_count(text, w)
-        cols.append(total.alias(f"{name}_hits"))
-    return df.select(id_col, *cols)
+    return df.select(id_col, *[dictionary_count(text, words).alias(f"{name}_hits") for name, words in lists.items()])

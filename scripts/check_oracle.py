@@ -39,10 +39,10 @@ def norm(v):
 
 
 # Python stages are allowed only where SURVEY §2.10 lists them (archives,
-# segmentation, streaming state); no plan may hold a cartesian product.
+# segmentation, streaming state) and for the language scorer's matrix; no plan may hold a cartesian product.
 PYTHON_NODES = ("ArrowEvalPython", "BatchEvalPython", "MapInPandas", "PythonMapInArrow", "MapInArrow",
                 "FlatMapGroupsInPandas", "FlatMapCoGroupsInPandas", "AggregateInPandas", "WindowInPandas")
-PYTHON_OK = {"npm_members", "nupkg_members", "decode_text", "npm_ingest", "segmented_tokens"}
+PYTHON_OK = {"npm_members", "nupkg_members", "decode_text", "npm_ingest", "segmented_tokens", "language_gate"}
 FORBIDDEN = ("CartesianProduct", "BroadcastNestedLoopJoin")
 
 

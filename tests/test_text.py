@@ -64,15 +64,76 @@ def test_substring_count(spark):
     assert r.x_hits == 2 + 3
 
 
+def test_dictionary_counts_equal_plain_counts(spark):
+    import random
+    rnd = random.Random(5)
+    word = lambda abc, n: "".join(rnd.choice(abc) for _ in range(rnd.randint(1, n)))
+    few = [word("ab", 4) for _ in range(25)]                     # prefixes, repeats, self-overlaps
+    many = [word("abcdefghijklmnop", 7) for _ in range(500)]
+    odd = ["a.b", "(", "[x]", "é\U0001F600", "\n", "a b", "\\d", "", "#-&~"]
+    texts = [word("ab", 60) for _ in range(60)] + [word("abcdefghijklmnop", 400) for _ in range(60)]
+    texts += ["", None, "aaaa", "a.b(((\n\n[x][x]é\U0001F600\\d a b#-&~ axb", "ab" * 5000]
+    df = spark.createDataFrame([*enumerate(texts)], "package_id long, text string").repartition(4)
+    lists = {"few": few, "many": many, "odd": odd, "none": []}
+    rows = TF.lexicon_hits(df, "package_id", F.col("text"), lists).collect()
+    assert len(rows) == len(texts)
+    for r in rows:
+        t = texts[r.package_id] or ""
+        for name, words in lists.items():
+            assert r[f"{name}_hits"] == sum(t.count(w) for w in words if w), (name, t[:50])
+
+
+def _plain_language(train, text):
+    """The same naive Bayes with plain dicts."""
+    import math
+    from collections import Counter
+    from regscope.operators import language as LG
+
+    def grams(t):
+        t = (t or "").lower()
+        return [sum(ord(c) * k for c, k in zip(t[i:i + 3], LG.TRIGRAM_FACTORS)) % LG.BUCKETS for i in range(len(t) - 2)]
+    train = [(x, t) for x, t in train if x is not None]
+    per = {}
+    for x, t in train:
+        per.setdefault(x, Counter()).update(grams(t))
+    per = {x: c for x, c in per.items() if c}
+    seen = set().union(*per.values())
+    got = {}
+    for x, c in per.items():
+        ll = math.log(sum(y == x for y, _ in train) / len(train))
+        got[x] = ll + sum(math.log(c[g] + 1) - math.log(sum(c.values()) + len(seen)) for g in grams(text) if g in seen)
+    best = max(got, key=lambda x: (got[x], x))
+    return best, 1 / sum(math.exp(v - got[best]) for v in got.values())
+
+
+def test_language_scores_equal_plain_naive_bayes(spark):
+    import random
+    from regscope.operators import language as LG
+    rnd = random.Random(3)
+    abc = {"en": "the aonis ", "fr": "le éuàsnt ", "zh": "\u4e00\u4e01\U0001F600 "}
+    text = lambda x, n: "".join(rnd.choice(abc[x]) for _ in range(n))
+    train = [(x, text(x, rnd.randint(0, 80))) for x in list(abc) * 30] + [("empty", ""), (None, "the the"), ("en", None)]
+    texts = [text(x, n) for x in abc for n in (0, 1, 2, 3, 9, 40)] + [None, "xyz" * 70_000, text("en", 70_000)]
+    rows = spark.createDataFrame(train, "lang string, text string").repartition(3)
+    model = LG.fit_language_model(rows, F.col("text"))
+    out = LG.score_language(spark.createDataFrame([*enumerate(texts)], "doc_id long, text string"), "doc_id", F.col("text"), model)
+    assert "Exchange" not in out._jdf.queryExecution().executedPlan().toString()
+    for r in out.collect():
+        lang, p = _plain_language(train, texts[r.doc_id])
+        assert r.lang_pred == lang and abs(r.p_lang - p) < 1e-6, (r, lang, p)
+    nothing = LG.fit_language_model(rows.where("false"), F.col("text"))
+    assert LG.score_language(spark.createDataFrame([(1, "the")], "doc_id long, text string"), "doc_id", F.col("text"), nothing).first().lang_pred is None
+
+
 def test_language_model_from_text(spark):
     from regscope.operators import language as LG
     en = ["the cat sat on the mat with the other cats", "this is the house that we built there"]
     fr = ["le chat est sur le tapis avec les autres", "c'est la maison que nous avons construite"]
     train = spark.createDataFrame([(i, "en", t) for i, t in enumerate(en)] + [(10 + i, "fr", t) for i, t in enumerate(fr)],
                                   "doc_id long, lang string, text string")
-    grams, langs = LG.fit_language_model(train, F.col("text"))
+    model = LG.fit_language_model(train, F.col("text"))
     test = spark.createDataFrame([(100, "the other house there"), (101, "la maison avec les chats")], "doc_id long, text string")
-    got = {r.doc_id: (r.lang_pred, r.is_english) for r in LG.score_language(test, "doc_id", F.col("text"), grams, langs).collect()}
+    got = {r.doc_id: (r.lang_pred, r.is_english) for r in LG.score_language(test, "doc_id", F.col("text"), model).collect()}
     assert got[100][0] == "en" and got[101] == ("fr", False)
 
 
