@@ -117,14 +117,15 @@ class CommittedTable:
     def append(self, rows: DataFrame, cursor=None) -> None:
         self.publish(self.stage(rows), cursor)
 
-    def read(self, kind: str | None = None) -> DataFrame:
-        """The rows of all published runs with ``run`` (its number) and ``kind``; only the kind's files are read."""
+    def read(self, kind: str | None = None, last: bool = False) -> DataFrame:
+        """The rows of all published runs, or of the ``last``, with ``run`` (its number) and ``kind``; only the
+        kind's files are read."""
         state = self.state()
         schema = T.StructType.fromJson(state["schema"]) if state["schema"] else T.StructType()
         full = T.StructType([*schema.fields, T.StructField("run", T.StringType()), T.StructField("kind", T.StringType())])
         if not state["runs"]:
             return self.spark.createDataFrame([], full)
-        paths = [f"{self.path}/run={r}" for r in state["runs"]]
+        paths = [f"{self.path}/run={r}" for r in (state["runs"][-1:] if last else state["runs"])]
         rows = self.spark.read.schema(full).option("basePath", self.path).parquet(*paths)
         rows = rows.where(F.col("kind") == kind) if kind else rows
         return rows.withColumn("run", F.substring("run", 1, 8).cast("long"))

@@ -1,138 +1,113 @@
 """Streaming twin of the batch pipeline.
 
-* ``land_daily`` writes a table into a landing folder one day at a time, each
-  day's rows hash-partitioned by the state key, so every key's rows of a day sit
-  in one file and days arrive in order (the file source takes files by
-  modification time). This stands in for registry files arriving daily.
-* ``stream_author_context`` (T2) keeps ``last1``/``last2`` per author with
-  ``applyInPandasWithState``; rows of a key within a micro-batch are sorted by
-  event time. A row older than the author's last event (late) is scored against
-  the current state and does not rewind it. On in-order input the result equals
-  the batch window W1 (tested).
-* ``sink_batches`` (S12/T3) is the ``foreachBatch`` writer: each micro-batch
-  overwrites its own ``batch_id=`` folder, so a replayed batch after a failure
-  replaces its output instead of duplicating it.
-
-Checkpoints, landing and sink folders live under the shared checkpoint
-directory, so a restarted query resumes where it stopped.
+A micro-batch writes its output, and the state after it, as one run of a ``CommittedTable``; the
+manifest that publishes the run holds the batch's number. A batch that is replayed after a crash
+finds its number published and does nothing, or finds it missing and does its work again,
+so rows are neither lost nor there twice. No stream keeps operator state.
+
+* ``scan_batches`` (T1): rows of a streaming plan as they come.
+* ``context_batch`` (T2): the author context. The state is the last two events of each
+  author. A batch and the state go through the batch operator W1, whose ranges split an author's
+  rows, so a hot author is never one group. A row older than its author's last event (late) is
+  scored against the state and does not rewind it. On in-order input the result equals W1 (tested).
+* ``new_ids_batch`` (T3): one row per id over all batches. The ids of the committed rows are the
+  index; those of the batch are looked up in it by a semi-join.
+
+Checkpoints and tables live under the shared checkpoint directory, so a restarted query
+resumes where it stopped.
 """
 
 from __future__ import annotations
 
-import uuid
+from collections.abc import Callable
 
-import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import Window
 
-from ..constants import CONTEXT_DECAY
-from ..session import shared_path
+from ..operators.context import author_context, blend
+from ..session import cut_lineage, shared_path
+from ..sources.commits import CommittedTable
 
 NO_TIME = -(1 << 62)
-STATE_SCHEMA = "last1 array<double>, last2 array<double>, last_ts long, last_id long"
-# Group key prefix for rows without an author: each such row is its own group
-# and keeps no state (no hot null key).
-NO_AUTHOR = "\u0000"
-
-
-def group_key(author: Column, row_id: Column) -> Column:
-    a = author.cast("string")
-    return F.when(a.isNull() | (a == ""), F.concat(F.lit(NO_AUTHOR), row_id.cast("string"))).otherwise(a)
-
-
-def land_daily(df: DataFrame, ts_col: str, key_col: str, dest: str, parts_per_day: int = 4) -> str:
-    """Append ``df`` to ``dest`` one calendar day after another, rows without a
-    time first (they order first). The loop runs over days (a calendar, not rows)."""
-    untimed = df.where(F.col(ts_col).isNull())
-    if not untimed.isEmpty():
-        untimed.repartition(parts_per_day, key_col).write.mode("append").parquet(dest)
-    days = [r[0] for r in df.select(F.to_date(ts_col).alias("d")).where(F.col("d").isNotNull())
-            .distinct().orderBy("d").collect()]
-    for d in days:
-        (df.where(F.to_date(ts_col) == F.lit(d)).repartition(parts_per_day, key_col)
-         .write.mode("append").parquet(dest))
+
+
+def land(df: DataFrame, dest: str, files: int = 4) -> str:
+    """One delivery: ``df`` as ``files`` new files of the landing folder, in one write."""
+    df.repartition(files).write.mode("append").parquet(dest)
     return dest
 
 
-def _blend(l1, l2):
-    w1, w2 = CONTEXT_DECAY
-    return [w1 * x + w2 * y for x, y in zip(l1, l2)]
-
-
-def context_state_fn(key_col: str, id_col: str, ts_col: str, feat_col: str):
-    """The per-author state update used by ``applyInPandasWithState``."""
-
-    def fn(key, pdfs, state):
-        rows = pd.concat(list(pdfs), ignore_index=True)
-        # Rows without a time order first, as nulls do in the batch plan.
-        rows = rows.assign(**{ts_col: rows[ts_col].fillna(NO_TIME).astype("int64")})
-        rows = rows.sort_values([ts_col, id_col], kind="mergesort")
-        has_key = not str(key[0]).startswith(NO_AUTHOR)
-        if has_key and state.exists:
-            last1, last2, last_ts, last_id = state.get
-            last1 = list(last1) if last1 is not None else None
-            last2 = list(last2) if last2 is not None else None
-        else:
-            last1 = last2 = None
-            last_ts = last_id = None
-        out_ctx = []
-        for ts, rid, f in zip(rows[ts_col], rows[id_col], rows[feat_col]):
-            own = [float(x) for x in f]
-            if last1 is None:
-                ctx = own
-            elif last2 is None:
-                ctx = last1
-            else:
-                ctx = _blend(last1, last2)
-            out_ctx.append(ctx)
-            if not has_key:
-                continue  # no author: own features, no state
-            late = last_ts is not None and (int(ts), int(rid)) < (last_ts, last_id)
-            if not late:
-                last2, last1 = last1, own
-                last_ts, last_id = int(ts), int(rid)
-        if has_key and last1 is not None:
-            state.update((last1, last2, last_ts, last_id))
-        yield pd.DataFrame({id_col: rows[id_col].astype("int64").values, key_col: rows[key_col].values,
-                            "ctx": out_ctx})
-
-    return fn
-
-
-def sink_batches(df: DataFrame, sink: str, checkpoint: str, available_now: bool = True):
-    """Idempotent per-batch writes under ``sink/batch_id=N``."""
-    def write(batch: DataFrame, batch_id: int):
-        batch.write.mode("overwrite").parquet(f"{sink}/batch_id={batch_id}")
-    w = df.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
-    w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime="10 seconds")
-    return w.start()
-
-
-def stream_author_context(spark: SparkSession, landing: str, schema, key_col: str, id_col: str,
-                          ts_col: str, feat: Column, run_id: str | None = None,
-                          max_files: int = 2) -> DataFrame:
-    """Run the stateful context query over everything landed and return the
-    sink as a table ``(id, key, ctx)``."""
-    run_id = run_id or uuid.uuid4().hex
-    src = (spark.readStream.schema(schema).option("maxFilesPerTrigger", max_files).parquet(landing)
-           .select(F.col(id_col), F.col(key_col), F.unix_micros(F.col(ts_col).cast("timestamp")).alias("_ts"),
-                   feat.alias("_f"), group_key(F.col(key_col), F.col(id_col)).alias("_g")))
-    out = src.groupBy("_g").applyInPandasWithState(
-        context_state_fn(key_col, id_col, "_ts", "_f"),
-        f"{id_col} long, {key_col} {dict((f.name, f.dataType.simpleString()) for f in schema.fields)[key_col]}, ctx array<double>",
-        STATE_SCHEMA, "append", "NoTimeout")
-    return run_to_table(spark, out, run_id)
-
-
-def run_to_table(spark: SparkSession, out: DataFrame, run_id: str) -> DataFrame:
-    """Run a streaming plan to the end of the landed input and read its sink."""
-    sink = shared_path(spark, "streams", run_id, "sink")
-    q = sink_batches(out, sink, shared_path(spark, "streams", run_id, "checkpoint"))
+def run_batches(source: DataFrame, each: Callable[[DataFrame, int], None], checkpoint: str) -> None:
+    """Pass everything that has arrived through ``each``, batch by batch, and stop."""
+    q = source.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     q.awaitTermination()
-    return spark.read.parquet(sink).drop("batch_id")
 
 
-def once_per_package(src: DataFrame, id_col: str, ts_col: str, delay: str = "3650 days") -> DataFrame:
-    """Drop redelivered rows of a package (same id) within the watermark."""
-    return (src.withColumn("_event_ts", F.col(ts_col).cast("timestamp"))
-            .withWatermark("_event_ts", delay).dropDuplicatesWithinWatermark([id_col]).drop("_event_ts"))
+def stream_table(spark: SparkSession, run_id: str) -> tuple[CommittedTable, str]:
+    """The committed table of a stream and its checkpoint folder."""
+    return CommittedTable(spark, shared_path(spark, "streams", run_id, "table")), shared_path(spark, "streams", run_id, "checkpoint")
+
+
+def _done(table: CommittedTable, batch_id: int) -> bool:
+    cursor = table.state()["cursor"]
+    return cursor is not None and cursor >= batch_id
+
+
+def scan_batches(table: CommittedTable) -> Callable[[DataFrame, int], None]:
+    """Every batch is committed once."""
+    def each(batch: DataFrame, batch_id: int) -> None:
+        if not _done(table, batch_id):
+            table.append(batch, batch_id)
+    return each
+
+
+def new_ids_batch(table: CommittedTable, id_col: str) -> Callable[[DataFrame, int], None]:
+    """Commit the rows whose id no earlier batch committed, one per id (which of a batch's
+    rows of one id is not defined). Rows without an id can't be told apart and all stay.
+
+    The index is the id column of the committed rows. A small batch is broadcast to it by
+    its bytes, so the index isn't shuffled; nothing else grows with the stream's age."""
+    def each(batch: DataFrame, batch_id: int) -> None:
+        if _done(table, batch_id):
+            return
+        rows = cut_lineage(batch)
+        fresh = rows.where(F.col(id_col).isNotNull()).dropDuplicates([id_col])
+        if table.state()["runs"]:
+            seen = table.read("row").select(id_col).join(rows.select(id_col), id_col, "left_semi")
+            fresh = fresh.join(seen, id_col, "left_anti")
+        table.append(fresh.unionByName(rows.where(F.col(id_col).isNull())), batch_id)
+    return each
+
+
+def context_batch(table: CommittedTable, key: str, id_col: str, ts_col: str, feat: str) -> Callable[[DataFrame, int], None]:
+    """Commit ``(id, key, ctx)`` of the batch's rows, and the state after them, as kinds
+    'row' and 'state'. ``feat`` is an array<double>. Rows without a time come first among their
+    author's, as in W1; rows without an author get their own features and leave no state."""
+    order = ["_ts", id_col]
+
+    def each(batch: DataFrame, batch_id: int) -> None:
+        if _done(table, batch_id):
+            return
+        ts = F.coalesce(F.unix_micros(F.col(ts_col).cast("timestamp")), F.lit(NO_TIME))
+        rows = cut_lineage(batch.select(id_col, key, ts.alias("_ts"), F.col(feat).alias("_f")))
+        before = table.read("state", last=True) if table.state()["runs"] else rows.limit(0)
+        before = before.select(id_col, key, "_ts", "_f")
+
+        # Two events per author at most.
+        last = before.groupBy(key).agg(F.sort_array(F.collect_list(F.struct(*order, "_f")), asc=False).alias("_last"))
+        late = F.coalesce(F.struct(*order) < F.struct(*[F.col("_last")[0][c].alias(c) for c in order]), F.lit(False))
+        met = rows.join(last, key, "left").withColumn("_late", late)
+        # Late rows see the state as it is; ``get`` is null where it has one event.
+        behind = met.where("_late").select(id_col, key, blend(F.col("_f"), F.get("_last", F.lit(0))["_f"], F.get("_last", F.lit(1))["_f"]).alias("ctx"))
+        line = met.where("not _late").select(id_col, key, *order[:1], "_f", F.lit(True).alias("_new")).unionByName(
+            before.withColumn("_new", F.lit(False)))
+        line = cut_lineage(line)
+        ahead = author_context(line, key, [*order, "_new"], "_f", id_col=id_col).where("_new").select(id_col, key, "ctx")
+
+        newest = Window.partitionBy(key).orderBy(*[F.col(c).desc() for c in [*order, "_new"]])
+        keep = (line.where(F.coalesce(F.col(key).cast("string"), F.lit("")) != "")
+                .withColumn("_r", F.row_number().over(newest)).where("_r <= 2").select(id_col, key, "_ts", "_f"))
+        out = behind.unionByName(ahead).withColumn("kind", F.lit("row"))
+        table.append(out.unionByName(keep.withColumn("kind", F.lit("state")), allowMissingColumns=True), batch_id)
+    return each
