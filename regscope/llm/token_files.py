@@ -133,7 +133,14 @@ class WordEncoder:
         self.vocabulary = self.library.get_vocab_size(with_added_tokens=True)
         self.added = [t.content for t in self.library.get_added_tokens_decoder().values()]
         self.words = Cache(CACHE)
-        self.plain = re.compile("[a-z]+")
+        # Lower-case letters that the file's normalizer leaves alone and its pre-tokenizer keeps within
+        # a run of letters, with what the model sees of each: such words go to the model at once.
+        seen = {}
+        for c in map(chr, range(0x61, 0x250)):
+            pieces = self.library.pre_tokenizer.pre_tokenize_str(f"a{c}a")
+            if c.isalpha() and self.library.normalizer.normalize_str(f"a{c}a") == f"a{c}a" and len(pieces) == 1:
+                seen[c] = pieces[0][0][1:-1]
+        self.plain, self.seen = re.compile("[" + "".join(seen) + "]+"), str.maketrans(seen)
 
     def _whole(self, text: str) -> bytes:
         return np.array(self.library.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
@@ -142,16 +149,13 @@ class WordEncoder:
         core, tail = word, ""
         if word[-1] in ".," and len(word) > 1:
             core, tail = word[:-1], word[-1]
-        if self.plain.fullmatch(core):
-            got = self.words.get(core)
-            if got is None:
-                got = np.array([t.id for t in self.library.model.tokenize(core + "")], "<u4").tobytes()
-                self._keep(core, got)
-            if tail:
-                got += self.words.get(tail) or self._keep(tail, self._whole(tail))
-        else:
-            got = self._whole(word)
-        return got
+        if not self.plain.fullmatch(core):
+            return self._keep(word, self._whole(word))
+        got = self.words.get(core)
+        if got is None:
+            got = self._keep(core, np.array([t.id for t in self.library.model.tokenize(core.translate(self.seen))], "<u4").tobytes())
+        # A word and its end are kept apart, not once more together.
+        return got + (self.words.get(tail) or self._keep(tail, self._whole(tail))) if tail else got
 
     def _keep(self, word: str, got: bytes) -> bytes:
         return self.words.keep(word, got, len(word) + len(got)) if len(word) < 200 else got
@@ -161,11 +165,12 @@ class WordEncoder:
             return np.frombuffer(self._whole(text), "<u4")
         if text.isascii() or max(text) < "ɐ":
             text = text.lower()
-        words, out = self.words, []
-        for w in re.split("[ \n]+", text):
-            if w:
-                got = words.get(w)
-                out.append(self._keep(w, self._word(w)) if got is None else got)
+        words = text.replace("\n", " ").split(" ")
+        out = list(map(self.words.get, words))
+        for i, got in enumerate(out):
+            if got is None:
+                w = words[i]
+                out[i] = (self.words.get(w) or self._word(w)) if w else b""
         return np.frombuffer(b"".join(out), "<u4")
 
 
