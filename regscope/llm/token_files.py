@@ -28,6 +28,7 @@ import functools
 import re
 import struct
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -123,8 +124,9 @@ class WordEncoder:
     White space ends every pre-token of the file's pipeline and no rule looks
     across it, so a text's ids are its words' ids in order. Words of letters
     below U+0250 are keyed in lower case, as the pipeline lowers them one by
-    one; a trailing ``.`` or ``,`` is a pre-token of its own. A text that holds
-    an added token goes to the library whole.
+    one. A ``.`` or ``,`` between a letter and white space is a pre-token of its
+    own, so it is parted from its word in one pass over the text and both are
+    looked up. A text that holds an added token goes to the library whole.
     """
 
     def __init__(self, spec: str):
@@ -140,32 +142,27 @@ class WordEncoder:
             pieces = self.library.pre_tokenizer.pre_tokenize_str(f"a{c}a")
             if c.isalpha() and self.library.normalizer.normalize_str(f"a{c}a") == f"a{c}a" and len(pieces) == 1:
                 seen[c] = pieces[0][0][1:-1]
-        self.plain, self.seen = re.compile("[" + "".join(seen) + "]+"), str.maketrans(seen)
+        letters = "[" + "".join(seen) + "]"
+        self.plain, self.seen = re.compile(letters + "+"), str.maketrans(seen)
+        self.stop = re.compile(rf"[.,](?<={letters}.)(?=[ \n]|\Z)")
+        self.beyond = re.compile("[\u0250-\U0010ffff]")
 
     def _whole(self, text: str) -> bytes:
-        return np.array(self.library.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+        return array("I", self.library.encode(text, add_special_tokens=False).ids).tobytes()
 
     def _word(self, word: str) -> bytes:
-        core, tail = word, ""
-        if word[-1] in ".," and len(word) > 1:
-            core, tail = word[:-1], word[-1]
-        if not self.plain.fullmatch(core):
-            return self._keep(word, self._whole(word))
-        got = self.words.get(core)
-        if got is None:
-            got = self._keep(core, np.array([t.id for t in self.library.model.tokenize(core.translate(self.seen))], "<u4").tobytes())
-        # A word and its end are kept apart, not once more together.
-        return got + (self.words.get(tail) or self._keep(tail, self._whole(tail))) if tail else got
-
-    def _keep(self, word: str, got: bytes) -> bytes:
+        if self.plain.fullmatch(word):
+            got = array("I", [t.id for t in self.library.model.tokenize(word.translate(self.seen))]).tobytes()
+        else:
+            got = self._whole(word)
         return self.words.keep(word, got, len(word) + len(got)) if len(word) < 200 else got
 
     def encode(self, text: str) -> np.ndarray:
         if any(t in text for t in self.added):
             return np.frombuffer(self._whole(text), "<u4")
-        if text.isascii() or max(text) < "ɐ":
+        if text.isascii() or not self.beyond.search(text):
             text = text.lower()
-        words = text.replace("\n", " ").split(" ")
+        words = self.stop.sub(r" \g<0>", text).replace("\n", " ").split(" ")
         out = list(map(self.words.get, words))
         for i, got in enumerate(out):
             if got is None:
