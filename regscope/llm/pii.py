@@ -2,8 +2,9 @@
 
 Base finders (fixed patterns) mark e-mail addresses, IP addresses, card and
 phone numbers. Beyond them every other token with a digit or an ``@`` is a
-candidate, and labelers of three sorts vote on it (+1 private, -1 not, 0 no
-vote):
+candidate, and so is one of letters only that is assigned to a secret field,
+follows the name of one with ``:`` or ``=`` (or ``Bearer``), or starts like a
+known key. Labelers of three sorts vote on it (+1 private, -1 not, 0 no vote):
 
 * regex: shapes of keys, assigned secrets, long hex, long numbers, versions;
 * gazetteer: known key prefixes, names of secret fields, harmless number words;
@@ -47,6 +48,7 @@ CARD = re.compile(r"(?<![0-9])[0-9](?:[ -]?[0-9])++")
 PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 HINT = re.compile("[0-9@]")
 TOKEN = re.compile(r"(?<!\S)(?=\S*?[0-9@])\S++")
+SOLID = re.compile(r"\S++")
 
 
 def luhn(digits: str) -> bool:
@@ -110,7 +112,14 @@ KEY_PREFIXES = ("AKIA", "ASIA", "ghp_", "gho_", "sk-", "xoxb-", "AIza")
 SECRET_FIELDS = ("password", "passwd", "pwd", "token", "secret", "api_key", "apikey", "key", "auth", "bearer")
 HARMLESS_WORDS = ("version", "license", "section", "chapter", "page", "figure", "table", "by", "by-nc", "year", "by-sa")
 
-ASSIGNED = re.compile(r"(?i)[\"']?[a-z_]*(password|passwd|pwd|token|secret|api_?key)[a-z_]*[\"']?[=:]\S{6,}")
+FIELD = r"(?:password|passwd|pwd|token|secret|api_?key)"
+HAS_FIELD = re.compile(f"(?i){FIELD}")
+# A whole name before = or :, so that each run of letters is read once.
+NAMED = re.compile(r"(?<![A-Za-z_])([A-Za-z_]++)[\"']?[=:](?=\S{6})")
+# Where a secret without digits may stand: in this token, or in the next one.
+LETTERS = re.compile(rf"(?<![A-Za-z_])(?P<name>[A-Za-z_]++)[\"']?(?:(?P<own>[=:](?=\S{{6}}))|\s?(?:=>?|:)\s++(?=\S{{8}}))"
+                     rf"|(?<!\S)[Bb]earer\s++(?=\S{{8}})|(?P<key>(?<![A-Za-z0-9])(?:{'|'.join(KEY_PREFIXES)})(?=\S{{8}}))")
+MAY_HOLD = re.compile(rf"(?i){FIELD}|bearer|{'|'.join(KEY_PREFIXES)}")
 HEXES = re.compile(r"(?=[0-9]*[a-fA-F])(?=[a-fA-F]*[0-9])[0-9a-fA-F]{16,}")
 KEYLIKE = re.compile(r"(?=[0-9]*[A-Z])(?=[A-Z]*[0-9])[A-Z0-9]{16,}")
 PLAIN_NUMBER = re.compile(r"[0-9][0-9.,:/-]*")
@@ -126,14 +135,36 @@ class Candidate:
     features: str
 
 
+def assigned(token: str) -> bool:
+    return any(HAS_FIELD.search(m[1]) for m in NAMED.finditer(token))
+
+
+def tokens(text: str) -> list[tuple[int, int]]:
+    """Spans between white space that may be private, in order."""
+    spans = {m.span() for m in TOKEN.finditer(text)} if HINT.search(text) else set()
+    if MAY_HOLD.search(text):
+        last = 0
+        for m in LETTERS.finditer(text):
+            if m["name"] and not HAS_FIELD.search(m["name"]):
+                continue
+            start = m.start() if m["own"] or m["key"] else m.end()
+            if start < last:
+                continue
+            while start > last and not text[start - 1].isspace():
+                start -= 1
+            last = SOLID.match(text, start).end()
+            spans.add((start, last))
+    return sorted(spans)
+
+
 def candidates(text: str | None, base: list[tuple[int, int, int]]) -> Iterator[Candidate]:
-    """Tokens with a digit or ``@`` that no base span touches, without outer punctuation."""
-    if not text or not HINT.search(text):
+    """The tokens that no base span touches, without outer punctuation."""
+    if not text:
         return
     taken = sorted((a, b) for _, a, b in base)
     i = 0
-    for m in TOKEN.finditer(text):
-        start, end = m.span()
+    for first, end in tokens(text):
+        start = first
         while start < end and text[start] in EDGE:
             start += 1
         while end > start and text[end - 1] in EDGE:
@@ -143,13 +174,13 @@ def candidates(text: str | None, base: list[tuple[int, int, int]]) -> Iterator[C
         if start == end or (i < len(taken) and taken[i][0] < end):
             continue
         token = text[start:end]
-        before = text[max(0, m.start() - 60):m.start()].split()[-3:]
+        before = text[max(0, first - 60):first].split()[-3:]
         cues = [w.strip(EDGE + "=").lower() for w in before]
         near = (i < len(taken) and taken[i][0] - end <= 20) or (i > 0 and start - taken[i - 1][1] <= 20)
         digits = sum(c.isdigit() for c in token)
         short = len(token) < 8
         votes = (
-            1 if ASSIGNED.search(token) else 0,                                                   # regex
+            1 if assigned(token) else 0,                                                           # regex
             1 if KEYLIKE.fullmatch(token) or HEXES.fullmatch(token) else -1 if short else 0,      # regex
             -1 if VERSION.fullmatch(token) else 0,                                                # regex
             -1 if PLAIN_NUMBER.fullmatch(token) else 0,                                           # regex: failed the base checks

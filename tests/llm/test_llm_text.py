@@ -286,6 +286,21 @@ def test_pii_report_and_mask(spark, rows):
     assert pii.report(table.limit(0)).count() == 0 and pii.mask(table.limit(0)).count() == 0
 
 
+def test_secrets_of_letters_are_candidates(spark):
+    found = lambda t: [t[c.start:c.end] for c in pii.candidates(t, pii.base_spans(t))]
+    assert found("my password=correcthorse here") == ["password=correcthorse"]
+    assert found("token: abcdefghijkl") == found("Authorization: Bearer abcdefghijkl") == ["abcdefghijkl"]
+    assert found("sk-abcdefghijkl and ghp_abcdefghij") == ["sk-abcdefghijkl", "ghp_abcdefghij"]
+    assert found("a password manager, the secret of all things, password: a b") == found("") == found(None) == []
+    for t in ("a" * 300_000 + "1", "password" * 40_000 + "1", "password=" * 40_000, "sk-" * 100_000, "bearer " + " " * 300_000):
+        assert len(found(t)) <= 1  # linear
+    rng = random.Random(6)
+    letters = lambda k: "".join(rng.choice("bcdfghjklmnpqrstvwxz") for _ in range(k))
+    table = docs(spark, [(i, f"{words(rng, 6)} password={letters(18)} {words(rng, 4)} page 12 of 300 by a manager", "s") for i in range(80)])
+    texts = [r.text for r in pii.mask(table).collect()]
+    assert all("[SECRET]" in t and "page 12 of 300 by a manager" in t for t in texts)
+
+
 def test_em_finds_the_reliable_labelers():
     rng = np.random.default_rng(0)
     truth = rng.random(4000) < 0.3
