@@ -119,7 +119,8 @@ NAMED = re.compile(r"(?<![A-Za-z_])([A-Za-z_]++)[\"']?[=:](?=\S{6})")
 # Where a secret without digits may stand: in this token, or in the next one.
 LETTERS = re.compile(rf"(?<![A-Za-z_])(?P<name>[A-Za-z_]++)[\"']?(?:(?P<own>[=:](?=\S{{6}}))|\s?(?:=>?|:)\s++(?=\S{{8}}))"
                      rf"|(?<!\S)[Bb]earer\s++(?=\S{{8}})|(?P<key>(?<![A-Za-z0-9])(?:{'|'.join(KEY_PREFIXES)})(?=\S{{8}}))")
-MAY_HOLD = re.compile(rf"(?i){FIELD}|bearer|{'|'.join(KEY_PREFIXES)}")
+# What a text must hold for any of these, looked for before the patterns.
+FIELD_PARTS = ("password", "passwd", "pwd", "token", "secret", "api_key", "apikey", "bearer")
 HEXES = re.compile(r"(?=[0-9]*[a-fA-F])(?=[a-fA-F]*[0-9])[0-9a-fA-F]{16,}")
 KEYLIKE = re.compile(r"(?=[0-9]*[A-Z])(?=[A-Z]*[0-9])[A-Z0-9]{16,}")
 PLAIN_NUMBER = re.compile(r"[0-9][0-9.,:/-]*")
@@ -142,7 +143,8 @@ def assigned(token: str) -> bool:
 def tokens(text: str) -> list[tuple[int, int]]:
     """Spans between white space that may be private, in order."""
     spans = {m.span() for m in TOKEN.finditer(text)} if HINT.search(text) else set()
-    if MAY_HOLD.search(text):
+    lowered = text.lower()
+    if any(w in lowered for w in FIELD_PARTS) or any(w in text for w in KEY_PREFIXES):
         last = 0
         for m in LETTERS.finditer(text):
             if m["name"] and not HAS_FIELD.search(m["name"]):
