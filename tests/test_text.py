@@ -170,3 +170,21 @@ def test_segmenter_ranks_and_uses_every_word(spark):
     squeezed = {r.doc_id: r.s or "" for r in docs.select("doc_id", LG.squeezed(F.col("text")).alias("s")).collect()}
     for i in range(len(texts)):
         assert [t for _, t in sorted(found.get(i, {}).items())] == plain(squeezed[i]), i
+
+
+def test_segmenter_blocks_are_tasks_of_their_own(spark, monkeypatch):
+    from regscope.operators import language as LG
+    monkeypatch.setattr(LG, "BLOCK_CHARS", 200)
+    monkeypatch.setattr(LG, "PART_CHARS", 7)
+    costs = spark.createDataFrame([("zebra", 1.0), ("quux", 2.0), ("ze", 0.5), ("bra", 0.6), ("q", 3.0)], "w string, cost double")
+    unit, split = "zebra zequux q é\U0001F600ééééééé bra", ["zebra", "ze", "quux", "q", "ééé", "ééééé", "bra"]
+    texts = spark.createDataFrame([(i, " ".join([unit] * (i % 4))) for i in range(60)], "doc_id long, text string")
+    out = LG.segment(texts, "doc_id", F.col("text"), costs).select("*", F.spark_partition_id().alias("part"))
+    rows = out.collect()
+    assert len({r.part for r in rows}) > 3
+    got = {}
+    for r in rows:
+        got.setdefault(r.doc_id, {})[r.pos] = r.token
+    for i in range(60):
+        tokens = [t for _, t in sorted(got.get(i, {}).items())]
+        assert tokens == split * (i % 4), (i, tokens)
