@@ -188,3 +188,21 @@ def test_segmenter_blocks_are_tasks_of_their_own(spark, monkeypatch):
     for i in range(60):
         tokens = [t for _, t in sorted(got.get(i, {}).items())]
         assert tokens == split * (i % 4), (i, tokens)
+
+
+def test_language_gate_tells_every_trigram_apart(spark):
+    from regscope.operators import language as LG
+    # Two trigrams a former table of 65,536 hashed trigrams held in one place.
+    place, pair = {}, None
+    for n in range(1 << 17):
+        t = chr(0x4E00 + n % 4096) + chr(0x6000 + n // 4096) + "x"
+        at = sum(ord(c) * k for c, k in zip(t, (1_000_003, 10_007, 101))) % (1 << 16)
+        if at in place:
+            pair = place[at], t
+            break
+        place[at] = t
+    train = spark.createDataFrame([("en", pair[0] * 9), ("fr", pair[1] * 9)], "lang string, text string")
+    model = LG.fit_language_model(train, F.col("text"))
+    texts = spark.createDataFrame([(0, pair[0]), (1, pair[1]), (2, None)], "doc_id long, text string")
+    got = {r.doc_id: (r.lang_pred, round(r.p_lang, 6)) for r in LG.score_language(texts, "doc_id", F.col("text"), model).collect()}
+    assert got == {0: ("en", round(10 / 11, 6)), 1: ("fr", round(10 / 11, 6)), 2: ("fr", 0.5)}
