@@ -73,6 +73,15 @@ def shared_path(spark: SparkSession, *parts: str) -> str:
     return "/".join([ensure_checkpoint_dir(spark).rstrip("/"), *parts])
 
 
+def small_batches(spark: SparkSession, rows: int = 256) -> None:
+    """Hand Python at most ``rows`` rows at a time in a session that ``get_spark`` didn't build: a batch
+    of archives or texts is held several times over in each worker."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    now = int(spark.conf.get(key, "10000"))
+    if now <= 0 or now > rows:
+        spark.conf.set(key, str(rows))
+
+
 def drop_lineage(spark: SparkSession) -> None:
     """Delete what ``cut_lineage`` wrote in this application; call it before stopping."""
     path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(shared_path(spark, "lineage", spark.sparkContext.applicationId))

@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..session import small_batches
 from .tables import table
 
 
@@ -203,6 +204,7 @@ def _nupkg(pid, name, nuspec, readme):
 
 def npm_archive_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One ``.tgz`` per package, as ``binaryFile``-shaped rows ``(path, content)``."""
+    small_batches(spark)
     p = packages(spark, sf_dir).select("package_id", "name", "description", "homepage", "repo_url",
                                        F.col("full_description").alias("readme"))
 
@@ -219,6 +221,7 @@ def npm_archive_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def nuget_archive_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One ``.nupkg`` per package (nuspec in UTF-16 for every tenth)."""
+    small_batches(spark)
     from ..plans.q_maint import nuspec_text
     p = packages(spark, sf_dir)
     p = p.select("package_id", "name", nuspec_text(p).alias("nuspec"), F.col("full_description").alias("readme"))

@@ -13,9 +13,12 @@ from pyspark.sql import functions as F
 
 from regscope.operators import context as CTX
 from regscope.sources import archives as AR
+from regscope.sources import fixtures as FX
 from regscope.sources.commits import CommittedTable
 from regscope.streaming import author_state as ST
 
+from conftest import SF_SMALL
+
 
 def _tgz(files):
     buf = io.BytesIO()
@@ -140,3 +143,14 @@ def test_once_per_id_over_batches(spark, tmp_path):
     each(rows([1, 2, 3, 4, None]), 3)
     assert sorted(r.id or 0 for r in table.read("row").collect()) == [0, 0, 0, 1, 2, 3, 4]
     assert table.state()["cursor"] == 3
+
+
+def test_archives_reach_python_in_small_batches(spark):
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "10000")
+    try:
+        FX.npm_archive_files(spark, SF_SMALL)
+        assert int(spark.conf.get(key)) <= 256
+    finally:
+        spark.conf.set(key, before)
