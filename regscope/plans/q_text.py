@@ -63,7 +63,7 @@ def q_noun_verb_tokens(spark, sf):
 select package_id, token as word, count(*) as n, min(pos) as first_pos from ct group by 1, 2"""))
 def q_word_freq(spark, sf):
     """Per package word counts and first positions."""
-    return TF.word_freq(TF.clean_tokens(_cand_tokens(spark, sf)), "package_id")
+    return TF.text_word_freq(IMG.candidates(spark, sf), "package_id", F.col("text"))
 
 
 @register("top_words", TW.with_ctes(TW.PACKAGES, TW.GATED, _TOK, _LEX, """
@@ -74,8 +74,7 @@ select package_id, rank, word, n from (
 where rank <= 10"""))
 def q_top_words(spark, sf):
     """The ten keywords of each scored image package."""
-    rows = TF.noun_verb_tokens(TF.clean_tokens(_cand_tokens(spark, sf)), K.lexicon(spark, sf))
-    return TF.top_words(TF.word_freq(rows, "package_id"), "package_id", 10)
+    return TF.text_top_words(IMG.candidates(spark, sf), "package_id", F.col("text"), 10, K.lexicon(spark, sf))
 
 
 @register("platform_words", TW.with_ctes(f"""
@@ -184,5 +183,4 @@ def q_top_words_npm(spark, sf):
     from ..operators.gates import SCORE, gate_npm, npm_text
     g = gate_npm(FX.npm_view(spark, sf)).where(F.col("gate") == SCORE)
     c = lambda n: F.coalesce(F.col(n), F.lit(""))
-    rows = TF.clean_tokens(TF.token_rows(g, "package_id", npm_text(c("name"), c("description"), c("readme"))))
-    return TF.top_words(TF.word_freq(rows, "package_id"), "package_id", 20)
+    return TF.text_top_words(g, "package_id", npm_text(c("name"), c("description"), c("readme")), 20)

@@ -44,3 +44,17 @@ def test_vector_id_rule(spark):
     import hashlib
     got = spark.range(1).select(K.vector_id(F.lit("casino"), F.lit(500)).alias("i")).first().i
     assert got == int(hashlib.md5(b"casino").hexdigest()[:12], 16) % 520
+
+
+def test_words_are_counted_inside_the_row(spark):
+    text = "Casino bonus casino spin the casino wheel"
+    rows = spark.createDataFrame([(1, text), (1, "wheel casino"), (2, text), (None, "bonus"), (None, "spin bonus"), (3, ""), (4, None)],
+                                 "package_id long, text string")
+    got = TF.text_word_freq(rows, "package_id", F.col("text"))
+    by_token = TF.word_freq(TF.clean_tokens(TF.token_rows(rows, "package_id", F.col("text"))), "package_id")
+    listed = lambda df: sorted(map(repr, df.select("package_id", "word", "n", "first_pos").collect()))
+    assert listed(got) == listed(by_token) and got.schema["n"].dataType == by_token.schema["n"].dataType
+    assert ("1", "casino", 4, 0) in [(str(r.package_id), r.word, r.n, r.first_pos) for r in got.collect()]
+    # No row per token leaves a text.
+    plan = TF.keywords(rows, "package_id", F.col("text"), 10)._jdf.queryExecution().executedPlan().toString()
+    assert "posexplode" not in plan
