@@ -41,6 +41,7 @@ from .common import Cache
 MARK = "▁"
 CACHE = 100 << 20             # bytes of merged chunks per worker
 NORMAL, UNKNOWN, CONTROL, BYTE = 1, 2, 3, 6
+NO_PIECE = float("-inf")      # the score of two parts that make no piece
 
 
 def _fields(buf: bytes) -> Iterator[tuple[int, int | bytes]]:
@@ -194,20 +195,16 @@ class PieceModel:
         parts, score = list(chunk), self.score
         if len(parts) > 48:
             return self._merged_long(parts)
-        value = [score.get(a + b) for a, b in zip(parts, parts[1:])]
-        while True:
-            best, at = None, -1
-            for i, v in enumerate(value):
-                if v is not None and (best is None or v > best):
-                    best, at = v, i
-            if best is None:
-                return parts
+        value = [score.get(a + b, NO_PIECE) for a, b in zip(parts, parts[1:])]
+        while value and (best := max(value)) != NO_PIECE:
+            at = value.index(best)
             parts[at:at + 2] = [parts[at] + parts[at + 1]]
             del value[at]
             if at < len(value):
-                value[at] = score.get(parts[at] + parts[at + 1])
+                value[at] = score.get(parts[at] + parts[at + 1], NO_PIECE)
             if at:
-                value[at - 1] = score.get(parts[at - 1] + parts[at])
+                value[at - 1] = score.get(parts[at - 1] + parts[at], NO_PIECE)
+        return parts
 
     def _merged_long(self, parts: list[str]) -> list[str]:
         """The same merges with a heap and links, in n log n."""
@@ -239,7 +236,7 @@ class PieceModel:
                 ids += [self.byte_id[c] for c in piece.encode()]
             else:
                 ids.append(self.unknown_id)
-        return np.array(ids, "<u4").tobytes()
+        return struct.pack(f"<{len(ids)}I", *ids)
 
     def segment(self, normal: bytes) -> np.ndarray:
         """Ids of a normalised text."""
@@ -247,14 +244,16 @@ class PieceModel:
         if not text:
             return np.zeros(0, np.uint32)
         chunks = re.findall(f"{MARK}+[^{MARK}]*|[^{MARK}]+", text) if self.cut else [text]
-        cache, out = self.cache, []
-        for chunk in chunks:
-            got = cache.get(chunk)
+        cache = self.cache
+        out = list(map(cache.get, chunks))
+        for at in [i for i, got in enumerate(out) if got is None]:
+            chunk = chunks[at]
+            got = cache.get(chunk)                  # the text may hold it twice
             if got is None:
                 got = self.chunk_ids(chunk)
                 if len(chunk) < 200:
                     cache.keep(chunk, got, len(chunk) + len(got))
-            out.append(got)
+            out[at] = got
         return np.frombuffer(b"".join(out), "<u4")
 
     def encode(self, text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -295,20 +294,31 @@ class PieceModel:
                 out.append(_utf8(bytes(run)))
                 run.clear()
 
-        for i in ids.tolist():
+        def plain(stretch: list[int]) -> None:
+            """Pieces of text up to the next other one; the mark that encoding put in front is dropped."""
+            nonlocal started
+            flush()
+            k = 0
+            while k < len(stretch) and (self.dummy or self.squeeze) and not started and not any(out):
+                piece = self.pieces[stretch[k]]
+                started = piece.startswith(MARK) and not self.squeeze
+                out.append(piece.removeprefix(MARK).replace(MARK, " "))
+                k += 1
+            out.append("".join(map(self.pieces.__getitem__, stretch[k:])).replace(MARK, " "))
+
+        listed, done = ids.tolist(), 0
+        for at in np.flatnonzero(self.odd[ids]).tolist():
+            if at > done:
+                plain(listed[done:at])
+            i, done = listed[at], at + 1
             kind = self.types[i]
             if kind == BYTE:
                 run.append(int(self.pieces[i][3:5], 16))
                 continue
             flush()
-            if kind == CONTROL:
-                continue
-            piece = self.unknown_text if kind == UNKNOWN else self.pieces[i]
-            if kind == NORMAL and not started and not any(out) and (self.dummy or self.squeeze):
-                started = piece.startswith(MARK) and not self.squeeze
-                piece = piece.removeprefix(MARK)
-            out.append(piece.replace(MARK, " "))
-        flush()
+            if kind == UNKNOWN:
+                out.append(self.unknown_text.replace(MARK, " "))
+        plain(listed[done:])
         return "".join(out)
 
     def _front(self, text: str) -> str:

@@ -176,6 +176,22 @@ def test_pieces_match_the_library(spark, rows):
     assert sentence_pieces.round_trips(table.limit(0), model).count() == 0
 
 
+def test_decoding_looks_only_at_odd_pieces():
+    m = sentence_pieces.PieceModel(sentence_pieces.read_model(f"{TOKENIZERS}/piece_bpe_32k.model"))
+    ids = m.encode("the words of a plain text " * 50 + "☃\x01")[0]
+
+    class Counted(list):
+        looks = 0
+
+        def __getitem__(self, i):
+            Counted.looks += 1
+            return super().__getitem__(i)
+
+    m.types = Counted(m.types)
+    assert m.decode(ids) == "the words of a plain text " * 50 + "☃\x01"
+    assert Counted.looks == int(m.odd[ids].sum()) < 10
+
+
 @pytest.mark.parametrize("rule", ["nmt_nfkc", "nfkc_cf", "nmt_nfkc_cf"])
 def test_compiled_character_map(rule):
     spm = pytest.importorskip("sentencepiece")
