@@ -15,9 +15,14 @@ a linked text that posted as far lacks fewer than p of them, so the pair is
 found here. Texts that posted to another cut than the rest are never settled
 where a pair could need it (lengths around ``SHORT``, prefixes beyond the cut).
 
-Dense part. Pairs of texts that are not settled (mostly made of passages that
-many texts share, such as a large family of near copies) share a posted column.
-Stars over those columns, with the pairs of the sparse part, group texts into
+Second sparse part. The texts that are not settled, read again, post all their
+n-grams, and columns count them alone: of these, a text is settled unless more
+than ``n - p`` of its n-grams are hot. Pairs of two texts that are open in a part
+are left to the next one.
+
+Dense part. Pairs of texts that are still not settled (mostly made of passages
+that many texts share, such as a large family of near copies) share a column.
+Stars over those columns, with the pairs of the sparse parts, group texts into
 families. A family is cut into blocks by size band and hash; every pair of
 blocks whose sizes can meet the bound is multiplied in one task with numpy:
 frequent columns as a dense product, rare ones by counting. A task returns the
@@ -103,9 +108,9 @@ def _posted(h: np.ndarray, threshold: int) -> np.ndarray:
     return h[:max(int(np.searchsorted(h, CUT)), prefix_size(len(h), threshold))]
 
 
-def _texts(docs: DataFrame, n: int, threshold: int) -> DataFrame:
+def _texts(docs: DataFrame, n: int, threshold: int, whole: bool = False) -> DataFrame:
     """One written row per document: rid, doc_id, key of the words, n_shingles,
-    n_posted, and for the first of a chunk's copies ``cold`` and ``hot`` posted
+    n_posted (all, if ``whole``), and for the first of a chunk's copies ``cold`` and ``hot`` posted
     hashes (hot: in more than HOT texts of this chunk) and ``marks``, the chunk's
     hot hashes, each once."""
 
@@ -133,7 +138,7 @@ def _texts(docs: DataFrame, n: int, threshold: int) -> DataFrame:
             for d, t in zip(batch["doc_id"], batch["text"]):
                 joined, h = gram_hashes(t, n)
                 key = hashlib.md5(joined).digest()
-                post = _posted(h, threshold)
+                post = h if whole else _posted(h, threshold)
                 lead = key not in seen and len(h) > 0
                 seen[key] = True
                 held.append((None if pd.isna(d) else int(d), key, len(h), len(post), post if lead else post[:0], lead))
@@ -159,26 +164,17 @@ def _sizes_fit(a: Column, b: Column, threshold: int) -> Column:
     return (F.least(a, b) * 100 >= F.greatest(a, b) * threshold)
 
 
-def ngram_join(docs: DataFrame, n: int = N, threshold: int = THRESHOLD) -> DataFrame:
-    """One row per document: rid, doc_id, key, n_shingles, text_id (the row that
-    stands for its text), n_links (other texts linked with it), component (row id)
-    and component_id (smallest doc_id of the component)."""
-    texts = _texts(docs, n, threshold)
-    leads = texts.where("lead").groupBy("key").agg(F.min("rid").alias("text_id"))
-    member = written(
-        texts.where("n_shingles > 0").select("rid", "doc_id", "key", "n_shingles").join(leads, "key")
-        .unionByName(texts.where("n_shingles = 0").select("rid", "doc_id", "key", "n_shingles", F.col("rid").alias("text_id"))),
-        "join-members")
-    extra = written(texts.where("lead").select("rid", "key").join(leads, "key").where("rid <> text_id").select("rid"), "join-extra")
-    one = texts.where("lead").join(broadcast_if_small(extra), "rid", "left_anti")
-
-    # The columns of two texts or more. What a chunk found hot comes as one mark.
+def _sparse_part(texts: DataFrame, one: DataFrame, threshold: int, whole: bool, label: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Of the rows ``one`` of ``texts``: written columns (h, rid, n, is_hot) of two texts or
+    more; written stats of each text, ``open`` if it is not settled; and the candidate
+    pairs (u, v) that are not both open. ``whole``: all n-grams are posted."""
+    # What a chunk found hot comes as one mark.
     posts = one.select(F.explode("cold").alias("h"), "rid", F.col("n_shingles").cast("int").alias("n"))
     marks = texts.select(F.explode("marks").alias("h"), F.lit(None).cast("long").alias("rid"), F.lit(0).alias("n"))
     total = F.sum(F.when(F.col("rid").isNull(), HOT + 1).otherwise(1)).over(W.partitionBy("h"))
     columns = written(
         posts.unionByName(marks).select("*", total.alias("total"))
-        .where("total > 1 and rid is not null").select("h", "rid", "n", (F.col("total") > HOT).alias("is_hot")), "join-columns")
+        .where("total > 1 and rid is not null").select("h", "rid", "n", (F.col("total") > HOT).alias("is_hot")), f"{label}-columns")
 
     # How much of each text is posted, and in hot columns.
     found_hot = columns.where("is_hot").groupBy("rid").agg(F.count("*").alias("found"))
@@ -186,37 +182,64 @@ def ngram_join(docs: DataFrame, n: int = N, threshold: int = THRESHOLD) -> DataF
     hot = F.size("hot") + F.coalesce("found", F.lit(0))
     # A long text whose prefix reaches beyond the cut posted further than others do.
     beyond = (F.col("n") > SHORT) & (F.col("n_posted") <= p)
+    mixed = F.lit(False) if whole else beyond | F.col("n").between(SHORT * threshold // 100, SHORT)
     stats = written(
         one.select("rid", "hot", F.col("n_shingles").alias("n"), "n_posted").join(found_hot, "rid", "left")
-        .select("rid", "n", "n_posted", hot.alias("n_hot"), beyond.alias("beyond"),
-                ((F.col("n_posted") - hot < p) | beyond | F.col("n").between(SHORT * threshold // 100, SHORT)).alias("open")),
-        "join-stats")
+        .select("rid", "n", "n_posted", hot.alias("n_hot"), beyond.alias("beyond"), ((F.col("n_posted") - hot < p) | mixed).alias("open")),
+        f"{label}-stats")
 
-    # Sparse part: overlaps accumulated over the columns, discarded by size-derived bounds.
+    # Overlaps accumulated over the columns, discarded by size-derived bounds.
     sparse = columns.where("not is_hot")
     a, b = (sparse.select("h", F.col("rid").alias(x), F.col("n").alias(f"n_{x}")) for x in "ab")
     overlaps = (a.join(b, "h").where((F.col("a") < F.col("b")) & _sizes_fit(F.col("n_a"), F.col("n_b"), threshold))
                 .groupBy("a", "b").agg(F.count("*").alias("overlap")))
     side = lambda x: stats.select(F.col("rid").alias(x), F.col("n").alias(f"n_{x}"), F.col("n_hot").alias(f"hot_{x}"),
-                                  (F.col("n") - F.col("n_posted")).alias(f"rest_{x}"),
+                                  F.col("open").alias(f"open_{x}"), (F.col("n") - F.col("n_posted")).alias(f"rest_{x}"),
                                   ((F.col("n") > SHORT) & ~F.col("beyond")).alias(f"at_cut_{x}"))
     # What both posted to the same cut: at most the lesser rest is shared and unseen.
     # Else it is within the rest of the one that posted less far, at most the greater.
     unposted = F.when(F.col("at_cut_a") & F.col("at_cut_b"), F.least("rest_a", "rest_b")).otherwise(F.greatest("rest_a", "rest_b"))
-    pairs = (overlaps.join(side("a"), "a").join(side("b"), "b")
+    pairs = (overlaps.join(side("a"), "a").join(side("b"), "b").where(~(F.col("open_a") & F.col("open_b")))
              .where(F.col("overlap") + F.least("hot_a", "hot_b") + unposted >= _need(F.col("n_a"), F.col("n_b"), threshold))
              .select(F.col("a").alias("u"), F.col("b").alias("v")))
+    return columns, stats, pairs
 
-    # Dense part: stars over all posted columns of the open texts.
-    open_ids = written(stats.where("open").select("rid"), "join-open")
-    open_posts = one.join(broadcast_if_small(open_ids), "rid", "left_semi").select(
+
+def ngram_join(docs: DataFrame, n: int = N, threshold: int = THRESHOLD) -> DataFrame:
+    """One row per document: rid, doc_id, key, n_shingles, text_id (the row that
+    stands for its text), n_links (other texts linked with it), component (row id)
+    and component_id (smallest doc_id of the component)."""
+    texts = _texts(docs, n, threshold)
+    leads = texts.where("lead").groupBy("key").agg(F.min("rid").alias("text_id"))
+    member = written(
+        texts.where("n_shingles > 0").select("rid", "doc_id", "key", "n_shingles").join(leads, "key")
+        .unionByName(texts.where("n_shingles = 0").select("rid", "doc_id", "key", "n_shingles", F.col("rid").alias("text_id"))),
+        "join-members")
+    extra = written(texts.where("lead").select("rid", "key").join(leads, "key").where("rid <> text_id").select("rid"), "join-extra")
+    one = texts.where("lead").join(broadcast_if_small(extra), "rid", "left_anti")
+
+    columns, stats, near = _sparse_part(texts, one, threshold, False, "join")
+    pairs = written(near, "join-pairs")
+    open_rows = written(one.join(stats.where("open").select("rid"), "rid", "left_semi").select("rid", "doc_id", "key"), "join-open")
+    dropped(texts, extra, columns, stats)
+
+    # Second sparse part: the open texts alone, with all their n-grams.
+    several = written(member.groupBy("doc_id").agg(F.count("*").alias("c")).where("c > 1 or doc_id is null").select("doc_id"), "join-several")
+    again = _texts(_with_text(docs, several, open_rows).select(F.col("rid").alias("doc_id"), F.col("_text").alias("text")), n, threshold, whole=True)
+    dropped(open_rows)
+    rest = again.where("lead").select(F.col("doc_id").alias("rid"), "n_shingles", "n_posted", "cold", "hot")
+    columns, stats, near = _sparse_part(again, rest, threshold, True, "join-again")
+
+    # Dense part: stars over all columns of the texts still open.
+    open_ids = written(stats.where("open").select("rid"), "join-still-open")
+    open_posts = rest.join(broadcast_if_small(open_ids), "rid", "left_semi").select(
         "rid", F.explode(F.concat("cold", "hot")).alias("h"))
     centre = open_posts.groupBy("h").agg(F.min("rid").alias("v"), F.count("*").alias("c")).where("c > 1").select("h", "v")
     stars = open_posts.join(centre, "h").where("rid <> v").select(F.col("rid").alias("u"), "v").distinct()
 
-    families = written(components(pairs.unionByName(stars), "join-families"), "join-family-of")
-    dropped(texts, extra, columns, stats, open_ids)
-    links = written(_products(docs, member, families, n, threshold), "join-links")
+    families = written(components(pairs.unionByName(near).unionByName(stars), "join-families"), "join-family-of")
+    dropped(again, columns, stats, open_ids, pairs)
+    links = written(_products(docs, member, several, families, n, threshold), "join-links")
     joined = components(links.where("v is not null").select("u", "v"), "join-components")
     degree = links.where("v is null").groupBy("u").agg(F.sum("links").alias("n_links"))
 
@@ -232,7 +255,7 @@ def ngram_join(docs: DataFrame, n: int = N, threshold: int = THRESHOLD) -> DataF
     return rows.join(several, "component", "left").withColumn("component_id", F.coalesce("component_id", "doc_id"))
 
 
-def _products(docs: DataFrame, member: DataFrame, families: DataFrame, n: int, threshold: int) -> DataFrame:
+def _products(docs: DataFrame, member: DataFrame, several: DataFrame, families: DataFrame, n: int, threshold: int) -> DataFrame:
     """Links inside families: rows (u, v) of spanning forests, and (u, null, links)."""
     band = F.floor(F.log(F.col("n")) / math.log(100 / threshold * 1.005)).cast("int")
     nodes = written(
@@ -270,21 +293,26 @@ def _products(docs: DataFrame, member: DataFrame, families: DataFrame, n: int, t
                     rows.append((node, family, units, block, h.tobytes()))
             yield pd.DataFrame(rows, columns=["node", "family", "units", "block", "grams"])
 
-    # An id on several rows (null among them) doesn't tell their texts: those are met by id and words,
-    # once per text, so that rows of one id don't meet each other's nodes.
+    filled = _with_text(docs, several, wanted).select("node", "key", "family", "units", "block", "_text").mapInPandas(
+        arrays, "node long, family long, units array<string>, block string, grams binary")
+    units = filled.select("node", "family", F.explode("units").alias("unit"), "block", "grams")
+    return units.groupBy("family", "unit").applyInPandas(lambda pdf: block_product(pdf, threshold), "u long, v long, links long")
+
+
+def _with_text(docs: DataFrame, several: DataFrame, wanted: DataFrame) -> DataFrame:
+    """The rows of ``wanted`` (with doc_id and key) and the text that they stand for, in ``_text``.
+
+    An id on ``several`` rows (null among them) doesn't tell their texts: those are met by id and
+    words, once per text, so that rows of one id don't meet each other's texts."""
     texts = docs.select(F.col("doc_id").cast("long").alias("_d"), F.col("text").alias("_text"))
-    several = written(member.groupBy("doc_id").agg(F.count("*").alias("c")).where("c > 1 or doc_id is null").select("doc_id"), "join-several")
     repeated = broadcast_if_small(several)
     clear = wanted.join(repeated, wanted["doc_id"].eqNullSafe(repeated["doc_id"]), "left_anti")
     unclear = wanted.join(repeated, wanted["doc_id"].eqNullSafe(repeated["doc_id"]), "left_semi").withColumn("_words", F.lower(F.hex("key")))
     met = texts.join(broadcast_if_small(several.withColumnRenamed("doc_id", "_several")), F.col("_d").eqNullSafe(F.col("_several")), "left_semi")
     met = met.withColumn("_words", words_key(F.col("_text"))).dropDuplicates(["_d", "_words"])
-    columns = ["node", "key", "family", "units", "block", "_text"]
-    filled = texts.join(broadcast_if_small(clear), texts["_d"] == clear["doc_id"]).select(*columns).unionByName(
-        met.join(unclear, (met["_words"] == unclear["_words"]) & met["_d"].eqNullSafe(unclear["doc_id"])).select(*columns)).mapInPandas(
-        arrays, "node long, family long, units array<string>, block string, grams binary")
-    units = filled.select("node", "family", F.explode("units").alias("unit"), "block", "grams")
-    return units.groupBy("family", "unit").applyInPandas(lambda pdf: block_product(pdf, threshold), "u long, v long, links long")
+    columns = [*wanted.columns, "_text"]
+    return texts.join(broadcast_if_small(clear), texts["_d"] == clear["doc_id"]).select(*columns).unionByName(
+        met.join(unclear, (met["_words"] == unclear["_words"]) & met["_d"].eqNullSafe(unclear["doc_id"])).select(*columns))
 
 
 def words_key(text: Column) -> Column:

@@ -88,6 +88,19 @@ def test_join_matches_brute_force(spark, rows, monkeypatch, short, block):
     assert sorted(map(tuple, got), key=key) == sorted((r[:4] for r in brute_components(rows)), key=key)
 
 
+def test_join_passage_ties_no_family(spark, monkeypatch):
+    """Texts that share a passage, but have n-grams of their own enough, are not multiplied block by block."""
+    rng = random.Random(8)
+    line = words(rng, 120, 10 ** 6)
+    rows = [(i, f"{line} {words(rng, 180, 10 ** 9)}", "a") for i in range(60)]
+    rows += [(100 + i, f"{rows[i][1]} and more", "b") for i in range(3)]  # near copies among them
+    met, real = [], ngram_join._products
+    monkeypatch.setattr(ngram_join, "_products", lambda *a: met.append(a[-3].groupBy("component").count().collect()) or real(*a))
+    got = ngram_join.ngram_join(docs(spark, rows)).select("doc_id", "n_shingles", "component_id", "n_links").collect()
+    assert sorted(map(tuple, got)) == sorted(r[:4] for r in brute_components(rows))
+    assert [r["count"] for r in met[0]] == [2, 2, 2]
+
+
 def test_join_of_nothing(spark, rows):
     assert ngram_join.ngram_join(docs(spark, rows[:1]).limit(0)).count() == 0
     assert ngram_join.keep_one(docs(spark, rows[:1]).limit(0)).count() == 0
