@@ -41,20 +41,22 @@ def gate_image(pkgs: DataFrame, types: DataFrame | None = None) -> DataFrame:
     known type other than community -> 'non-abuse', else 'score'. An unknown
     type is scored. ``types`` is ``(slug, filter_type)``; without it the
     package's own ``filter_type`` column is used."""
+    fd = F.col("full_description")
+    # What the row itself says is settled before the join, so a caller that drops the
+    # overview doesn't carry it through the exchange.
+    local = (F.when(missing(F.col("name")), F.lit("null"))
+             .when(missing(F.col("namespace")), F.lit("null"))
+             .when(missing(fd), F.lit("no_overview"))
+             .when(~fd.rlike(C.URL_FEATURE), F.lit("overview_no_link")))
+    pkgs = pkgs.withColumn("gate", local)
     if types is not None:
         pkgs = pkgs.join(types.withColumnRenamed("filter_type", "_type"),
                          F.concat_ws("/", pkgs["namespace"], pkgs["name"]) == types["slug"], "left").drop("slug")
         ftype = F.col("_type")
     else:
         ftype = F.col("filter_type")
-    fd = F.col("full_description")
-    gate = (F.when(missing(F.col("name")), F.lit("null"))
-            .when(missing(F.col("namespace")), F.lit("null"))
-            .when(missing(fd), F.lit("no_overview"))
-            .when(~fd.rlike(C.URL_FEATURE), F.lit("overview_no_link"))
-            .when(ftype.isNotNull() & (ftype != F.lit("community")), F.lit("non-abuse"))
-            .otherwise(F.lit(SCORE)))
-    out = pkgs.withColumn("gate", gate)
+    typed = F.when(ftype.isNotNull() & (ftype != F.lit("community")), F.lit("non-abuse")).otherwise(F.lit(SCORE))
+    out = pkgs.withColumn("gate", F.coalesce(F.col("gate"), typed))
     return out.drop("_type") if types is not None else out
 
 

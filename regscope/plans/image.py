@@ -10,9 +10,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .. import constants as C
 from ..functions.text import image_code_features, popularity
 from ..operators import context as CTX
-from ..operators.gates import SCORE, gate_image, image_text
+from ..operators.gates import SCORE, gate_image, image_text, missing
 from ..operators.url_features import URL_FEATURES
 from ..profiles import IMAGE
 from ..sources import fixtures as FX
@@ -57,24 +58,32 @@ def semantic_block(spark: SparkSession, sf_dir: str, ids: DataFrame) -> DataFram
 def narrow_packages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One pass over the package text for every package: the gate outcome,
     and for scored packages every row-local feature (code, popularity, URL
-    counts and external domains; ``when(gate = 'score', ..)`` skips the regex
-    work for the rest). Written to the shared checkpoint directory; later
+    counts and external domains). They are taken before the type table is joined,
+    so the text isn't shuffled by slug; packages without a link in the overview
+    skip the regex work. Written to the shared checkpoint directory; later
     branches read this narrow table instead of re-reading the text (R3)."""
     from ..operators.url_features import COUNT_COLS, links, url_counts
     from ..functions.urls import extract_urls
     from ..session import cut_lineage
-    g = gated_packages(spark, sf_dir)
-    scored = F.col("gate") == SCORE
-    text = image_text(F.col("name"), F.col("description"), F.col("full_description"))
-    feats = [*image_code_features(F.col("full_description")), popularity(F.col("pull_count")).alias("popularity"),
-             F.col("_links")]
-    names = [*CODE, "popularity", "_links"]  # the order of ``feats``
-    lazy = [F.when(scored, c).alias(n) for n, c in zip(names, feats)]
+    pkgs = FX.packages(spark, sf_dir)
+    fd = F.col("full_description")
+    text = image_text(F.col("name"), F.col("description"), fd)
+    # Whatever its type, a package without an overview or a link in it isn't scored.
+    maybe = ~missing(fd) & fd.rlike(C.URL_FEATURE)
+    feats = [*image_code_features(fd), popularity(F.col("pull_count"))]
+    lazy = [F.when(maybe, c).alias(n) for n, c in zip([*CODE, "popularity"], feats)]
+    names = [*CODE, "popularity", *COUNT_COLS, "external_domains"]
     # URLs are extracted and parsed in a projection of their own, once per row.
-    g = g.withColumn("_links", F.when(scored, links(extract_urls(text), IMAGE)))
-    base = g.select("package_id", "name", "namespace", "release_ts", "gate", *lazy)
-    counts = [F.when(scored, c).alias(n) for n, c in zip([*COUNT_COLS, "external_domains"], url_counts(F.col("_links")))]
-    return cut_lineage(base.select("package_id", "name", "namespace", "release_ts", "gate", *CODE, "popularity", *counts))
+    base = pkgs.select("package_id", "name", "namespace", "release_ts", "full_description", *lazy,
+                       F.when(maybe, links(extract_urls(text), IMAGE)).alias("_links"))
+    counts = [F.when(F.col("_links").isNotNull(), c).alias(n)
+              for n, c in zip([*COUNT_COLS, "external_domains"], url_counts(F.col("_links")))]
+    base = base.select("package_id", "name", "namespace", "release_ts", "full_description", *CODE, "popularity", *counts)
+    # The features meet the type table; the text stays behind.
+    g = gate_image(base, FX.image_types(spark, sf_dir))
+    scored = F.col("gate") == SCORE
+    return cut_lineage(g.select("package_id", "name", "namespace", "release_ts", "gate",
+                                *[F.when(scored, F.col(n)).alias(n) for n in names]))
 
 
 def narrow_candidates(spark: SparkSession, sf_dir: str, narrow: DataFrame | None = None) -> DataFrame:

@@ -58,3 +58,27 @@ def test_words_are_counted_inside_the_row(spark):
     # No row per token leaves a text.
     plan = TF.keywords(rows, "package_id", F.col("text"), 10)._jdf.queryExecution().executedPlan().toString()
     assert "posexplode" not in plan
+
+
+def test_lexicon_meets_the_first_words_of_a_text(spark):
+    name = lambda i: "w" + "".join(chr(97 + int(c)) for c in f"{i:03d}")
+    often = lambda ids: " ".join(name(i) for i in ids for _ in range(2))
+    lexicon = spark.createDataFrame([(name(i), "JJ" if i < 100 else "NN") for i in range(150)], "word string, tag string")
+    kept = "alpha beta gamma beta"
+    # 2: its first words are all of another kind; 3: fewer than asked for in all; 4 and null: several rows.
+    rows = spark.createDataFrame(
+        [(1, often(range(100, 150))), (2, often(range(100)) + " " + kept), (3, often(range(5)) + " " + kept), (4, kept), (4, often(range(90, 110))),
+         (None, kept), (None, kept + " gamma"), (5, ""), (6, None)], "package_id long, text string")
+
+    def listed(df):
+        return sorted(map(repr, df.select("package_id", "rank", "word", "n").collect()))
+    k = 3
+    assert TF.LOOK_UP * k < 100
+    freq = TF.noun_verb_tokens(TF.text_word_freq(rows, "package_id", F.col("text")).withColumnRenamed("word", "token"), lexicon)
+    plain = TF.top_words(freq.withColumnRenamed("token", "word"), "package_id", k)
+    got = TF.text_top_words(rows, "package_id", F.col("text"), k, lexicon)
+    assert listed(got) == listed(plain) and [(f.name, f.dataType) for f in got.schema] == [(f.name, f.dataType) for f in plain.schema]
+    # Where the first words decide, nothing is left to look up or to shuffle.
+    one = TF.text_top_words(rows.where("package_id in (1, 3, 5, 6)"), "package_id", F.col("text"), k, lexicon)
+    assert "Exchange" not in one._jdf.queryExecution().executedPlan().toString()
+    assert {(r.package_id, r.rank, r.word) for r in one.collect()} >= {(1, 1, "wbaa"), (3, 1, "beta"), (3, 3, "gamma")}

@@ -58,3 +58,20 @@ def test_url_features_are_linear(spark):
     row = url_features(df, ranks).first()
     assert row.n_urls == 100_000 and row.n_dup_urls == 5000 and row.n_hosts == 5000
     assert time.time() - start < 60
+
+
+def test_overview_is_not_shuffled_by_slug(spark, monkeypatch):
+    """Without broadcasts the type table meets the gate and the features, not the text."""
+    import re
+
+    from regscope import session
+    monkeypatch.setattr(session, "cut_lineage", lambda df: df)
+    limit = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        for df in (IMG.gated_packages(spark, SF).select("package_id", "gate"), IMG.narrow_packages(spark, SF)):
+            plan = spark._jvm.PythonSQLUtils.explainString(df._jdf.queryExecution(), "formatted")
+            sent = re.findall(r"\(\d+\) Exchange\nInput \[\d+\]: (.*)", plan)
+            assert sent and not any("full_description" in s or "text" in s for s in sent)
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
