@@ -6,10 +6,18 @@ Feature vectors stay named columns (or ``array<double>``) until the final
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from dataclasses import dataclass
+
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..session import cut_lineage
+
 LABELS = ("abuse", "non-abuse")
+# MB of node statistics that a task of the fit holds at a time.
+FIT_MB = 256
+# Nodes of a forest that the driver writes, loads or sends to a scoring job at a time.
+PART_NODES = 200_000
 
 
 # --- labels, splits, samples -------------------------------------------------
@@ -115,23 +123,88 @@ def fit_forest(train: DataFrame, features: str = "features", label: str = "label
     idx = StringIndexer(inputCol=label, outputCol="label_idx", stringOrderType="alphabetAsc").fit(train)
     # cacheNodeIds keeps each row's node id on the executors (checkpointed to
     # the shared checkpoint dir) instead of shipping the growing trees every
-    # level; a larger stats budget means fewer passes per level.
+    # level. Every task of a pass holds the statistics of that pass's nodes: more of them
+    # mean fewer passes, but an executor needs them once per core.
     rf = RandomForestClassifier(featuresCol="fv", labelCol="label_idx", numTrees=num_trees, impurity="gini",
                                 featureSubsetStrategy="sqrt", maxDepth=max_depth, maxBins=128, seed=seed,
-                                cacheNodeIds=True, checkpointInterval=10, maxMemoryInMB=1024)
+                                cacheNodeIds=True, checkpointInterval=10, maxMemoryInMB=FIT_MB)
     back = IndexToString(inputCol="prediction", outputCol="pred", labels=idx.labels)
     return Pipeline(stages=[idx, rf, back]).fit(assemble(train, features))
 
 
+@dataclass(frozen=True)
+class Forest:
+    """A stored forest: pipelines of some of its trees each, in their order, and its importances."""
+
+    spark: SparkSession
+    parts: list[str]
+    labels: list[str]
+    weights: list[float]
+
+    def load(self):
+        """The parts, one at a time: the whole forest is nowhere in one piece."""
+        from pyspark.ml import PipelineModel
+        return map(PipelineModel.load, self.parts)
+
+
+def save_forest(model, spark: SparkSession, path: str) -> None:
+    """Write a fitted pipeline for ``load_forest``, some ``PART_NODES`` nodes at a time (one tree at least)."""
+    from pyspark.ml import PipelineModel
+    from pyspark.ml.classification import RandomForestClassificationModel
+    index, rf, back = model.stages
+    java, jvm, gateway = rf._java_obj, spark.sparkContext._jvm, spark.sparkContext._gateway
+    groups, nodes = [], PART_NODES
+    for tree in java.trees():
+        if nodes + tree.numNodes() > PART_NODES:
+            groups.append([])
+            nodes = 0
+        groups[-1].append(tree)
+        nodes += tree.numNodes()
+    for k, trees in enumerate(groups):
+        array = gateway.new_array(jvm.org.apache.spark.ml.classification.DecisionTreeClassificationModel, len(trees))
+        for i, tree in enumerate(trees):
+            array[i] = tree
+        part = jvm.org.apache.spark.ml.classification.RandomForestClassificationModel(
+            rf.uid, array, rf.numFeatures, rf.numClasses)
+        java.copyValues(part, jvm.org.apache.spark.ml.param.ParamMap())
+        part.set(part.getParam("numTrees").w(len(trees)))
+        PipelineModel([index, RandomForestClassificationModel(part), back]).write().save(f"{path}/part-{k:05d}")
+    weights = [float(w) for w in rf.featureImportances.toArray()]
+    spark.createDataFrame([(len(groups), list(back.getLabels()), weights)],
+                          "parts int, labels array<string>, weights array<double>").coalesce(1).write.parquet(f"{path}/about")
+
+
+def load_forest(spark: SparkSession, path: str) -> Forest:
+    about = spark.read.parquet(f"{path}/about").first()
+    return Forest(spark, [f"{path}/part-{k:05d}" for k in range(about.parts)], about.labels, about.weights)
+
+
 def score(model, df: DataFrame, features: str = "features") -> DataFrame:
-    """M3: predicted label string in ``pred``."""
+    """M3: predicted label string in ``pred``, by a fitted pipeline or a stored forest.
+
+    A forest of several parts scores part by part; the votes of the parts before are a column of the rows."""
+    if isinstance(model, Forest):
+        if len(model.parts) > 1:
+            return _score_parts(model, df, features)
+        model = next(model.load())
     return model.transform(assemble(df, features)).drop("fv", "rawPrediction", "probability", "prediction",
                                                          "label_idx")
 
 
-def importances(model, names: list[str]):
+def _score_parts(forest: Forest, df: DataFrame, features: str) -> DataFrame:
+    from pyspark.ml.functions import vector_to_array
+    columns = [F.col(c) for c in df.columns]
+    votes = None
+    for part in forest.load():
+        now = vector_to_array(F.col("rawPrediction"))
+        votes = now if votes is None else F.zip_with("_votes", now, lambda a, b: a + b)
+        df = cut_lineage(part.stages[1].transform(assemble(df, features)).select(*columns, votes.alias("_votes")))
+    # The first of the classes with most votes, as the pipeline has it.
+    best = F.array_position("_votes", F.array_max("_votes"))
+    return df.select(*columns, F.element_at(F.array(*[F.lit(x) for x in forest.labels]), best.cast("int")).alias("pred"))
+
+
+def importances(forest: Forest, names: list[str]):
     """M5: (index, name, importance) rows — a driver-side list of the model's
     width, not of the data."""
-    rf = model.stages[1]
-    imp = rf.featureImportances.toArray().tolist()
-    return [(i, names[i] if i < len(names) else f"f{i}", float(v)) for i, v in enumerate(imp)]
+    return [(i, names[i] if i < len(names) else f"f{i}", v) for i, v in enumerate(forest.weights)]

@@ -1,8 +1,8 @@
 """Fitted forests kept in shared storage (M6).
 
 ```
-<shared>/models/<name>-<key>/try-<id>/model          the fitted pipeline
-<shared>/models/<name>-<key>/try-<id>/data           the labelled rows, by split
+<shared>/forests/<name>-<key>/try-<id>/model         the fitted pipeline, in parts, and its importances
+<shared>/forests/<name>-<key>/try-<id>/data          the labelled rows, by split
 ```
 
 ``key`` covers the input files and the settings of the fit, so a changed input or setting
@@ -41,9 +41,8 @@ class StoredForest:
     spark: SparkSession
     path: str
 
-    def model(self):
-        from pyspark.ml import PipelineModel
-        return PipelineModel.load(f"{self.path}/model")
+    def model(self) -> M.Forest:
+        return M.load_forest(self.spark, f"{self.path}/model")
 
     def rows(self, split: str) -> DataFrame:
         """The labelled rows of ``train`` or ``test``; only that split's files are read."""
@@ -63,6 +62,6 @@ def stored_forest(spark: SparkSession, name: str, key: str, settings: ForestSett
         M.split_rows(labelled(), settings.split_key, settings.test_share).write.partitionBy("split").parquet(f"{folder}/data")
         train = StoredForest(spark, folder).rows("train")
         model = M.fit_forest(train, num_trees=settings.num_trees, max_depth=settings.max_depth, seed=settings.seed)
-        model.write().save(f"{folder}/model")
+        M.save_forest(model, spark, f"{folder}/model")
 
-    return StoredForest(spark, published(spark, shared_path(spark, "models", f"{name}-{key}-{settings_key}"), fit))
+    return StoredForest(spark, published(spark, shared_path(spark, "forests", f"{name}-{key}-{settings_key}"), fit))

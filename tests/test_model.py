@@ -86,6 +86,35 @@ def test_one_fit_per_snapshot_and_settings(spark, monkeypatch, tmp_path):
     assert len(fits) == 3
 
 
+def test_fit_holds_bounded_statistics(spark):
+    train = _points(spark)
+    model = M.fit_forest(train, num_trees=3, max_depth=2)
+    # A task of the fit holds this much; two tasks of an executor with 1.8 GB must have room for it.
+    assert 2 * model.stages[1].getMaxMemoryInMB() <= 1800 // 3
+
+
+def test_forest_is_stored_and_scored_in_parts(spark, monkeypatch, tmp_path):
+    rnd = random.Random(3)
+    rows = [(i, "abuse" if rnd.random() < 0.3 else "non-abuse", [rnd.random() for _ in range(5)]) for i in range(600)]
+    df = spark.createDataFrame(rows, "package_id long, label string, features array<double>")
+    model = M.fit_forest(df.where("package_id < 400"), num_trees=5, max_depth=6)
+    rf = model.stages[1]
+    plain = {r.package_id: r.pred for r in M.score(model, df).collect()}
+    assert len(set(plain.values())) == 2
+    trees = [t.numNodes for t in rf.trees]
+    for nodes, parts in ((10 ** 6, 1), (sum(trees) // 2, None), (1, 5)):
+        monkeypatch.setattr(M, "PART_NODES", nodes)
+        M.save_forest(model, spark, f"{tmp_path}/{nodes}")
+        forest = M.load_forest(spark, f"{tmp_path}/{nodes}")
+        held = [[t.numNodes for t in p.stages[1].trees] for p in forest.load()]
+        # All trees in their order, and no part above the bound unless it is one tree.
+        assert sum(held, []) == trees and all(sum(p) <= nodes or len(p) == 1 for p in held)
+        assert parts in (None, len(held)) and (parts or len(held) > 1)
+        got = M.score(forest, df.drop("label"))
+        assert {r.package_id: r.pred for r in got.collect()} == plain and got.columns == ["package_id", "features", "pred"]
+        assert [v for _, _, v in M.importances(forest, ["a"])] == rf.featureImportances.toArray().tolist()
+
+
 def test_published_folder_survives_crash_and_race(spark, tmp_path):
     write = lambda n: lambda folder: spark.range(n).write.parquet(folder)
     target = str(tmp_path / "t")
