@@ -190,6 +190,23 @@ def test_segmenter_blocks_are_tasks_of_their_own(spark, monkeypatch):
         assert tokens == split * (i % 4), (i, tokens)
 
 
+def test_segmenter_filter_passes_words_and_grows_with_them(spark, monkeypatch):
+    import itertools
+    from regscope.operators import language as LG
+    words = ["".join(c) + "tail" for c in itertools.islice(itertools.product("bcdfghjklm", repeat=4), 5000)]
+    costs = spark.createDataFrame([(w, 1.0) for w in words], "w string, cost double")
+    table, longest = LG._word_filter(costs)
+    found = list(LG._passing("\n".join(words[:2000]), table, longest))
+    # Whole words pass, their beginnings (seven a word) don't, but for a few.
+    assert set(words[:2000]) <= set(found) and len(found) == len(set(found)) < 2200
+    monkeypatch.setattr(LG, "SLOTS", 1 << 6)
+    grown, _ = LG._word_filter(costs)
+    assert len(grown) == 8192 and set(words[:2000]) <= set(LG._passing("\n".join(words[:2000]), grown, longest))
+    monkeypatch.setattr(LG, "MOST_SLOTS", 1 << 10)
+    full, _ = LG._word_filter(costs)
+    assert len(full) == 1024 and set(words[:2000]) <= set(LG._passing("\n".join(words[:2000]), full, longest))
+
+
 def test_language_gate_tells_every_trigram_apart(spark):
     from regscope.operators import language as LG
     # Two trigrams a former table of 65,536 hashed trigrams held in one place.
